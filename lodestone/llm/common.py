@@ -13,6 +13,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD_GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+#: Narrow rows in a file of a stored table whose size is known beforehand.
+FILE_ROWS = 250_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,7 +37,10 @@ class Stored:
     def __init__(self, spark: SparkSession):
         self.spark, self.top, self.paths = spark, f"{shared_dir(spark)}/t-{uuid.uuid4().hex}", {}
 
-    def put(self, name: str, df: DataFrame) -> DataFrame:
+    def put(self, name: str, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """rows: at most so many rows come, so that many small partitions become fewer files of up to FILE_ROWS."""
+        if rows is not None:
+            df = df.coalesce(rows // FILE_ROWS + 1)
         self.drop(name)
         path = f"{self.top}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(path)

@@ -33,13 +33,14 @@ def components(edges: DataFrame, store: Stored, max_rounds: int = 60) -> DataFra
     pre-aggregated and hot nodes' joins are Spark's to split, so a star of any degree is no single task's work.
     Loops (a = b), repeated edges and an empty table are allowed; a node with only a loop isn't returned.
     """
-    now = store.put("cc", edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    rows = edges.count()
+    now = store.put("cc", edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), rows)
     mark = None
     for i in range(max_rounds):
-        after = store.put(f"cc{i % 2}", _small_star(_large_star(now)))
+        after = store.put(f"cc{i % 2}", _small_star(_large_star(now)), rows)
         seen = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         store.drop("cc")
-        now = after
+        now, rows = after, seen[0]
         if seen == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
         mark = seen

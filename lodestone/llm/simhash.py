@@ -170,7 +170,7 @@ def links(fps: DataFrame, store: Stored, bits: int = 3, bucket: int = 2048) -> D
         edges = new if edges is None else edges.unionByName(new)
         hot = found.where("kind = 1")
         if hot.isEmpty():
-            return edges.distinct()
+            return edges
         dealt, level = _subdivide(hot, bits + 1), level + 1
 
 
@@ -182,9 +182,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3, bucket: in
     """
     store = Stored(docs.sparkSession)
     fps = store.put("fps", fingerprints(docs, shingle))
-    distinct = store.put("distinct", fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    distinct = store.put("distinct", fps.groupBy("fp").agg(F.min("doc_id").alias("low")), fps.count())
     roots = components(links(distinct.select("fp"), store, bits, bucket), store).withColumnsRenamed({"node": "fp"})
-    linked = store.put("linked", roots.join(distinct, "fp"))
+    linked = store.put("linked", roots.join(distinct, "fp"), roots.count())
     least = linked.groupBy("root").agg(F.min("low").alias("least"))
     ids = linked.join(least, "root").select("fp", "least")
     ids = distinct.join(ids, "fp", "left").select("fp", F.coalesce("least", "low").alias("component_id"))
