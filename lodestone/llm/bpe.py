@@ -2,7 +2,7 @@
 
 Texts are cut at ASCII white space, which never lies inside a word of the tokenizer, and words are encoded once and
 remembered in a bounded memory. Unsplit text that is long (a word of more than `leaf` characters) is encoded by tree
-concatenation: its leaves are encoded independently, in one parallel batch, and neighbours are joined level by level.
+concatenation: its leaves are encoded independently, in one batch (parallel where the task has cores to spare: TOKENIZERS_PARALLELISM), and neighbours are joined level by level.
 At each join a window of tokens on both sides is encoded again and grown until it starts with the same tokens as the
 left side has there and ends with the same as the right side, or covers a side. Neighbouring tokens of the result then
 all come from encodings of their own surroundings, which for a merge-ranked vocabulary makes the whole the encoding.
@@ -11,9 +11,11 @@ all come from encodings of their own surroundings, which for a merge-ranked voca
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +48,10 @@ class Codec:
         self.tokens = {i: t for t, i in self.whole.get_vocab(with_added_tokens=True).items()}
         special = sorted((x["content"] for x in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+        self.spaced = [" " + self.tokens.get(i, "") for i in range(max(self.tokens) + 1)]
         self.ids: dict[str, bytes] = {}
         self.texts: dict[str, str] = {}
+        self.again: set[str] = set()  # remembered words that later blocks have used
 
     def _width(self, token: int, final: bool) -> int:
         t = self.tokens[token]
@@ -92,11 +96,13 @@ class Codec:
         return out
 
     def _learn(self, texts: list[list[str]]) -> None:
-        new = set().union(*texts).difference(self.ids)
+        seen = set().union(*texts)
+        new = seen.difference(self.ids)
+        self.again |= seen - new
         if len(self.ids) + len(new) > REMEMBER:
-            self.ids.clear()
-            self.texts.clear()
-            new = set().union(*texts)
+            if len(self.again) > REMEMBER // 2:
+                self.again = seen - new
+            self.ids, self.texts = ({w: x[w] for w in self.again} for x in (self.ids, self.texts))
         short = [w for w in new if len(w) <= self.leaf]
         for w, e in zip(short, self.whole.encode_batch_fast(short, add_special_tokens=False)):
             self._keep(w, e.ids)
@@ -105,8 +111,8 @@ class Codec:
                 self._keep(w, self.long(w))
 
     def _keep(self, word: str, ids: list[int]) -> None:
-        self.ids[word] = np.array(ids, "<u4").tobytes()
-        self.texts[word] = "".join(" " + self.tokens[i] for i in ids)
+        self.ids[word] = pack(f"<{len(ids)}I", *ids)
+        self.texts[word] = "".join(map(self.spaced.__getitem__, ids))
 
     def batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """(ids as little-endian unsigned 32-bit integers, decoded text) of each text."""
@@ -116,6 +122,7 @@ class Codec:
         out = [(b"".join(map(ids, ws)), "".join(map(decoded, ws))[1:]) for ws in split]
         for w in {w for ws in split for w in ws if len(w) > self.leaf} if any(map(self.is_long, split)) else ():
             del self.ids[w], self.texts[w]  # what is long isn't remembered
+            self.again.discard(w)
         return out
 
     def is_long(self, words: list[str]) -> bool:
@@ -124,6 +131,7 @@ class Codec:
 
 @lru_cache(maxsize=2)
 def codec(path: str, leaf: int) -> Codec:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     return Codec(path, leaf)
 
 

@@ -10,6 +10,7 @@ Counts are spliced there. If an overlap has no such place it is widened until it
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -107,6 +108,7 @@ class Counter:
 
 @lru_cache(maxsize=2)
 def counter(path: str, chunk: int, overlap: int) -> Counter:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     return Counter(path, chunk, overlap)
 
 
