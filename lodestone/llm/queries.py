@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontam, simhash, tokencount
+from lodestone.llm import bpe, decontam, linededup, quality, rules, simhash, tokencount
 from lodestone.llm.common import table
 
 
@@ -20,12 +20,21 @@ def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return done.select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = decontam.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     ids = F.sha2(F.array_join("items", ",").cast("binary"), 256)
     return done.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), "contaminated")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = tokencount.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"))
     return done.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
@@ -35,16 +44,34 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return done.select("doc_id", *rules.COUNTS, "base_failed", "kept")
+
+
 QUERIES = {
     "op1_bpe_encode_decode": op1_bpe_encode_decode,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_line_dedup": op4_line_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES: dict[str, str] = {
+    "op4_line_dedup": """
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '') AS host, source, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        l AS (SELECT r, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
+        total AS (SELECT host, count(*) AS pages FROM d GROUP BY host),
+        often AS (SELECT host, trim(line, ' ') AS line FROM l JOIN total USING (host) WHERE trim(line, ' ') <> '' GROUP BY host, trim(line, ' '), pages HAVING count(DISTINCT r) >= 5 AND count(DISTINCT r) > 2e-2 * pages),
+        kept AS (SELECT r, string_agg(l.line, chr(10) ORDER BY i) AS text, count(*) AS n, bool_or(trim(l.line, ' ') <> '') AS some
+                 FROM l LEFT JOIN often o ON o.host = l.host AND o.line = trim(l.line, ' ') WHERE o.line IS NULL GROUP BY r)
+        SELECT doc_id, source, CASE WHEN d.text IS NULL OR NOT coalesce(some, false) THEN d.text ELSE kept.text END AS text,
+               CASE WHEN d.text IS NULL OR NOT coalesce(some, false) THEN 0 ELSE len(lines) - n END AS n_lines_dropped
+        FROM d LEFT JOIN kept USING (r)""",
     "op3_benchmark_decontamination": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
         b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {WORDS} AS w FROM benchmark),
