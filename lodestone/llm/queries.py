@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontam, linededup, quality, rules, simhash, tokencount
+from lodestone.llm import bpe, decontam, license, linededup, quality, rules, simhash, tokencount
 from lodestone.llm.common import table
 
 
@@ -35,6 +35,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = license.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = tokencount.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"))
     return done.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
@@ -54,6 +59,7 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_line_dedup": op4_line_dedup,
+    "op5_license_scan": op5_license_scan,
     "op6_token_counts": op6_token_counts,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
@@ -61,16 +67,20 @@ QUERIES = {
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+#: Templates and phrases as SQL rows.
+TEMPLATES = ", ".join(f"({t}, '{label}', {license.template_words(text)})" for t, (label, text) in enumerate(license.TEMPLATES))
+PHRASES = ", ".join(f"('{label}', '{text}', {len(text.split())})" for label, text in license.PHRASES.items())
+
 ORACLES: dict[str, str] = {
     "op4_line_dedup": """
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '') AS host, source, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         l AS (SELECT r, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
         total AS (SELECT host, count(*) AS pages FROM d GROUP BY host),
         often AS (SELECT host, trim(line, ' ') AS line FROM l JOIN total USING (host) WHERE trim(line, ' ') <> '' GROUP BY host, trim(line, ' '), pages HAVING count(DISTINCT r) >= 5 AND count(DISTINCT r) > 2e-2 * pages),
-        kept AS (SELECT r, string_agg(l.line, chr(10) ORDER BY i) AS text, count(*) AS n, bool_or(trim(l.line, ' ') <> '') AS some
+        kept AS (SELECT r, string_agg(l.line, chr(10) ORDER BY i) AS text, count(*) AS n, bool_or(trim(l.line, ' ') <> '') AS solid
                  FROM l LEFT JOIN often o ON o.host = l.host AND o.line = trim(l.line, ' ') WHERE o.line IS NULL GROUP BY r)
-        SELECT doc_id, source, CASE WHEN d.text IS NULL OR NOT coalesce(some, false) THEN d.text ELSE kept.text END AS text,
-               CASE WHEN d.text IS NULL OR NOT coalesce(some, false) THEN 0 ELSE len(lines) - n END AS n_lines_dropped
+        SELECT doc_id, source, CASE WHEN d.text IS NULL OR NOT coalesce(solid, false) THEN d.text ELSE kept.text END AS text,
+               CASE WHEN d.text IS NULL OR NOT coalesce(solid, false) THEN 0 ELSE len(lines) - n END AS n_lines_dropped
         FROM d LEFT JOIN kept USING (r)""",
     "op3_benchmark_decontamination": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
@@ -84,4 +94,23 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN cover USING (r) LEFT JOIN named USING (r)""",
+    "op5_license_scan": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+        p AS (SELECT r, w, unnest(range(0, len(w))) AS i FROM d),
+        base AS (SELECT r, i, label FROM p, (VALUES {PHRASES}) AS ph(label, phrase, n) WHERE array_to_string(w[i + 1:i + n], ' ') = phrase),
+        based AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS names FROM base GROUP BY r),
+        tg AS (SELECT t, label, len(tw) - {license.K} + 1 AS grams, off, array_to_string(tw[off + 1:off + {license.K}], ' ') AS g
+               FROM (SELECT *, unnest(range(0, len(tw) - {license.K} + 1)) AS off FROM (VALUES {TEMPLATES}) AS tm(t, label, tw))),
+        hit AS (SELECT r, t, label, grams, i, off, i - off AS diagonal FROM p JOIN tg ON len(w) >= i + {license.K} AND array_to_string(w[i + 1:i + {license.K}], ' ') = g),
+        dia AS (SELECT DISTINCT r, t, diagonal FROM hit),
+        step AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, t ORDER BY diagonal) > {license.DRIFT} THEN 1 ELSE 0 END AS new FROM dia),
+        run AS (SELECT r, t, diagonal, sum(new) OVER (PARTITION BY r, t ORDER BY diagonal) AS run FROM step),
+        span AS (SELECT r, label, count(DISTINCT off) / CAST(grams AS DOUBLE) AS coverage FROM hit JOIN run USING (r, t, diagonal) GROUP BY r, t, label, grams, run
+                 HAVING count(DISTINCT off) >= {license.SHARE}e0 * grams AND max(i) + {license.K} - min(i) <= 2 * (grams + {license.K})),
+        spanned AS (SELECT r, list(DISTINCT label) AS names, max(coverage) AS best FROM span GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+               array_to_string(list_sort(coalesce(based.names, [])), ',') AS base_labels,
+               array_to_string(list_sort(list_distinct(list_concat(coalesce(based.names, []), coalesce(spanned.names, [])))), ',') AS labels,
+               CASE WHEN n_base > 0 THEN 1e0 ELSE coalesce(best, 0e0) END AS score
+        FROM d LEFT JOIN based USING (r) LEFT JOIN spanned USING (r)""",
 }
