@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontam, license, linededup, quality, rules, simhash, tokencount
+from lodestone.llm import bpe, decontam, license, linededup, quality, rules, sharding, simhash, tokencount
 from lodestone.llm.common import table
 
 
@@ -49,6 +49,11 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = sharding.shards_by_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), 8)
+    return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
     return done.select("doc_id", *rules.COUNTS, "base_failed", "kept")
@@ -62,6 +67,7 @@ QUERIES = {
     "op5_license_scan": op5_license_scan,
     "op6_token_counts": op6_token_counts,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_sharding": op8_sharding,
     "op10_quality_rules": op10_quality_rules,
 }
 
