@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontam, license, linededup, quality, rules, sharding, simhash, tokencount
+from lodestone.llm import bpe, decontam, htmltext, license, linededup, quality, rules, sharding, simhash, tokencount
 from lodestone.llm.common import table
 
 
@@ -54,6 +54,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
     return done.select("doc_id", *rules.COUNTS, "base_failed", "kept")
@@ -68,6 +73,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_sharding": op8_sharding,
+    "op9_html_extraction": op9_html_extraction,
     "op10_quality_rules": op10_quality_rules,
 }
 
