@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,7 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if not found.isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where:
+            where = tempfile.mkdtemp(prefix="lodestone-")
+            atexit.register(shutil.rmtree, where, ignore_errors=True)
+        sc.setCheckpointDir(where)
         found = sc._jsc.sc().getCheckpointDir()
     return found.get()
 

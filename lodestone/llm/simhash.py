@@ -174,18 +174,52 @@ def links(fps: DataFrame, store: Stored, bits: int = 3, bucket: int = 2048) -> D
         dealt, level = _subdivide(hot, bits + 1), level + 1
 
 
+def classes(docs: DataFrame, store: Stored, shingle: int = 3, bits: int = 3, bucket: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """Two stored tables: (doc_id, fp) of every row, and (fp, root, least) of every fingerprint: the class's smallest
+    fingerprint and smallest doc_id."""
+    fps = store.put("fps", fingerprints(docs, shingle))
+    distinct = store.put("distinct", fps.groupBy("fp").agg(F.min("doc_id").alias("low")), fps.count())
+    roots = components(links(distinct.select("fp"), store, bits, bucket), store).withColumnRenamed("node", "fp")
+    linked = store.put("linked", roots.join(distinct, "fp"), roots.count())
+    least = linked.groupBy("root").agg(F.min("low").alias("least"))
+    ids = distinct.join(linked.join(least, "root").select("fp", "root", "least"), "fp", "left")
+    return fps, ids.select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("least")).alias("least"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3, bucket: int = 2048) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs (doc_id, text; other columns are ignored).
 
     Null and empty texts have fingerprint zero and link like any other; equal texts always share a component; repeated
     rows come back as often; an empty table gives an empty result. A null doc_id is kept and is nobody's smallest.
     """
+    fps, ids = classes(docs, Stored(docs.sparkSession), shingle, bits, bucket)
+    return fps.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, bits: int = 3, bucket: int = 2048) -> DataFrame:
+    """docs with one row of each class of near copies: that of the smallest doc_id (a null one only without others).
+
+    Of repeated rows one stays. Only rows whose doc_id is null or repeated have their fingerprint taken again."""
     store = Stored(docs.sparkSession)
-    fps = store.put("fps", fingerprints(docs, shingle))
-    distinct = store.put("distinct", fps.groupBy("fp").agg(F.min("doc_id").alias("low")), fps.count())
-    roots = components(links(distinct.select("fp"), store, bits, bucket), store).withColumnsRenamed({"node": "fp"})
-    linked = store.put("linked", roots.join(distinct, "fp"), roots.count())
-    least = linked.groupBy("root").agg(F.min("low").alias("least"))
-    ids = linked.join(least, "root").select("fp", "least")
-    ids = distinct.join(ids, "fp", "left").select("fp", F.coalesce("least", "low").alias("component_id"))
-    return fps.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fps, ids = classes(docs, store, shingle, bits, bucket)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp"))
+    kept = fps.join(ids, "fp").groupBy("root").agg(first.alias("s")).select("s.doc_id", "s.fp")
+    many = fps.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
+    kept = store.put("kept", kept.join(many, kept.doc_id.eqNullSafe(many.doc_id), "left").select(kept.doc_id.alias("_id"), "fp", F.col("n").isNotNull().alias("unsure")))
+    plain = kept.where("not unsure").select("_id")
+    out = docs.join(plain, F.col("doc_id").cast("long") == plain["_id"], "left_semi")
+    unsure = kept.where("unsure")
+    if unsure.isEmpty():
+        return out
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    some = row.join(unsure.select("_id").distinct(), F.col("row.doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = np.fromiter((fingerprint(x.as_py(), shingle) for x in b.column(1)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], names=["row", "_fp"])
+
+    some = some.select("row", F.col("row.text").cast("string").alias("_text")).mapInArrow(run, row.schema.add("_fp", "long"))
+    some = some.join(unsure, F.col("row.doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("fp")), "left_semi")
+    some = some.withColumn("_id", F.col("row.doc_id")).dropDuplicates(["_id", "_fp"])
+    return out.unionByName(some.select("row.*"))

@@ -85,3 +85,19 @@ def test_empty_table(spark):
 def test_null_ids_and_repeats(spark):
     got = simhash.near_duplicates(spark.createDataFrame([(None, "a b c"), (3, "a b c"), (3, "a b c"), (None, None)], "doc_id long, text string")).collect()
     assert sorted((x.doc_id or -1, x.component_id or -1) for x in got) == [(-1, -1), (-1, 3), (3, 3), (3, 3)]
+
+
+def test_keep_one(spark):
+    long = " ".join(f"w{i}" for i in range(80))
+    rows = [(5, long), (7, long + " x"), (2, "other words here that differ"), (None, "only null ids"), (None, "only null ids"), (9, "twice"), (9, "twice"), (9, "not the same text at all"), (None, long)]
+    df = spark.createDataFrame([(*r, "en", 1) for r in rows], "doc_id long, text string, row string, fp int").repartition(3)
+    out = simhash.keep_one(df)
+    assert out.columns == df.columns
+    got = sorted((x.doc_id or 0, x.text) for x in out.collect())
+    fps = [brute_fp(t) for _, t in rows]
+    same = bin(fps[0] ^ fps[1]).count("1") <= 3
+    want = [(5, long), (2, rows[2][1]), (0, rows[3][1]), (9, "twice"), (9, rows[7][1])] + ([] if same else [(7, rows[1][1])])
+    assert got == sorted(want)
+    unique = df.where("doc_id in (5, 7, 2)")
+    assert {x.doc_id for x in simhash.keep_one(unique).collect()} == {5, 2} | (set() if same else {7})
+    assert simhash.keep_one(df.limit(0)).count() == 0
