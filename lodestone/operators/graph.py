@@ -40,36 +40,20 @@ def nearest_pairs(points: DataFrame, k: int, axes: Sequence[str], metric: str |
                     r, mr = [v[:, None] for v in s[:, 1 : d + 1].T], [v[:, None] for v in s[:, d + 1 :].T]
                     q = D.symmetric_pnp(c, r, mc, mr) if metric else D.ploss(c, r)
                     take = min(k + 1, len(y))
-                    edge = np.partition(q, take - 1, axis=1)[:, take - 1]
-                    for row, name, most in zip(q, s[:, 0].astype(np.int64), edge):
-                        near = np.flatnonzero(row <= most)
-                        near = near[np.argsort(row[near], kind="stable")][:take]  # targets are in order of id
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), name)), pa.array(ids[near]), pa.array(row[near])], names=["source", "target", "weight"])
-
-    found = work.mapInArrow(_merged(run), "source long, target long, weight double")
+                    rows, cols = np.nonzero(q <= np.partition(q, take - 1, axis=1)[:, take - 1 : take])
+                    order = np.lexsort((cols, q[rows, cols], rows))  # targets are in order of id
+                    rows, cols = rows[order], cols[order]
+                    rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+                    rows, cols = rows[rank < take], cols[rank < take]
+                    yield pa.RecordBatch.from_arrays([pa.array(s[rows, 0].astype(np.int64)), pa.array(ids[cols]), pa.array(q[rows, cols])], names=["source", "target", "weight"])
+
+    found = work.mapInArrow(run, "source long, target long, weight double")
     if blocks == 1:
         return found
     best = Window.partitionBy("source").orderBy("weight", "target")
     return found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1).drop("_r")
 
 
-def _merged(run, rows: int = 50_000):
-    """Gather a generator's small batches."""
-
-    def out(batches):
-        held, n = [], 0
-        for b in run(batches):
-            held.append(b)
-            n += b.num_rows
-            if n >= rows:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, n = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-    return out
-
-
 def knn_edges(points: DataFrame, k: int, axes: Sequence[str], metric: str | None = "m", dedup: bool = False, block: int = 2048) -> DataFrame:
     """(source, target, weight) in both directions, a multiset: mutual neighbours give an edge twice unless dedup.
 
