@@ -33,6 +33,7 @@ class Counter:
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.counts: dict[str, int] = {}
         self.pieces: dict[str, int] = {}
+        self.again: set[str] = set()  # remembered segments that later blocks have used
 
     def plain(self, text: str) -> int:
         return len(self.whole.encode(text, add_special_tokens=False).ids)
@@ -84,10 +85,13 @@ class Counter:
     def batch(self, texts: list[str]) -> list[int]:
         split = [t.split(" ") if len(t) <= self.chunk else None for t in texts]
         rest = [ws[1:] for ws in split if ws]
-        new = set().union(*rest).difference(self.counts)
+        seen = set().union(*rest)
+        new = seen.difference(self.counts)
+        self.again |= seen - new
         if len(self.counts) + len(new) > REMEMBER:
-            self.counts.clear()
-            new = set().union(*rest)
+            if len(self.again) > REMEMBER // 2:
+                self.again = seen - new
+            self.counts = {w: self.counts[w] for w in self.again}
         safe = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
         for w in new.difference(safe):
             self.counts[w] = -1  # not a place to cut
