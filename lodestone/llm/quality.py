@@ -75,8 +75,8 @@ class Model:
     def score(self, bags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Scores, and the attention of the passages of all bags."""
         starts = np.cumsum([0, *(len(b) for b in bags[:-1])])
-        *_, a, _, _, s = self.forward(self.scaled(np.concatenate(bags)), starts)
-        return s, a
+        *_, a, _, _, s = self.forward(self.scaled(np.concatenate(bags)).astype(np.float32), starts)
+        return s.astype(float), a.astype(float)
 
     def gradient(self, x: np.ndarray, starts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         p = self.p
@@ -90,23 +90,25 @@ class Model:
         return {"W": x.T @ dh, "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ da, "c": z.T @ ds, "b": ds.sum(keepdims=True)}
 
 
-def train(bags: list[np.ndarray], y: np.ndarray, encoding: int = 24, attention: int = 12, steps: int = 400, batch: int = 256, seed: int = 7) -> Model:
+def train(bags: list[np.ndarray], y: np.ndarray, encoding: int = 24, attention: int = 12, steps: int = 300, batch: int = 256, seed: int = 7) -> Model:
     r = np.random.default_rng(seed)
     every = np.concatenate(bags)
     mean, scale = every.mean(0), every.std(0) + 0.02
     mean[-1], scale[-1] = 0, 1  # the constant
     shape = {"W": (WIDTH, encoding), "V": (encoding, attention), "U": (encoding, attention), "w": (attention,), "c": (encoding,), "b": (1,)}
     p = {k: r.normal(0, (0.1 if k == "W" else 0.3) * (k != "b"), v) for k, v in shape.items()}
+    p = {k: v.astype(np.float32) for k, v in p.items()}
     model, m1, m2 = Model(p, mean, scale), {k: np.zeros(v) for k, v in shape.items()}, {k: np.zeros(v) for k, v in shape.items()}
+    bags = [model.scaled(b).astype(np.float32) for b in bags]
     for step in range(1, steps + 1):
         at = r.choice(len(bags), min(batch, len(bags)), replace=False)
         mine = [bags[i] for i in at]
-        grad = model.gradient(model.scaled(np.concatenate(mine)), np.cumsum([0, *(len(b) for b in mine[:-1])]), y[at])
+        grad = model.gradient(np.concatenate(mine), np.cumsum([0, *(len(b) for b in mine[:-1])]), y[at])
         for k, g in grad.items():
             g = g + 1e-4 * p[k] * (k != "b")
             m1[k] = 0.9 * m1[k] + 0.1 * g
             m2[k] = 0.999 * m2[k] + 0.001 * g * g
-            p[k] = p[k] - 0.01 * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
+            p[k] = (p[k] - 0.01 * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)).astype(p[k].dtype)
     return model
 
 
@@ -134,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, passages_each: int
 
     rows = found.select("text", "doc_id", "_good").mapInArrow(run, "doc_id long, _good int, bag binary").limit(most).collect()
     rows.sort(key=lambda x: (x.doc_id, bytes(x.bag)))
-    y = np.array([r["_good"] for r in rows], float)
+    y = np.array([r["_good"] for r in rows], np.float32)
     if not len(y) or y.min() == y.max():
         return None
     return train([np.frombuffer(bytes(r.bag), "<f4").reshape(-1, WIDTH) for r in rows], y)

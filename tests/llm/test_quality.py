@@ -23,6 +23,7 @@ def test_gradient():
     bags = [np.abs(r.normal(size=(k, quality.WIDTH))) for k in (1, 3, 2)]
     x, starts, y = np.concatenate(bags), np.array([0, 1, 4]), np.array([0.0, 1.0, 1.0])
     m = quality.train([b.astype("f4") for b in bags], y, steps=1)
+    m.p = {k: v.astype(float) for k, v in m.p.items()}
     loss = lambda: -np.mean(y * np.log(m.forward(x, starts)[-1]) + (1 - y) * np.log(1 - m.forward(x, starts)[-1]))
     for k, g in m.gradient(x, starts, y).items():
         at = np.unravel_index(np.argmax(np.abs(g)), g.shape)
