@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, decontam, linededup, quality, simhash
-from lodestone.llm.common import Stored, table
+from lodestone.llm.common import Stored, spread, table
 from lodestone.llm.queries import vocabulary
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    return quality.keep_good(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return quality.keep_good(spread(docs), table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,17 +23,17 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies."""
-    return simhash.keep_one(docs)
+    return simhash.keep_one(spread(docs))
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+    return decontam.keep_clean(spread(docs), table(spark, sf_dir, "benchmark"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of the ids and of the decoded text."""
-    done = bpe.encode_decode(docs.select("doc_id", "source", "text"), vocabulary("word_bpe_49k.json"))
+    done = bpe.encode_decode(spread(docs).select("doc_id", "source", "text"), vocabulary("word_bpe_49k.json"))
     return done.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
@@ -52,8 +52,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the last stage, each stage's result being a stored table that the next one reads."""
     store, docs, last = Stored(spark), table(spark, sf_dir, "documents"), None
+    mark = len(Stored.live)
     for i, (_, stage) in enumerate(STAGES):
         docs = store.put(f"stage{i}", stage(spark, docs, sf_dir))
+        Stored.release(mark)  # what the stage's operator has stored is read no more
         if last:
             store.drop(last)
         last = f"stage{i}"

@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.session import ship
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Everything that is not part of a word: ASCII other than digits and lower-case letters.
 WORD_GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -23,6 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than there are cores is dealt out; a larger one stays as it is, without a shuffle."""
+    ship(docs.sparkSession)
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Only a session without spark.checkpoint.dir (a test) gets a temporary one."""
     sc = spark.sparkContext
@@ -40,7 +49,11 @@ def shared_dir(spark: SparkSession) -> str:
 class Stored:
     """Tables written into the shared folder: they cut lineage, survive lost executors and give Spark exact sizes."""
 
+    live: list[Stored] = []
+
     def __init__(self, spark: SparkSession):
+        ship(spark)
+        Stored.live.append(self)
         self.spark, self.top, self.paths = spark, f"{shared_dir(spark)}/t-{uuid.uuid4().hex}", {}
 
     def put(self, name: str, df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -62,6 +75,14 @@ class Stored:
                 where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+    @classmethod
+    def release(cls, since: int) -> None:
+        """Delete the tables of all but the first `since` stores, whose readers are done."""
+        while len(cls.live) > since:
+            store = cls.live.pop()
+            store.drop(*list(store.paths))
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

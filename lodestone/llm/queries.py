@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, decontam, htmltext, license, linededup, quality, rules, sharding, simhash, tokencount
-from lodestone.llm.common import table
+from lodestone.llm.common import spread, table
 
 
 def vocabulary(name: str) -> str:
@@ -16,17 +16,17 @@ def vocabulary(name: str) -> str:
 
 
 def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json"))
+    done = bpe.encode_decode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), vocabulary("word_bpe_49k.json"))
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    done = quality.classify(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "labels").select("doc_id", "quality"))
     return done.select("doc_id", "held_out", "score", "predicted")
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = decontam.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    done = decontam.contamination(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"))
     ids = F.sha2(F.array_join("items", ",").cast("binary"), 256)
     return done.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), "contaminated")
 
@@ -36,17 +36,17 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = license.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = license.scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return done.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = tokencount.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"))
+    done = tokencount.token_counts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), vocabulary("byte_bpe_50k.json"))
     return done.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return simhash.near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,12 +55,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    done = htmltext.extract(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
     return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    done = rules.apply_rules(spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")), table(spark, sf_dir, "labels").select("doc_id", "quality"))
     return done.select("doc_id", *rules.COUNTS, "base_failed", "kept")
 
 

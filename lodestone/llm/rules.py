@@ -108,10 +108,11 @@ def thresholds(counts: list, risk: float, delta: float) -> dict[tuple[str | None
     return out
 
 
-def fit(measured: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.05, delta: float = 0.05, most_strata: int = 200) -> dict:
+def fit(measured: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.05, delta: float = 0.05, most_strata: int = 10_000) -> dict:
     """Certified cutoffs from all labelled rows: tallies of good and bad texts above each cutoff are summed in Spark.
 
-    Strata beyond the `most_strata` with most labels get no cutoffs, as those without labels. A doc_id with several
+    The table of tallies, one row a stratum, comes to the driver: strata beyond the `most_strata` with most labels (more
+    languages than there are) are treated as those without labels. A doc_id with several
     labels counts by their mean (0.5 or more: good); null labels don't count.
     """
     quality = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("_good"))

@@ -35,6 +35,18 @@ def test_counts(chunk, overlap):
     assert [c.huge(x) for x in t] == want
 
 
+def test_bounded_memory(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBER", 40)
+    monkeypatch.setattr(tokencount, "REMEMBER", 40)
+    t = texts()
+    c, n = bpe.Codec(WORD, 64), tokencount.Counter(BYTE, 500, 20)
+    a, b = Tokenizer.from_file(WORD), Tokenizer.from_file(BYTE)
+    for i in range(0, len(t), 7):
+        part = t[i : i + 7]
+        assert [bpe.unpack(x) for x, _ in c.batch(part)] == [x.ids for x in a.encode_batch(part, add_special_tokens=False)]
+        assert n.batch(part) == [len(x.ids) for x in b.encode_batch(part, add_special_tokens=False)]
+
+
 def test_tables(spark):
     rows = [(1, "Hello the world", "en", 7), (1, "Hello the world", "en", 7), (2, None, None, None), (None, "", "x", 1), (3, "z" * 200_000, "x", 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string, n_tokens int")
