@@ -202,8 +202,10 @@ def keep_one(docs: DataFrame, shingle: int = 3, bits: int = 3, bucket: int = 204
     Of repeated rows one stays. Only rows whose doc_id is null or repeated have their fingerprint taken again."""
     store = Stored(docs.sparkSession)
     fps, ids = classes(docs, store, shingle, bits, bucket)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp"))
-    kept = fps.join(ids, "fp").groupBy("root").agg(first.alias("s")).select("s.doc_id", "s.fp")
+    # copies come down to one row a fingerprint before anything is joined
+    each = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("s"))
+    first = F.min(F.struct("s.none", "s.doc_id", "fp"))
+    kept = each.join(ids, "fp").groupBy("root").agg(first.alias("s")).select("s.doc_id", "s.fp")
     many = fps.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
     kept = store.put("kept", kept.join(many, kept.doc_id.eqNullSafe(many.doc_id), "left").select(kept.doc_id.alias("_id"), "fp", F.col("n").isNotNull().alias("unsure")))
     plain = kept.where("not unsure").select("_id")
