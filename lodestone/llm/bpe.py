@@ -14,7 +14,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from struct import pack
 
 import numpy as np
@@ -33,38 +33,43 @@ class Codec:
 
     def __init__(self, path: str, leaf: int = 2048):
         from tokenizers import Tokenizer
-        from tokenizers.models import BPE
 
-        self.whole, self.leaf = Tokenizer.from_file(path), leaf
+        self.whole, self.leaf, self.path = Tokenizer.from_file(path), leaf, path
         self.whole.no_truncation()
         self.whole.no_padding()
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model = spec["model"]
-        self.suffix = model.get("end_of_word_suffix") or ""
-        merges = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"]]
-        self.inner = Tokenizer(BPE(model["vocab"], merges))
-        self.last = Tokenizer(BPE(model["vocab"], merges, end_of_word_suffix=self.suffix)) if self.suffix else self.inner
+        self.suffix = self.whole.model.end_of_word_suffix or ""
         self.tokens = {i: t for t, i in self.whole.get_vocab(with_added_tokens=True).items()}
-        special = sorted((x["content"] for x in spec["added_tokens"]), key=len, reverse=True)
+        special = sorted((t.content for t in self.whole.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.spaced = [" " + self.tokens.get(i, "") for i in range(max(self.tokens) + 1)]
         self.ids: dict[str, bytes] = {}
         self.texts: dict[str, str] = {}
         self.again: set[str] = set()  # remembered words that later blocks have used
 
+    @cached_property
+    def bare(self) -> tuple:
+        """Tokenizers of the merges alone, for a word's inside and for its end; only long words need them."""
+        from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+
+        with open(self.path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merges = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"]]
+        inner = Tokenizer(BPE(model["vocab"], merges))
+        return inner, Tokenizer(BPE(model["vocab"], merges, end_of_word_suffix=self.suffix)) if self.suffix else inner
+
     def _width(self, token: int, final: bool) -> int:
         t = self.tokens[token]
         return len(t) - len(self.suffix) if final and self.suffix and t.endswith(self.suffix) else len(t)
 
     def _encode(self, part: str, final: bool) -> list[int]:
-        return (self.last if final else self.inner).encode(part, add_special_tokens=False).ids
+        return self.bare[final].encode(part, add_special_tokens=False).ids
 
     def tree(self, word: str) -> list[int]:
         """Token ids of one long word, which the pre-tokenizer doesn't split."""
         cuts = list(range(0, len(word), self.leaf))
         ends = [*cuts[1:], len(word)]
-        parts = [x.ids for x in self.inner.encode_batch_fast([word[a:b] for a, b in zip(cuts[:-1], ends[:-1])], add_special_tokens=False)]
+        parts = [x.ids for x in self.bare[0].encode_batch_fast([word[a:b] for a, b in zip(cuts[:-1], ends[:-1])], add_special_tokens=False)]
         parts.append(self._encode(word[cuts[-1] :], True))
         nodes = [(a, b, ids) for a, b, ids in zip(cuts, ends, parts)]
         while len(nodes) > 1:

@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 from lodestone.llm import bpe, tokencount
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
-ODD = ["", " ", "\n\n", "  a  b ", "İstanbul ΣΑΣ", "é ́x", "x\x1cy\x85z\xa0w", "don't I'll we've", "<|endoftext|>", "a<|endoftext|>b <|startoftext|> <|endoftext|>", "  <|endoftext|>  x", "힣가", "日本語 テスト", "a b", "1234567 8.9,,,!!", "x" * 9000, "ab1" * 3000, "!?" * 4000 + " tail", "a \nb", "tab\there", "‍👩‍👩", " lead", "trail ", "\n"]
+ODD = ["The, the THE. Été, ÉTÉ. İ, ǅ ŉ ß. ﬁ, x.. .,, a.b, don't. I's, ª º. ŀ ĳ ÿ,", "", " ", "\n\n", "  a  b ", "İstanbul ΣΑΣ", "é ́x", "x\x1cy\x85z\xa0w", "don't I'll we've", "<|endoftext|>", "a<|endoftext|>b <|startoftext|> <|endoftext|>", "  <|endoftext|>  x", "힣가", "日本語 テスト", "a b", "1234567 8.9,,,!!", "x" * 9000, "ab1" * 3000, "!?" * 4000 + " tail", "a \nb", "tab\there", "‍👩‍👩", " lead", "trail ", "\n"]
 
 
 def texts():
