@@ -5,10 +5,11 @@ children's styles). The trees of a host are merged by path. Of every merged node
 pages that have it: of its presentation (how evenly pages use its child sequences; none: 0) and of its content (for each
 text below it, the log to base m of the pages that repeat it, so 0 for texts of one page and 1 for texts of all). Its
 importance is (1 - g^l) * presentation + g^l * (1 - content), with l children; nodes of one page have importance 1.
-Branches below the threshold leave every page of the host. Elements that by standard name or role hold no article
-(menus, forms, adverts and so on) weigh nothing wherever they stand, which also decides on hosts of a few pages; text
-inside <article> or <main> is what the page declares as its article, so repetition (copies of a page) doesn't remove it,
-and where a page has such an element nothing outside of it is taken.
+Branches below the threshold leave every page of the host, inside <article> and <main> as elsewhere; pages of a host with
+the same content count once, so copies of a page don't make it a frame. Elements that by standard name or role hold no
+article (menus, forms, adverts and so on) weigh nothing wherever they stand: their texts differ from page to page, which
+a tree can't tell from an article. What a page declares as <article> or <main> decides for nodes on too few pages for
+the tree: there nothing outside of it is taken.
 
 Merged statistics are sums by (host, path, text) that are pre-aggregated in tasks; low nodes of a host are few.
 """
@@ -135,8 +136,14 @@ def _host(pages: DataFrame) -> Column:
     return F.lower(F.coalesce(F.try_parse_url(pages["url"].cast("string"), F.lit("HOST")), F.lit("")))
 
 
+def _content(blocks: list[tuple[str, str, bool, bool]]) -> list[str]:
+    """The texts of a page without noise: of its articles, or all."""
+    return [t for _, t, m, noise in blocks if m and not noise] or [t for _, t, _, noise in blocks if not noise]
+
+
 def trees(pages: DataFrame) -> DataFrame:
-    """(_host, blocks: array of path and text hash, nodes: array of path, child styles and children) of every page."""
+    """(_host, page: hash of its content, blocks: array of path and text hash, nodes: array of path, child styles and
+    children), one row for all pages of a host with the same content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -149,20 +156,22 @@ def trees(pages: DataFrame) -> DataFrame:
                 done = [parse(x.as_py() or "") for x in part.column(1)]
                 blocks = [[{"path": p, "h": xxhash.xxh64_intdigest(t) - (1 << 63)} for p, t, *_ in x] for x, _ in done]
                 nodes = [[{"path": p, "style": s, "n": n} for p, s, n in y] for _, y in done]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blocks, kind), pa.array(nodes, style)], names=["_host", "blocks", "nodes"])
+                page = [xxhash.xxh3_128_hexdigest("\n\n".join(_content(x)).encode("utf-8", "surrogatepass")) for x, _ in done]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(page, pa.string()), pa.array(blocks, kind), pa.array(nodes, style)], names=["_host", "page", "blocks", "nodes"])
 
     df = pages.select(_host(pages).alias("_host"), F.col("html").cast("string"))
-    return df.mapInArrow(run, "_host string, blocks array<struct<path:string,h:bigint>>, nodes array<struct<path:string,style:string,n:int>>")
+    return df.mapInArrow(run, "_host string, page string, blocks array<struct<path:string,h:bigint>>, nodes array<struct<path:string,style:string,n:int>>").dropDuplicates(["_host", "page"])
 
 
-def main_text(page: str, low: list[str] | None) -> str:
-    """Text of a page's blocks without noise: of its articles, or without low branches, or all if nothing else is left."""
+def main_text(page: str, low: list[str] | None, high: list[str] | None = None) -> str:
+    """Text of a page's blocks without noise and low branches: of its articles and of high nodes, or all without articles.
+    If nothing is left, low branches stay."""
     blocks = [x for x in parse(page)[0] if not x[3]]
-    main = [t for _, t, m, _ in blocks if m]
-    if not main and low:
-        low = set(low)
-        main = [t for path, t, *_ in blocks if not any("/".join(up) in low for up in _above(path.split("/")))]
-    return "\n\n".join(main or [t for _, t, *_ in blocks])
+    low, high = set(low or ()), set(high or ())
+    left = [x for x in blocks if not any("/".join(up) in low for up in _above(x[0].split("/")))] if low else blocks
+    if any(m for _, _, m, _ in blocks):
+        left = [x for x in left if x[2] or x[0] in high]
+    return "\n\n".join([t for _, t, *_ in left] or _content(blocks))
 
 
 def _above(steps: list[str]) -> Iterator[list[str]]:
@@ -196,21 +205,23 @@ def extract(pages: DataFrame, threshold: float = 0.25, least_pages: int = 5) ->
     """pages' columns but html, with text (blocks joined by blank lines; empty if none).
 
     Null and empty pages give an empty text; pages without a host share one; a node must be on `least_pages` pages of
-    its host before repetition says anything. If every block of a page outside noise is low, all of them stay. Repeated
-    pages each get their text; a column named text is replaced; an empty table gives an empty one.
+    its host before repetition says anything (pages with the same content count once). If every block of a page outside
+    noise is low, its articles stay, or all of them without one. Repeated pages each get their text; a column named text is replaced; an empty table gives an empty one.
     """
     store = Stored(pages.sparkSession)
     rest = [c for c in pages.columns if c not in ("html", "text")]
-    found = importance(store.put("trees", trees(pages))).where((F.col("importance") < threshold) & (F.col("pages") >= least_pages) & F.col("path").contains("/"))
-    low = store.put("low", found.groupBy("_host").agg(F.collect_set("path").alias("_low")))
+    found = importance(store.put("trees", trees(pages))).where((F.col("pages") >= least_pages) & F.col("path").contains("/"))
+    is_low = F.col("importance") < threshold
+    sides = (F.collect_set(F.when(x, F.col("path"))).alias(c) for x, c in ((is_low, "_low"), (~is_low, "_high")))
+    judged = store.put("judged", found.groupBy("_host").agg(*sides))
     row = pages.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), F.col("html").cast("string").alias("html"), _host(pages).alias("_host"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
-                text = [main_text(x.as_py() or "", y.as_py()) for x, y in zip(part.column(1), part.column(2))]
+                text = [main_text(x.as_py() or "", y.as_py(), z.as_py()) for x, y, z in zip(part.column(1), part.column(2), part.column(3))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(text, pa.string())], names=["row", "text"])
 
-    out = row.join(low, "_host", "left").select("row", "html", "_low").mapInArrow(run, row.select("row").schema.add("text", "string"))
+    out = row.join(judged, "_host", "left").select("row", "html", "_low", "_high").mapInArrow(run, row.select("row").schema.add("text", "string"))
     return out.select(*(F.col(f"row.`{c}`") for c in rest), "text")

@@ -39,3 +39,19 @@ def test_importance(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {x.path: x.importance for x in htmltext.importance(htmltext.trees(df)).collect()}
     assert got["body/div/p"] < 1e-9 and got["body/div"] < 1e-9 and abs(got["body/section/p"] - 1) < 1e-9
+
+
+def test_tree_decides_in_articles(spark):
+    frame = "<div class=k3x><p>Get our letter</p></div>"
+    page = lambda i: f"<body><div class=z9><p>Lede {i}</p></div><div class=top><p>Welcome</p></div><article><h1>Head {i}</h1>{frame}<p>Own text {i}</p></article></body>"
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(8)]
+    rows += [(100 + i, f"http://b.example/{i}", page(7)) for i in range(8)]  # copies of one page: no frame can be told
+    rows += [(200 + i, f"http://c.example/{i}", page(i)) for i in range(4)]  # too few pages
+    rows += [(300 + i, f"http://d.example/{i}", f"<body><p>By {i}<article><p>Same</p></article></body>") for i in range(3)]
+    got = {x.page_id: x.text for x in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for i in range(8):
+        assert got[i] == f"Lede {i}\n\nHead {i}\n\nOwn text {i}"
+        assert got[100 + i] == "Head 7\n\nGet our letter\n\nOwn text 7"
+    assert all(got[200 + i] == f"Head {i}\n\nGet our letter\n\nOwn text {i}" for i in range(4))
+    assert all(got[300 + i] == "Same" for i in range(3))
+    assert htmltext.main_text(page(1), ["body/article"]) == "Head 1\n\nGet our letter\n\nOwn text 1"
