@@ -244,6 +244,11 @@ def log1p_features(spark, sf):
     return _store(spark, sf).select("row_id", F.posexplode("s").alias("i", "v")).where("i < 4").select("row_id", "i", F.round(F.log1p(F.abs(F.col("v").cast("double")) * 1e3), 6).alias("v"))
 
 
+def log1p_features_whole(spark, sf):
+    """Every component of every stored vector."""
+    return _store(spark, sf).select("row_id", F.posexplode("s").alias("i", "v")).select("row_id", "i", F.round(F.log1p(F.abs(F.col("v").cast("double")) * 1e3), 6).alias("v"))
+
+
 def feature_strings(spark, sf):
     p = grid.grid(spark, {"a": (0.0, 4.0), "b": (-1.0, 1.0)}, 5)
     return graph.nodes(p, ("a", "b")).select("id", export.feature_string(F.col("features")).alias("features"))
@@ -291,7 +296,7 @@ QUERIES = {
         knn_bruteforce, theta_grid, theta_grid_f32, theta_grid_first, theta_grid_five_axes, hub_ids, s_lookup_ordered, s_lookup_batched, s_filtered_scan, s_hub_semijoin,
         ploss_dist, pnp_dist, sym_pnp_dist, bruteforce_dist, knn_ploss, knn_pnp, knn_bruteforce_theta, knn_many_references, hub_allocation, metric_tensor,
         knn_graph_edges, knn_graph_blocks, knn_graph_undirected, knn_graph_stats, graph_isolated, graph_selfloops, iou_curve, iou_curve_ploss, iou_self, method_trade_off,
-        drum_coefs, drum_coefs_as_written, drum_modes, drum_mode_block, drum_waveform, physics_to_percept, percept_to_physics, log1p_features, feature_strings, graphml_lines,
+        drum_coefs, drum_coefs_as_written, drum_modes, drum_mode_block, drum_waveform, physics_to_percept, percept_to_physics, log1p_features, log1p_features_whole, feature_strings, graphml_lines,
         layout_edges, layout_nodes, feature_precompute, jtfs_features, metric_hub_full, knn_pnp_scattering, wav_frames,
     )
 }
@@ -438,6 +443,7 @@ ORACLES = {
         SELECT row_id, CAST(-1 / tau + p / tau AS FLOAT) AS d1, CAST(p * k / tau AS FLOAT) AS d3, CAST(k * k * (pow(d * w, 2) + pow(p / tau, 2)) AS FLOAT) AS s4,
                CAST(k * (w * w * (1 - d * d) + (1 - p * p) / (tau * tau)) AS FLOAT) AS c2 FROM q""",
     "log1p_features": f"SELECT row_id, CAST(i AS INTEGER) AS i, round(ln(1 + 1e3 * abs(CAST(s[i + 1] AS DOUBLE))), 6) AS v FROM {_STORE}, range(4) AS r(i)",
+    "log1p_features_whole": f"SELECT row_id, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS i, round(ln(1 + 1e3 * abs(CAST(unnest(s) AS DOUBLE))), 6) AS v FROM {_STORE}",
     "feature_strings": f"SELECT row_id AS id, {_TEXT} AS features FROM {_grid(_AB, 5)}",
     "graphml_lines": f"""WITH pt AS (SELECT * FROM {_grid(_AB, 3)}),
         pair AS (SELECT r.row_id AS source, c.row_id AS target, {_ploss('c', 'r', ('a', 'b'))} AS weight FROM pt r, pt c),

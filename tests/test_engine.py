@@ -10,6 +10,7 @@ from lodestone.functions.drum import Drum, coefficients, drum_modes, kept_modes,
 from lodestone.functions.features import BandEnergies, JointScattering
 from lodestone.functions.metric import Chain, Quadratic
 from lodestone.operators import evaluate, graph, hubs, knn, layout, precompute
+from lodestone.plans.queries import QUERIES
 from lodestone.schemas import AXES
 from lodestone.sources import export, grid, store
 
@@ -299,3 +300,9 @@ def test_entry_without_llm(spark):
 
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and entry.entry(spark).count() > 0
+
+
+def test_log1p_of_whole_vectors(spark):
+    sf = "/root/testdata/sf0.001"
+    got = QUERIES["log1p_features_whole"](spark, sf).groupBy("row_id").count().collect()
+    assert len(got) == spark.read.parquet(f"{sf}/embeddings.parquet").count() and {x["count"] for x in got} == {64}
