@@ -179,6 +179,39 @@ def graph_selfloops(spark, sf):
     return graph.self_loops(e.unionByName(p.where("row_id < 3").select(F.col("row_id").alias("source"), F.col("row_id").alias("target"), F.lit(0.0).alias("weight"))))
 
 
+def _whole_graph(spark):
+    """The graph of the reference's size: 10,000 points and 2,000 hubs."""
+    p = _points(spark)
+    table = _hub_table(spark, p, 10_000, 2000)
+    return p, graph.knn_edges(graph.graph_points(p, hubs.allocation(p, table, AXES), table), GRAPH_K, AXES)
+
+
+def hub_allocation_whole(spark, sf):
+    p = _points(spark)
+    return hubs.allocation(p, _hub_table(spark, p, 10_000, 2000), AXES)
+
+
+def metric_tensor_whole(spark, sf):
+    p = _points(spark)
+    return hubs.hub_metrics(p, grid.hub_ids(spark, 10_000, 2000), CHAIN, AXES).select("hub", "row_id", F.posexplode("m").alias("at", "m"))
+
+
+def knn_graph_edges_whole(spark, sf):
+    return _whole_graph(spark)[1]
+
+
+def knn_graph_undirected_whole(spark, sf):
+    return graph.undirected(_whole_graph(spark)[1])
+
+
+def knn_graph_stats_whole(spark, sf):
+    return graph.stats(*_whole_graph(spark))
+
+
+def layout_edges_whole(spark, sf):
+    return export.layout_edges(knn_graph_undirected_whole(spark, sf))
+
+
 def iou_curve(spark, sf):
     p = _points(spark)
     return evaluate.iou_curve(knn.knn(p, REF, K, "PNP", chain=CHAIN), knn.knn(p, REF, K, "Bruteforce", store=_feature_columns(p)), AXES, K)
@@ -220,6 +253,11 @@ def drum_modes(spark, sf):
     return M.drum_modes(_points(spark, 4)).select("row_id", "mu1", "mu2", f("n"), f("decay"), f("omega"), "rejected", F.round("amp", 9).alias("amp"))
 
 
+def drum_modes_whole(spark, sf):
+    f = lambda c: F.col(c).cast("float").alias(c)
+    return M.drum_modes(_points(spark)).select("row_id", "mu1", "mu2", f("n"), f("decay"), f("omega"), "rejected", F.round("amp", 9).alias("amp"))
+
+
 def drum_mode_block(spark, sf):
     return M.mode_block(M.drum_modes(_points(spark)))
 
@@ -298,6 +336,7 @@ QUERIES = {
         knn_graph_edges, knn_graph_blocks, knn_graph_undirected, knn_graph_stats, graph_isolated, graph_selfloops, iou_curve, iou_curve_ploss, iou_self, method_trade_off,
         drum_coefs, drum_coefs_as_written, drum_modes, drum_mode_block, drum_waveform, physics_to_percept, percept_to_physics, log1p_features, log1p_features_whole, feature_strings, graphml_lines,
         layout_edges, layout_nodes, feature_precompute, jtfs_features, metric_hub_full, knn_pnp_scattering, wav_frames,
+        hub_allocation_whole, metric_tensor_whole, knn_graph_edges_whole, knn_graph_undirected_whole, knn_graph_stats_whole, layout_edges_whole, drum_modes_whole,
     )
 }
 
@@ -420,6 +459,8 @@ ORACLES = {
     "knn_many_references": f"SELECT r.row_id AS ref_id, CAST(row_number() OVER (PARTITION BY r.row_id ORDER BY {_ploss('c', 'r')}, c.row_id) - 1 AS INTEGER) AS rank, c.row_id, {_ploss('c', 'r')} AS dist FROM {_grid()} c, (SELECT * FROM {_grid()} SEMI JOIN {_HUBS.format(n=10000, h=20)} USING (row_id)) r QUALIFY rank < 10",
     "hub_allocation": f"WITH pt AS MATERIALIZED (SELECT * FROM {_grid()}), {_alloc(10000, 100, 'pt')} SELECT * FROM alloc",
     "metric_tensor": f"SELECT hub, row_id, CAST(generate_subscripts(m, 1) - 1 AS INTEGER) AS at, unnest(m) AS m FROM (SELECT hub, p.row_id, [{', '.join(_metric('p'))}] AS m FROM {_HUBS.format(n=81, h=20)} h JOIN {_grid(n=3)} p USING (row_id))",
+    "hub_allocation_whole": f"WITH pt AS MATERIALIZED (SELECT * FROM {_grid()}), {_alloc(10000, 2000, 'pt')} SELECT * FROM alloc",
+    "metric_tensor_whole": f"SELECT hub, row_id, CAST(generate_subscripts(m, 1) - 1 AS INTEGER) AS at, unnest(m) AS m FROM (SELECT hub, p.row_id, [{', '.join(_metric('p'))}] AS m FROM {_HUBS.format(n=10000, h=2000)} h JOIN {_grid()} p USING (row_id))",
     "knn_graph_edges": f"{_edges()} SELECT * FROM edge",
     "knn_graph_blocks": _EMB_EDGES,
     "knn_graph_undirected": f"{_edges()} SELECT least(source, target) AS source, greatest(source, target) AS target, min(weight) AS weight FROM edge GROUP BY 1, 2",
@@ -432,6 +473,7 @@ ORACLES = {
     "drum_coefs": f"SELECT row_id, {_FLOATS(('w', 'l2', 's4', 'c2', 'd1', 'd3'))} FROM ({_drum(_grid())})",
     "drum_coefs_as_written": f"SELECT row_id, {_FLOATS(('w', 'l2', 's4', 'c2', 'd1', 'd3'))} FROM (SELECT row_id, {_coefs('w', '3.1e0', 'w', 'w', 'tau')} FROM (SELECT row_id, pow(10e0, 3.1e0) AS w, tau FROM {_grid()}))",
     "drum_modes": f"WITH {_modes(_grid(n=4))} SELECT row_id, mu1, mu2, {_FLOATS(('n', 'decay', 'omega'))}, rejected, round(amp, 9) AS amp FROM modes",
+    "drum_modes_whole": f"WITH {_modes(_grid())} SELECT row_id, mu1, mu2, {_FLOATS(('n', 'decay', 'omega'))}, rejected, round(amp, 9) AS amp FROM modes",
     "drum_mode_block": f"WITH {_modes(_grid())}, {_BLOCK} SELECT * FROM block",
     "drum_waveform": f"""WITH {_modes(_grid(FEW, 2))}, {_BLOCK},
         y AS (SELECT row_id, t, sum(amp * exp(-decay * (t * {_STEP})) * sin(omega * (t * {_STEP}))) AS y FROM modes JOIN block USING (row_id), range({SMALL.dur}) AS ts(t) WHERE mu1 <= c1 AND mu2 <= block.c2 GROUP BY row_id, t)

@@ -306,3 +306,20 @@ def test_log1p_of_whole_vectors(spark):
     sf = "/root/testdata/sf0.001"
     got = QUERIES["log1p_features_whole"](spark, sf).groupBy("row_id").count().collect()
     assert len(got) == spark.read.parquet(f"{sf}/embeddings.parquet").count() and {x["count"] for x in got} == {64}
+
+
+def test_whole_graph(spark):
+    """Sizes of the reference's graph, and the edges of some points against brute force."""
+    hub = {r.row_id: r.hub for r in QUERIES["hub_allocation_whole"](spark, "").collect()}
+    assert len(hub) == 10_000 and len(set(hub.values())) > 256
+    e = QUERIES["knn_graph_edges_whole"](spark, "").persist()
+    assert e.count() == 120_000 and graph.isolated(grid.grid(spark), e).count() == 0
+    m = np.array([r.m for r in QUERIES["metric_tensor_whole"](spark, "").orderBy("hub", "at").collect()]).reshape(2000, 4, 4)
+    x = np.array([list(r)[1:] for r in grid.grid(spark).orderBy("row_id").collect()])
+    mine = m[[hub[i] for i in range(10_000)]]
+    for i in (0, 41, 5005, 9999):
+        d = x[i] - x
+        q = np.einsum("na,nab,nb->n", d, (mine + mine[i]) / 2, d)
+        near = set(np.lexsort((np.arange(10_000), q))[:7].tolist()) - {i}
+        assert near <= {r.target for r in e.where(F.col("source") == i).collect()}
+    e.unpersist()
