@@ -6,6 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,12 +36,15 @@ def spread(docs: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a session without spark.checkpoint.dir (a test) gets a temporary one."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. Only a session whose executors run
+    inside the driver (master local) may go without: it gets a temporary folder."""
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if not found.isDefined():
         where = spark.conf.get("spark.checkpoint.dir", None)
         if not where:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             where = tempfile.mkdtemp(prefix="lodestone-")
             atexit.register(shutil.rmtree, where, ignore_errors=True)
         sc.setCheckpointDir(where)
@@ -47,13 +53,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Stored:
-    """Tables written into the shared folder: they cut lineage, survive lost executors and give Spark exact sizes."""
+    """Tables written into the shared folder: they cut lineage, survive lost executors and give Spark exact sizes.
 
-    live: list[Stored] = []
+    A result that reads them is lazy, so they stay until the scope they were made in ends or, outside of any, Python does."""
+
+    _scope: ContextVar[list[Stored]] = ContextVar("stored", default=[])
 
     def __init__(self, spark: SparkSession):
         ship(spark)
-        Stored.live.append(self)
+        self._scope.get().append(self)
         self.spark, self.top, self.paths = spark, f"{shared_dir(spark)}/t-{uuid.uuid4().hex}", {}
 
     def put(self, name: str, df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -70,17 +78,38 @@ class Stored:
         """Delete tables that no later step reads."""
         for name in names:
             if path := self.paths.pop(name, None):
-                jvm = self.spark.sparkContext._jvm
-                where = jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+                self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        sc = self.spark.sparkContext
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
+    def release(self) -> None:
+        self.paths.clear()
+        self._delete(self.top)
 
     @classmethod
-    def release(cls, since: int) -> None:
-        """Delete the tables of all but the first `since` stores, whose readers are done."""
-        while len(cls.live) > since:
-            store = cls.live.pop()
-            store.drop(*list(store.paths))
+    @contextmanager
+    def scope(cls) -> Iterator[None]:
+        """Delete the tables of all stores made inside, once what reads them has been written. Threads have their own scopes."""
+        made: list[Stored] = []
+        token = cls._scope.set(made)
+        try:
+            yield
+        finally:
+            cls._scope.reset(token)
+            for store in made:
+                store.release()
+
+
+@atexit.register
+def _release() -> None:
+    for store in Stored._scope.get():
+        try:
+            store.release()
+        except Exception:  # its session has ended: the folder is all that is left to try
+            shutil.rmtree(store.top.removeprefix("file:"), ignore_errors=True)
 
 
 def lower_ascii(text: Column) -> Column:

@@ -16,9 +16,8 @@ from lodestone.llm.common import Stored
 
 
 def _line(x: Column) -> Column:
-    """Two 64-bit hashes of a trimmed line."""
-    t = F.trim(x)
-    return F.struct(F.xxhash64(t).alias("a"), F.xxhash64(F.lit("line"), t).alias("b"))
+    """A trimmed line's digest, a string: arrays of them are compared through hash sets."""
+    return F.md5(F.trim(x).cast("binary"))
 
 
 def _lines(text: Column) -> Column:
@@ -28,17 +27,20 @@ def _lines(text: Column) -> Column:
 def frequent_lines(pages: DataFrame, ratio: float, least: int) -> DataFrame:
     """(_host, _line) of lines on more than `ratio` of their host's pages, and on `least` pages at least. pages: (_host, text)."""
     total = pages.groupBy("_host").agg(F.count(F.lit(1)).alias("pages"))
-    each = pages.select("_host", F.explode(F.array_distinct(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""))).alias("line"))
+    trimmed = F.transform(_lines(F.col("text")), lambda x: F.trim(x))
+    each = pages.select("_host", F.explode(F.array_distinct(F.filter(trimmed, lambda x: x != ""))).alias("line"))  # a page counts once
     n = each.groupBy("_host", _line(F.col("line")).alias("_line")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     return n.join(total, "_host").where(F.col("n") > ratio * F.col("pages")).select("_host", "_line")
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.02, least: int = 5) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.02, least: int = 5, spare_copies: bool = True) -> DataFrame:
     """docs with boilerplate lines taken out of text; columns, rows and line order stay, and n_lines_dropped is added.
 
-    Lines compare trimmed; blank lines are never dropped. A page of which every line is frequent is a copy of other
-    pages rather than their frame: it is left whole, for near-duplicate removal. Null hosts form one host; a null text
-    stays null; repeated rows count as pages of their own; a column named n_lines_dropped is replaced.
+    Lines compare trimmed; blank lines are never dropped. spare_copies: a page of which every line is frequent is a copy
+    of other pages rather than their frame and is left whole, for near-duplicate removal; without it such a page loses all
+    its lines but blank ones. Null hosts form one host; null and empty texts stay as they are; a line at exactly the
+    ratio stays; repeated rows count as pages of their own; a column named n_lines_dropped is replaced; an empty table
+    gives an empty one. A text of any length is one row's work: its lines are looked up in one pass.
     """
     store = Stored(docs.sparkSession)
     rest = [c for c in docs.columns if c != "n_lines_dropped"]
@@ -48,9 +50,13 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.02,
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), F.coalesce(F.concat(F.lit("="), F.col(f"`{host}`").cast("string")), F.lit("")).alias("_host"))
     row = row.join(sets, "_host", "left")
     all_lines = _lines(F.col("row.text"))
-    kept = F.filter(all_lines, lambda x: ~F.array_contains("_drop", _line(x)))
-    row = row.withColumn("_kept", F.when(F.col("_drop").isNotNull() & F.col("row.text").isNotNull(), kept))
-    whole = F.col("_kept").isNull() | ~F.exists("_kept", lambda x: F.trim(x) != "")
+    # one lookup in the host's set a page; what it finds is few
+    row = row.withColumn("_mine", F.when(F.col("row.text").isNotNull(), F.array_intersect(F.transform(all_lines, _line), "_drop")))
+    kept = F.filter(all_lines, lambda x: ~F.array_contains("_mine", _line(x)))
+    row = row.withColumn("_kept", F.when(F.size("_mine") > 0, kept))
+    whole = F.col("_kept").isNull()
+    if spare_copies:
+        whole = whole | ~F.exists("_kept", lambda x: F.trim(x) != "")
     text = F.when(whole, F.col("row.text")).otherwise(F.array_join("_kept", "\n"))
     dropped = F.when(whole, F.lit(0)).otherwise(F.size(all_lines) - F.size("_kept"))
     return row.select(*((text.alias("text") if c == "text" else F.col(f"row.`{c}`")) for c in rest), dropped.cast("long").alias("n_lines_dropped"))

@@ -30,3 +30,19 @@ def test_brute_force(spark):
     assert out.columns == [*df.columns, "n_lines_dropped"]
     assert sorted(map(repr, ((x.doc_id, x.text, x.source) for x in out.collect()))) == sorted(map(repr, brute(rows, 0.1, 3)))
     assert linededup.drop_boilerplate(df.limit(0)).count() == 0
+
+
+def test_padded_lines_count_once_a_page(spark):
+    both = "x\n x \nown {}"
+    rows = [(i, both.format(i) if i < 3 else f"own {i}", "a") for i in range(20)]
+    rows += [(100 + i, both.format(i) if i < 5 else f"own {i}", "b") for i in range(20)]
+    rows += [(200 + i, f"frame\n frame \t\nlong {i} " + "word " * 50_000 if i < 6 else "frame", "c") for i in range(7)]
+    got = {x.doc_id: x for x in linededup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert sorted((i, got[i].text, "a") for i in range(20)) == sorted(brute(rows[:20], 0.02, 5)) == rows[:20]  # 3 pages: below `least`
+    assert all(got[100 + i].text == f"own {i}" and got[100 + i].n_lines_dropped == 2 * (i < 5) for i in range(20))
+    assert all(got[200 + i].text.startswith(" frame \t\nlong") and got[200 + i].n_lines_dropped == 1 for i in range(6))
+    assert got[206].text == "frame"
+    bare = {x.doc_id: x for x in linededup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), spare_copies=False).collect()}
+    assert bare[206].text == "" and bare[206].n_lines_dropped == 1
+    del bare[206], got[206]
+    assert bare == got
