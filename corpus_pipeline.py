@@ -32,7 +32,7 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with digests of the ids and of the decoded text."""
+    """Token ids of each document, with digests of the ids and of the decoded text; null and empty texts have no ids."""
     done = bpe.encode_decode(spread(docs).select("doc_id", "source", "text"), vocabulary("word_bpe_49k.json"))
     return done.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
@@ -52,10 +52,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the last stage, each stage's result being a stored table that the next one reads."""
     store, docs, last = Stored(spark), table(spark, sf_dir, "documents"), None
-    mark = len(Stored.live)
     for i, (_, stage) in enumerate(STAGES):
-        docs = store.put(f"stage{i}", stage(spark, docs, sf_dir))
-        Stored.release(mark)  # what the stage's operator has stored is read no more
+        with Stored.scope():  # what the stage's operator stores is read no more when its result is written
+            docs = store.put(f"stage{i}", stage(spark, docs, sf_dir))
         if last:
             store.drop(last)
         last = f"stage{i}"
