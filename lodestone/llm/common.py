@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from lodestone.session import ship
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Everything that is not part of a word: ASCII other than digits and lower-case letters.
-WORD_GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What is not part of a word: ASCII other than digits and letters.
+WORD_GAPS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 
 
 #: Narrow rows in a file of a stored table whose size is known beforehand.
@@ -118,7 +118,8 @@ def lower_ascii(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-cased words of a text as an array; null has none."""
-    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), WORD_GAPS), "")
+    plain = F.translate(F.coalesce(text, F.lit("")), UPPER + WORD_GAPS, LOWER + " " * len(WORD_GAPS))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def text_key(text: Column) -> Column:

@@ -50,3 +50,17 @@ def test_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [(x.n_words, x.n_hit) for x in decontam.contamination(docs, none).collect()] == [(3, 0)]
     assert decontam.contamination(docs.limit(0), spark.createDataFrame([(1, "a")], "item_id long, text string")).count() == 0
+
+
+def test_window_of_many_items_and_long_texts(spark):
+    shared = "one two three four five six seven eight nine ten"
+    items = [(i, f"{shared} item{i} tail" if i % 2 else shared) for i in range(10_000)]
+    docs = [(1, f"x {shared} y"), (2, "pad " * 200_000 + shared), (3, shared + " item1 tail"), (4, "one two three"), (5, "seven eight nine ten item1")]
+    df = spark.createDataFrame([(*d, "k", "w", "t") for d in docs], "doc_id long, text string, _text_key string, wids string, row string")
+    it = spark.createDataFrame(items, "item_id long, text string")
+    every = sorted(str(i) for i in range(10_000))
+    for block in (500_000, 100):
+        got = {x.doc_id: x for x in decontam.contamination(df, it, block=block, spans=True).collect()}
+        assert got[1]["items"] == got[2]["items"] == got[3]["items"] == every and got[2].n_words == 200_010
+        assert [got[i].n_hit for i in range(1, 6)] == [10, 10, 12, 0, 0] and got[2].spans[0].at == 200_000
+        assert {got[i]["_text_key"] for i in got} == {"k"} and got[5]["items"] == []
