@@ -1,12 +1,15 @@
 """Licence scan by diagonal voting, in DataFrame operations only.
 
-Templates are cut into all word k-grams with their positions; every k-gram of a text is looked up among them by its
-rolling hash and verified word by word. A hit at text position p and template position q votes for diagonal p - q: an
-unchanged copy puts all its votes on one diagonal, inserted or missing words move the rest to a neighbouring one. Votes
-are counted by (text, template, diagonal), diagonals no further apart than `drift` are merged into a span, and a span
-is kept if it holds enough of the template's k-grams within a bounded length.
-
-Templates are a constant of this module, so their table is broadcast. Only hits leave a task: texts aren't shuffled.
+Templates are cut into all word k-grams with their positions. One pass over the texts hashes every word once, rolls the
+words' hashes into those of all k-grams (each is turned by its place and added without carry), and keeps the places whose
+hash some template has, with their words. Those few are joined with the templates' positions and verified word by word.
+A hit at text position p and template position q votes for diagonal p - q: an unchanged copy puts all its votes on one
+diagonal, inserted or missing words move the rest to a neighbouring one. Votes are counted by (text, template, diagonal),
+diagonals no further apart than `drift` are merged into a run, and a run is a span if it holds enough of the template's
+k-grams within a bounded length. A run that is longer, as when copies follow each other, is taken apart into its diagonals.
+
+Templates are a constant of this module or a caller's list: their hashes travel in the plan. Only rows without texts are
+stored; texts are neither shuffled nor read twice.
 """
 
 from __future__ import annotations
@@ -16,7 +19,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Stored, text_key, words
+from lodestone.llm.common import Stored, words
+from lodestone.llm.licenses import BODIES
 
 #: Phrases that mark a licence wherever their words stand consecutively.
 PHRASES = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
@@ -38,6 +42,7 @@ TEMPLATES = [
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
     ("cc-notice", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc0", "has waived all copyright and related or neighboring rights to this work"),
+    *BODIES,
 ]
 K, DRIFT, SHARE = 3, 3, 0.6
 
@@ -46,27 +51,53 @@ def template_words(text: str) -> list[str]:
     return re.findall(r"[0-9a-z]+", text.lower())
 
 
+def _rolled(hashes: Column, at: Column | int, k: int) -> Column:
+    """The hash of k words from the hashes of each: all bits of the word that is i from the end are turned by i places."""
+    turned = []
+    for i in range(k):
+        h, by = F.get(hashes, F.lit(at) + i if isinstance(at, int) else at + i), k - 1 - i
+        turned.append(F.shiftleft(h, by).bitwiseOR(F.shiftrightunsigned(h, 64 - by)) if by else h)
+    out = turned[0]
+    for h in turned[1:]:
+        out = out.bitwiseXOR(h)
+    return out
+
+
+def _word_hashes(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
 def template_grams(spark: SparkSession, templates: list[tuple[str, str]], k: int) -> DataFrame:
     """(t, label, off, gram, grams, shingle): every k-gram of the templates; grams counts those of its template."""
     rows = [(t, label, i, w[i : i + k], len(w) - k + 1) for t, (label, text) in enumerate(templates) for w in [template_words(text)] for i in range(len(w) - k + 1)]
-    return spark.createDataFrame(rows, "t int, label string, off int, gram array<string>, grams int").withColumn("shingle", F.xxhash64(*(F.get("gram", F.lit(i)) for i in range(k))))
-
-
-def spans(docs: DataFrame, templates: list[tuple[str, str]] | None = None, k: int = K, drift: int = DRIFT, share: float = SHARE) -> DataFrame:
-    """(_text_key, label, start, end, coverage): verified spans, in words, of docs (_text_key, text)."""
-    grams = template_grams(docs.sparkSession, TEMPLATES if templates is None else templates, k)
-    w = docs.select("_text_key", words(F.col("text")).alias("w")).where(F.size("w") >= k)
-    at = w.select("_text_key", "w", F.explode(F.sequence(F.lit(0), F.size("w") - k)).alias("at"))
-    at = at.withColumn("shingle", F.xxhash64(*(F.get("w", F.col("at") + i) for i in range(k))))
-    hits = at.join(F.broadcast(grams), "shingle").where(F.slice("w", F.col("at") + 1, k) == F.col("gram"))
-    votes = hits.groupBy("_text_key", "t", "label", "grams", (F.col("at") - F.col("off")).alias("diagonal")).agg(F.collect_set("off").alias("offs"))
-    near = Window.partitionBy("_text_key", "t").orderBy("diagonal")
+    grams = spark.createDataFrame(rows, "t int, label string, off int, gram array<string>, grams int")
+    return grams.withColumn("shingle", _rolled(_word_hashes(F.col("gram")), 0, k))
+
+
+def hits(w: Column, shingles: list[int], k: int) -> Column:
+    """array of (at, shingle, gram) of the places in an array of words whose k words have one of the hashes."""
+    none = F.lit(None).cast("array<struct<at:int,shingle:bigint,gram:array<string>>>")
+    if not shingles:
+        return none
+    places = F.sequence(F.lit(0), F.size(w) - k)
+    rolled = F.transform(F.array(_word_hashes(w)), lambda h: F.transform(places, lambda i: F.struct(i.alias("at"), _rolled(h, i, k).alias("shingle"))))[0]
+    found = F.transform(F.filter(rolled, lambda x: x["shingle"].isin(shingles)), lambda x: F.struct(x["at"].alias("at"), x["shingle"].alias("shingle"), F.slice(w, x["at"] + 1, F.lit(k)).alias("gram")))
+    return F.when(F.size(w) >= k, found).otherwise(none)
+
+
+def spans(found: DataFrame, grams: DataFrame, k: int = K, drift: int = DRIFT, share: float = SHARE) -> DataFrame:
+    """(_id, label, start, end, coverage): verified spans, in words, of rows (_id, hits)."""
+    each = found.where(F.size("hits") > 0).select("_id", F.explode("hits").alias("x")).select("_id", "x.at", "x.shingle", F.col("x.gram").alias("here"))
+    voted = each.join(grams, "shingle").where(F.col("here") == F.col("gram"))
+    votes = voted.groupBy("_id", "t", "label", "grams", (F.col("at") - F.col("off")).alias("diagonal")).agg(F.collect_set("off").alias("offs"))
+    near = Window.partitionBy("_id", "t").orderBy("diagonal")
     votes = votes.withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(near) > drift).cast("int")).withColumn("run", F.sum(F.coalesce("new", F.lit(0))).over(near))
-    first, last = F.col("diagonal") + F.array_min("offs"), F.col("diagonal") + F.array_max("offs") + k
-    found = votes.groupBy("_text_key", "t", "label", "grams", "run").agg(F.min(first).alias("start"), F.max(last).alias("end"), F.size(F.array_distinct(F.flatten(F.collect_list("offs")))).alias("held"))
-    coverage = F.col("held") / F.col("grams")
-    found = found.where((F.col("held") >= share * F.col("grams")) & (F.col("end") - F.col("start") <= 2 * (F.col("grams") + k)))
-    return found.select("_text_key", "label", "start", "end", coverage.alias("coverage"))
+    run = Window.partitionBy("_id", "t", "run")
+    votes = votes.withColumns({"first": F.col("diagonal") + F.array_min("offs"), "last": F.col("diagonal") + F.array_max("offs") + k})
+    long = F.max("last").over(run) - F.min("first").over(run) > 2 * (F.col("grams") + k)
+    votes = votes.withColumn("own", F.when(long, F.col("diagonal")))  # a run that is too long: each diagonal by itself
+    found = votes.groupBy("_id", "t", "label", "grams", "run", "own").agg(F.min("first").alias("start"), F.max("last").alias("end"), F.size(F.array_distinct(F.flatten(F.collect_list("offs")))).alias("held"))
+    return found.where(F.col("held") >= share * F.col("grams")).select("_id", "label", "start", "end", (F.col("held") / F.col("grams")).alias("coverage"))
 
 
 def _phrase(w: Column, phrase: str) -> Column:
@@ -87,23 +118,29 @@ def _phrase(w: Column, phrase: str) -> Column:
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """docs' columns but text with n_words, n_base, first_word, last_word, base_labels, labels (arrays), spans and score.
 
-    score: 1 with a base phrase, else the best share of a template that a span holds, else 0. Null and empty texts have
-    no words, labels or places. Texts are known by a 128-bit hash, so repeated rows and null ids each get their result;
-    columns of docs with the new names are replaced; an empty table gives an empty one.
+    score: 1 with a base phrase, else the best share of a template that a span holds, else 0. A licence whose text holds
+    another's carries both labels. Null and empty texts have no words, labels or places; repeated rows and null ids each
+    get their result; equal spans of one label come once; columns of docs with the new names are replaced; an empty table
+    gives an empty one. A text of any length is one row's work, at a few arrays of its words' number.
     """
     store = Stored(docs.sparkSession)
-    text = F.col("text").cast("string")
-    found = spans(docs.select(text_key(text).alias("_text_key"), text.alias("text")), templates)
-    found = store.put("spans", found.groupBy("_text_key").agg(F.array_sort(F.collect_set("label")).alias("_labels"), F.max("coverage").alias("_best"), F.array_sort(F.collect_set(F.struct("start", "end", "label", "coverage"))).alias("spans")))
+    grams = template_grams(docs.sparkSession, TEMPLATES if templates is None else templates, K)
+    shingles = sorted(r.shingle for r in grams.select("shingle").distinct().collect())
     new = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "spans", "score"]
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", *new)]
-    w = docs.select(*own, text_key(text).alias("_text_key"), words(text).alias("_w"))
-    w = w.select("*", *(_phrase(F.col("_w"), p).alias(f"_at_{i}") for i, p in enumerate(PHRASES.values())))
-    places = F.concat(*(F.col(f"_at_{i}") for i in range(len(PHRASES))))
-    none = F.array().cast("array<string>")
-    named = F.array_compact(F.array(*(F.when(F.size(f"_at_{i}") > 0, F.lit(label)) for i, label in enumerate(PHRASES))))
-    w = w.select(*own, "_text_key", F.size("_w").cast("long").alias("n_words"), places.alias("_places"), F.array_sort(named).alias("base_labels"))
-    w = w.withColumns({"n_base": F.size("_places").cast("long"), "first_word": F.array_min("_places").cast("long"), "last_word": F.array_max("_places").cast("long")})
-    w = w.join(found, "_text_key", "left")
-    w = w.withColumns({"labels": F.array_sort(F.array_union("base_labels", F.coalesce("_labels", none))), "score": F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("_best", F.lit(0.0)))})
-    return w.drop("_text_key", "_places", "_labels", "_best")
+    own = [c for c in docs.columns if c not in ("text", *new)]
+    phrases = list(PHRASES.items())
+    w = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), words(F.col("text").cast("string")).alias("w"))
+    w = w.select("row", F.size("w").cast("long").alias("n_words"), F.struct(*(_phrase(F.col("w"), p).alias(f"at_{i}") for i, (_, p) in enumerate(phrases))).alias("places"), hits(F.col("w"), shingles, K).alias("hits"))
+    scanned = store.put("scanned", w.withColumn("_id", F.monotonically_increasing_id()))
+    found = spans(scanned.select("_id", "hits"), grams)
+    found = found.groupBy("_id").agg(F.array_sort(F.collect_set("label")).alias("also"), F.max("coverage").alias("best"), F.array_sort(F.collect_set(F.struct("start", "end", "label", "coverage"))).alias("spans"))
+    found = store.put("spans", found)
+    places = F.concat(*(F.col(f"places.at_{i}") for i in range(len(phrases))))
+    named = F.array_sort(F.array_compact(F.array(*(F.when(F.size(f"places.at_{i}") > 0, F.lit(label)) for i, (label, _) in enumerate(phrases)))))
+    out = scanned.drop("hits").join(found, "_id", "left")
+    labels = F.array_sort(F.array_union(named, F.coalesce("also", F.array().cast("array<string>"))))
+    score = F.when(F.size(places) > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0)))
+    return out.select(
+        *(F.col(f"row.`{c}`") for c in own), "n_words", F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"),
+        named.alias("base_labels"), "spans", labels.alias("labels"), score.alias("score"),
+    )
