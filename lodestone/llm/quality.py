@@ -5,8 +5,9 @@ shares of its byte values, how much of its six-byte shingles repeat, and its len
 layer; gated attention (a tanh branch times a sigmoid branch) weighs the encodings of all passages of a text, and a
 logistic layer scores the weighted encoding. Document labels alone train all of it, by Adam on the log loss.
 
-The model is a few thousand numbers, fitted on the driver from at most `most` labelled texts and `passages` passages of
-each, evenly spread (a documented bound that doesn't grow with the corpus); scoring reads every passage of every text.
+The model is a few thousand numbers, fitted on the driver from a bounded sample of labelled rows: at most `most` texts,
+taken whole, with at most MOST_PASSAGES passages in all (a bound that doesn't grow with the corpus). Scoring reads every
+passage of every text, some hundred of them at a time.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,32 +24,53 @@ from pyspark.sql import types as T
 PASSAGE = 1024
 BUCKETS = 512
 WIDTH = 128 + 16 + 4
+#: Passages that the driver fits on at most (592 bytes each), and that are counted or scored together.
+MOST_PASSAGES, TOGETHER = 200_000, 512
+
+
+def count(size: int, each: int = PASSAGE) -> int:
+    """Passages of a text of `size` bytes."""
+    return max(1, round(size / each))
 
 
 def passages(data: np.ndarray, size: int = PASSAGE) -> np.ndarray:
-    """Features (rows: passages, at least one) of one text's UTF-8 bytes."""
-    n = max(1, round(len(data) / size))
+    """Features (rows: passages, at least one) of one text's UTF-8 bytes, worked out some passages at a time."""
+    n = count(len(data), size)
     out = np.zeros((n, WIDTH), np.float32)
-    of = np.arange(len(data), dtype=np.int64) * n // max(1, len(data))  # passages of equal length
-    length = np.bincount(of, minlength=n)[:n].astype(np.float32)
-    kind = np.where(data < 128, data, 128 + (data >> 3 & 15))
-    shares = np.bincount(of * 144 + kind, minlength=n * 144).reshape(n, 144) / np.maximum(length, 1)[:, None]
+    cut = lambda i: -(-i * len(data) // n)  # noqa: E731  passage i begins here
+    for at in range(0, n, TOGETHER):
+        to = min(n, at + TOGETHER)
+        out[at:to] = _features(data, cut(at), cut(to), at, to, n)
+    return out
+
+
+def _features(data: np.ndarray, start: int, end: int, at: int, to: int, n: int) -> np.ndarray:
+    """Features of the passages at..to of n, whose bytes are start..end; a shingle belongs to the passage it begins in."""
+    m, out = to - at, np.zeros((to - at, WIDTH), np.float32)
+    mine = data[start:end]
+    of = np.arange(start, end, dtype=np.int64) * n // max(1, len(data)) - at  # passages of equal length
+    length = np.bincount(of, minlength=m)[:m].astype(np.float32)
+    kind = np.where(mine < 128, mine, 128 + (mine >> 3 & 15))
+    shares = np.bincount(of * 144 + kind, minlength=m * 144).reshape(m, 144) / np.maximum(length, 1)[:, None]
     out[:, :144] = np.sqrt(shares)
     if len(data) >= 6:
-        h = np.zeros(len(data) - 5, np.uint64)
+        behind = data[start : end + 5]
+        shingles = max(0, len(behind) - 5)
+        h = np.zeros(shingles, np.uint64)
         for i in range(6):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + data[i : len(data) - 5 + i].astype(np.uint64)
-        slot = np.bincount(of[:-5] * BUCKETS + (h >> np.uint64(55)).astype(np.int64), minlength=n * BUCKETS).reshape(n, BUCKETS)
-        used = (slot > 0).sum(1) / np.clip(length - 5, 1, BUCKETS)
-        out[:, 144] = used
+            h = h * np.uint64(0x9E3779B97F4A7C15) + behind[i : shingles + i].astype(np.uint64)
+        slot = np.bincount(of[:shingles] * BUCKETS + (h >> np.uint64(55)).astype(np.int64), minlength=m * BUCKETS).reshape(m, BUCKETS)
+        out[:, 144] = (slot > 0).sum(1) / np.clip(length - 5, 1, BUCKETS)
         out[:, 145] = np.sqrt(slot.max(1) / np.maximum(length - 5, 1))
     out[:, 146] = np.log1p(length) / 7
     out[:, 147] = 1
     return out
 
 
-def _bytes(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+def _bytes(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The UTF-8 bytes of each text, in place; null is empty."""
+    for t in texts.cast(pa.binary()):
+        yield np.frombuffer(t.as_buffer(), np.uint8) if t.is_valid else np.zeros(0, np.uint8)
 
 
 class Model:
@@ -116,30 +139,40 @@ def _fold(doc_id) -> object:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, passages_each: int = 24) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, most_passages: int = MOST_PASSAGES) -> Model | None:
     """A model from labelled texts outside the held-out fold, or None without labels of both kinds.
 
-    A doc_id with several labels counts by their mean (0.5 or more: good); null labels and null doc_ids don't count."""
+    Of each label the texts with the smallest hashes of their doc_id are taken, in that order and whole, while they have
+    no more than half of `most` rows and of `most_passages` passages. A doc_id with several labels counts by their mean
+    (0.5 or more: good); of several texts with one doc_id the one with the smallest digest is taken; null labels and null
+    doc_ids don't count."""
     good = labels.where("quality is not null and doc_id is not null").where(_fold("doc_id") != 2).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("_good"))
-    # the smallest hashes of each label: top-k in each task, then of those
-    some = good.withColumn("_h", F.xxhash64("doc_id"))
-    some = some.where("_good = 0").orderBy("_h", "doc_id").limit(most // 2).unionByName(some.where("_good = 1").orderBy("_h", "doc_id").limit(most // 2))
-    found = docs.select("doc_id", F.col("text").cast("string")).join(some.select("doc_id", "_good"), "doc_id")
+    text = F.col("text").cast("string")
+    sizes = docs.select("doc_id", F.struct(F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("d"), F.coalesce(F.octet_length(text), F.lit(0)).alias("n")).alias("s"))
+    found = good.join(sizes, "doc_id").groupBy("doc_id").agg(F.first("_good").alias("good"), F.min("s").alias("s")).select("doc_id", F.xxhash64("doc_id").alias("h"), "good", "s.d", "s.n")
+    picked = []
+    for kind in (0, 1):  # top-k in each task, then of those
+        total = 0
+        for r in found.where(F.col("good") == kind).orderBy("h", "doc_id").limit(most // 2).collect():
+            total += count(r.n)
+            if total <= most_passages // 2:
+                picked.append((r.doc_id, r.h, r.good, r.d))
+            else:
+                total -= count(r.n)
+    if len({r[2] for r in picked}) < 2:
+        return None
+    mine = docs.sparkSession.createDataFrame(picked, found.select("doc_id", "h", "good", "d").schema)
+    texts = docs.select("doc_id", text.alias("text")).join(F.broadcast(mine), "doc_id").where(F.md5(F.coalesce("text", F.lit("")).cast("binary")) == F.col("d"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bags = []
-            for t in b.column(0):
-                x = passages(_bytes(t.as_py()))
-                bags.append(x[np.linspace(0, len(x) - 1, min(len(x), passages_each)).astype(int)].astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(bags, pa.binary())], names=["doc_id", "_good", "bag"])
-
-    rows = found.select("text", "doc_id", "_good").mapInArrow(run, "doc_id long, _good int, bag binary").limit(most).collect()
-    rows.sort(key=lambda x: (x.doc_id, bytes(x.bag)))
-    y = np.array([r["_good"] for r in rows], np.float32)
-    if not len(y) or y.min() == y.max():
-        return None
-    return train([np.frombuffer(bytes(r.bag), "<f4").reshape(-1, WIDTH) for r in rows], y)
+            for i, data in enumerate(_bytes(b.column(0))):
+                bag = pa.array([passages(data).astype("<f4").tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(i, 1), b.column(2).slice(i, 1), bag], names=["h", "good", "bag"])
+
+    bags = texts.select("text", "h", "good").mapInArrow(run, "h long, good int, bag binary").groupBy("h", "good").agg(F.min("bag").alias("bag"))  # repeated rows once
+    rows = sorted((r.h, r.good, bytes(r.bag)) for r in bags.collect())
+    return train([np.frombuffer(bag, "<f4").reshape(-1, WIDTH) for _, _, bag in rows], np.array([y for _, y, _ in rows], np.float32))
 
 
 def score(docs: DataFrame, model: Model | None, cut: float = 0.7) -> DataFrame:
@@ -150,30 +183,44 @@ def score(docs: DataFrame, model: Model | None, cut: float = 0.7) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, scores, weights = b.column(0), np.ones(b.num_rows), []
-            for at in range(0, b.num_rows, 256):
-                bags = [passages(_bytes(t.as_py())) for t in texts[at : at + 256]]
+            for at, to in _together([0 if n is None else n for n in pc.binary_length(b.column(1)).to_pylist()]):
+                part = b.slice(at, to - at)
+                bags = [passages(x) for x in _bytes(part.column(1))]
                 if model is None:
-                    a = np.concatenate([np.full(len(x), 1 / len(x)) for x in bags])
+                    scores, a = np.ones(len(bags)), np.concatenate([np.full(len(x), 1 / len(x)) for x in bags])
                 else:
-                    scores[at : at + 256], a = model.score(bags)
-                weights += np.split(a, np.cumsum([len(x) for x in bags])[:-1])
-            arrays = [*b.columns[1:], pa.array(scores), pa.array((scores >= cut).astype(np.int32)), pa.array([w.tolist() for w in weights], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*rest, *own])
+                    scores, a = model.score(bags)
+                weights = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, bags)]), pa.int32()), pa.array(a, pa.float64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array((scores >= cut).astype(np.int32)), weights], names=["row", *own])
+
+    df = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), F.col("text").cast("string").alias("text"))
+    out = df.mapInArrow(run, df.select("row").schema.add("score", T.DoubleType()).add("predicted", T.IntegerType()).add("attention", T.ArrayType(T.DoubleType())))
+    return out.select(*(F.col(f"row.`{c}`") for c in rest), *own)
 
-    df = docs.select(F.col("text").cast("string").alias("_text"), *(F.col(f"`{c}`") for c in rest))
-    return df.mapInArrow(run, df.drop("_text").schema.add("score", T.DoubleType()).add("predicted", T.IntegerType()).add("attention", T.ArrayType(T.DoubleType())))
+
+def _together(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about TOGETHER passages; a larger text goes by itself."""
+    at = total = 0
+    for i, n in enumerate(map(count, sizes)):
+        if i > at and total + n > TOGETHER:
+            yield at, i
+            at, total = i, 0
+        total += n
+    if at < len(sizes):
+        yield at, len(sizes)
 
 
 def classify(docs: DataFrame, labels: DataFrame, most: int = 4000, cut: float = 0.7) -> DataFrame:
-    """docs' columns with held_out, score, predicted and attention. A null doc_id is in no fold: held_out is false."""
+    """docs' columns with held_out, score, predicted and attention.
+
+    A null doc_id is in no fold: held_out is false. Equal texts have equal scores, whatever their rows; repeated rows each
+    get theirs; columns with the new names are replaced and any other name may occur; an empty table gives an empty one.
+    A text of any length is one row's work: its features take less than its bytes, at TOGETHER passages at a time."""
     held = F.coalesce(_fold("doc_id") == 2, F.lit(False))
     return score(docs, fit(docs, labels, most), cut).withColumn("held_out", held)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, most: int = 4000, cut: float = 0.7) -> DataFrame:
-    """docs without those that are predicted to be bad; columns stay."""
-    rest = [c for c in docs.columns if c != "text"]
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), "text")
-    kept = score(row, fit(docs, labels, most), cut).where("predicted = 1")
-    return kept.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
+    """docs without those that are predicted to be bad; columns stay. Nulls, ties and the rest are as in classify."""
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
+    return score(row, fit(docs, labels, most), cut).where("predicted = 1").select(*(F.col(f"row.`{c}`") for c in docs.columns))
