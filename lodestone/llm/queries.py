@@ -50,7 +50,7 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = sharding.shards_by_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), 8)
+    done = sharding.shards_by_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), 8, cut_heavy=False)
     return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

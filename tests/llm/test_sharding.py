@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import sharding
 
@@ -47,3 +48,66 @@ def test_write(spark, tmp_path):
     sharding.write_shards(df, str(tmp_path / "out"), 4)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 400 and {r.shard for r in back.select("shard").distinct().collect()} == {0, 1, 2, 3}
+
+
+def whole_groups(rows, got, shards=8):
+    """Every row once, gapless slots, no group apart; returns the shards' sizes."""
+    sizes, slots, of = Counter(), {}, {}
+    for x in got:
+        sizes[x.shard] += x.size
+        slots.setdefault(x.shard, []).append(x.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    texts = {}
+    for i, t in rows:
+        texts.setdefault((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())), t or "")
+    for x in got:
+        assert of.setdefault(texts[x.doc_id, x.size, x.text_crc32], x.shard) == x.shard
+    assert Counter((x.doc_id, x.size, x.text_crc32) for x in got) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
+    return [sizes[s] for s in range(shards)]
+
+
+def test_groups_stay_whole(spark):
+    r = random.Random(16)
+    rows = [(i, f"{i} " + "t" * r.randrange(1, 300)) for i in range(6000)]
+    rows += [(10_000 + i, "copy of one text " * 3) for i in range(900)] + [(None, "null id") for _ in range(700)] + [(20_000, None), (20_001, ""), (20_002, "x" * 30_000), (20_003, "x" * 30_000)]
+    df = spark.createDataFrame([(*x, 1, "k") for x in rows], "doc_id long, text string, key int, range string").repartition(5)
+    sizes = whole_groups(rows, sharding.shards_by_bytes(df, cut_heavy=False).collect())
+    assert max(sizes) - min(sizes) < 0.02 * sum(sizes) / 8
+    # a group above an equal share: it stays whole, the others are equal
+    rows += [(30_000 + i, "hot group " * 9) for i in range(9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sizes = sorted(whole_groups(rows, sharding.shards_by_bytes(df, cut_heavy=False).collect()))
+    assert sizes[-1] == 9000 * 91 and sizes[-2] - sizes[0] < 0.02 * sum(sizes) / 8
+    for cut in (True, False):  # a single group, a single row
+        one = sharding.shards_by_bytes(df.where("doc_id >= 30000"), cut_heavy=cut).collect()
+        assert sorted(x.slot for x in one if x.shard == one[0].shard) == list(range(sum(x.shard == one[0].shard for x in one)))
+        assert (len({x.shard for x in one}) == 1) == (not cut)
+    assert sharding.shards_by_bytes(df.limit(0), cut_heavy=False).count() == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_keeps_groups_whole(spark, sf):
+    from lodestone.llm.queries import QUERIES
+
+    rows = [(x.doc_id, x.text) for x in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = QUERIES["op8_sharding"](spark, f"/root/testdata/{sf}").collect()
+    sizes, groups = whole_groups(rows, got), Counter()
+    for _, t in rows:
+        groups[t] += len((t or "").encode()) + 1
+    assert max(sizes) <= sum(sizes) / 8 + max(groups.values()) and len({x.shard for x in got}) == 8
+
+
+def test_skewed_sizes_take_few_jobs(spark):
+    df = spark.range(200_000).selectExpr("id AS doc_id", "CASE WHEN id % 500 = 0 THEN repeat(cast(id as string), 20000) ELSE cast(id as string) END AS text")
+    rows = sharding.keys(df).persist()
+    seen = []
+    real, sharding._range_of = sharding._range_of, lambda *a: seen.append(1) or real(*a)
+    try:
+        placed, bounds = sharding.splitters(rows, 1024, set())
+    finally:
+        sharding._range_of = real
+    assert len(seen) <= 5 and len(bounds) < 8 * 1024
+    count, total = 200_000, rows.agg({"size": "sum"}).first()[0]
+    worst = placed.groupBy("range").agg((F.sum("size") / (2 * total) + F.count("*") / (2 * count)).alias("w"), F.countDistinct("key.h").alias("groups")).where("w > 2 / 1024 and groups > 1").count()
+    assert worst == 0
+    rows.unpersist()
