@@ -1,3 +1,13 @@
+import math
+import random
+import re
+import time
+import tracemalloc
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
 from lodestone.llm import htmltext
 
 PAGE = """<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>T</title><style>p{margin:0}</style><script>var t="</p>";track(0);</script></head>
@@ -55,3 +65,121 @@ def test_tree_decides_in_articles(spark):
     assert all(got[200 + i] == f"Head {i}\n\nGet our letter\n\nOwn text {i}" for i in range(4))
     assert all(got[300 + i] == "Same" for i in range(3))
     assert htmltext.main_text(page(1), ["body/article"]) == "Head 1\n\nGet our letter\n\nOwn text 1"
+
+
+def brute_tree(pages, g=0.9):
+    """path -> (pages, importance, presentation, information) of one host's merged tree, by recursion over dictionaries."""
+    m, styles, texts, feats, kids = Counter(), defaultdict(Counter), defaultdict(Counter), defaultdict(Counter), defaultdict(set)
+    size = {}
+    for p in pages:
+        paths = [()]
+        for up, step in zip(p.up[1:], p.step[1:]):
+            paths.append((*paths[up], step))
+            kids[paths[up]].add(paths[-1])
+        for path, k in zip(paths, p.kids):
+            m[path] += 1
+            styles[path][tuple(k)] += 1
+        mine, words = defaultdict(set), defaultdict(set)
+        for n, t, links in p.blocks:
+            if t not in mine[paths[n]]:
+                mine[paths[n]].add(t)
+                w = t.split(" ")
+                if len(w) > htmltext.SHORT:
+                    words[paths[n]].add(("text", t))
+                    size["text", t] = len(w)
+                else:
+                    words[paths[n]] |= {("word", x) for x in w} | {("link", x) for x in links}
+        for path in mine:
+            texts[path].update(mine[path])
+            feats[path].update(words[path])
+    log = lambda k, n: math.log(k) / math.log(n) if n > 1 else 0
+
+    def visit(path):
+        n, own, below = m[path], texts[path], [visit(c) for c in sorted(kids[path])]
+        said = sum(k * size.get(f, 1) * (1 - log(k, n)) for f, k in feats[path].items())
+        repeated = sum(log(k, n) for k in own.values()) / len(own) if own else None
+        shown = -sum(k / n * log(k / n, n) for k in styles[path].values()) if n > 1 else 1
+        weight = sum(b[0] for b in below) + (n if own else 0)
+        inner = (sum(b[0] * b[1] for b in below) + (n * (1 - repeated) if own else 0)) / weight if weight else 1
+        depth = g ** sum(1 for x in styles[path] if x)
+        out["/".join(path)] = n, 1 if n == 1 else (1 - depth) * shown + depth * inner, shown, said + sum(b[3] for b in below)
+        return out["/".join(path)]
+
+    out = {}
+    visit(())
+    return out
+
+
+def test_tree_node_by_node(spark):
+    r = random.Random(21)
+    word = lambda: r.choice(["the", "a", "of"]) if r.random() < 0.4 else f"w{r.randrange(60)}"
+    some = lambda n: " ".join(word() for _ in range(n))
+    rows = []
+    for i in range(60):
+        menu = "".join(f'<li><a href="/{r.randrange(9)}">{word()}</a></li>' for _ in range(r.randrange(3, 6)))
+        body = "".join(r.choice([f"<p>{some(r.randrange(1, 30))}</p>", f"<h2>{some(3)}</h2>", f"<div class=q><p>{some(20)}</p>{some(2)}</div>", "text " + some(4) + "<br>"]) for _ in range(r.randrange(1, 7)))
+        rows.append((i, f"http://{'ab'[i % 2]}.example/{i}", f"<html><body class=k{i % 3 == 0}><ul>{menu}</ul><div>Notice {i % 4}</div><div>{body}</div><footer>© all {some(2)}</footer></body></html>"))
+    rows += [(100 + i, "http://a.example/", rows[0][2]) for i in range(5)]  # the same content counts once
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = defaultdict(dict)
+    for x in htmltext.importance(htmltext.trees(df, declared=False)).collect():
+        got[x._host[0]][x.path] = (x.pages, x.importance, x.presentation, x.information)
+    for host in "ab":
+        want = brute_tree([htmltext.Page(h) for i, u, h in rows[:60] if u[7] == host])
+        assert got[host].keys() == want.keys() and len(want) > 30
+        for path, values in want.items():
+            assert got[host][path] == pytest.approx(values, abs=1e-9), path
+
+
+def test_tree_alone_finds_articles(spark):
+    """Without article tags and class names, and with all that elements declare left out, the tree finds the articles."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").repartition(8)
+    html = F.regexp_replace(F.regexp_replace("html", "(</?)article>", "$1div>"), ' class="[^"]*"', "")
+    bare = pages.withColumn("html", html)
+    want = {x.page_id: htmltext.main_text(re.search("<article>(.*)</article>", x.html, re.S)[1], None) for x in pages.collect()}
+    got = {x.page_id: x.text for x in htmltext.extract(bare, declared=False).collect()}
+    off = {x.page_id: x.text for x in htmltext.extract(bare, declared=False, tree=False).collect()}
+    assert sum(got[i] == t for i, t in want.items()) >= 0.95 * len(want)
+    assert sum(got[i] != off[i] for i in want) >= 0.95 * len(want)
+    both = {x.page_id: x.text for x in htmltext.extract(pages).collect()}
+    assert both == want
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<script " * 130_000, "<div>" * 200_000 + "x", "<b>" * 170_000 + "<p>" * 170_000, "<p></div>" * 110_000, '<a href="' * 110_000, "<svg>" * 200_000 + "x", "<!-- " * 200_000, "<i>" * 300_000 + "</p>" * 10_000, "=\"'<x a=" * 100_000, "<ul>" + "<li>a" * 200_000, "&amp" * 250_000, "< " * 500_000, "<a b= " * 170_000 + " " * 100_000])
+def test_long_odd_pages(page):
+    start = time.process_time()
+    p = htmltext.Page(page)
+    p.content(p.noise())
+    htmltext.main_text(page, [1], [2])
+    assert time.process_time() - start < 4  # two parses
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<script " * 130_000, "<div>" * 200_000 + "x"])
+def test_long_odd_pages_in_memory(page):
+    tracemalloc.start()
+    htmltext.Page(page)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200_000_000
+
+
+def test_wrappers_and_unclosed():
+    text = lambda page: htmltext.main_text(page, None)
+    words = " ".join(f"w{i}" for i in range(80))
+    assert text(f"<form id=aspnet><div class='layout-sidebar-left'><article><p>{words}</article></div></form>") == words
+    assert text(f"<div class=search-page><p>{words}</p><div class=ad>one</div></div>") == words
+    assert text(f"<svg/><p>{words}</p><svg>lost") == words + "\n\nlost"
+    assert text(f'<p title="a > b">{words}</p><a href="x>rest') == words + "\n\nrest" and text(f'{words}<a href="x') == words
+    assert text("<p>a<b c=\"d'>e</b></p>") == "ae" and text("<p>x <3 y</p>") == "x <3 y"
+
+
+def test_frames_beside_the_content(spark):
+    r = random.Random(4)
+    rows = []
+    for i in range(30):
+        teasers = "".join(f"<a href=/{r.randrange(10**6)}>t{r.randrange(10**6)} u{r.randrange(10**6)}</a>" for _ in range(3))
+        text = "".join(f"<p>{' '.join(f'x{r.randrange(10**6)}' for _ in range(25))}</p>" for _ in range(r.randrange(2, 9)))
+        rows.append((i, "http://a.example/", f"<body><div class=z1>{teasers}</div><div class=z2><h1>Head {i}</h1>{text}<div class=z3>Read also our letter</div></div></body>", f"Head {i}\n\n" + "\n\n".join(re.findall("<p>(.*?)</p>", text))))
+    df = spark.createDataFrame([(*x[:3], [1], "h") for x in rows], "page_id long, url string, html string, row array<int>, _host string").repartition(3)
+    got = {x.page_id: x.text for x in htmltext.extract(df).collect()}
+    assert all(got[i] == t for i, _, _, t in rows)
