@@ -142,27 +142,28 @@ def _fold(doc_id) -> object:
 def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, most_passages: int = MOST_PASSAGES) -> Model | None:
     """A model from labelled texts outside the held-out fold, or None without labels of both kinds.
 
-    Of each label the texts with the smallest hashes of their doc_id are taken, in that order and whole, while they have
-    no more than half of `most` rows and of `most_passages` passages. A doc_id with several labels counts by their mean
+    Of each label the doc_ids with the smallest hashes are taken, at most half of `most`; in that order their texts are
+    used whole while they have no more than half of `most_passages`. A doc_id with several labels counts by their mean
     (0.5 or more: good); of several texts with one doc_id the one with the smallest digest is taken; null labels and null
     doc_ids don't count."""
-    good = labels.where("quality is not null and doc_id is not null").where(_fold("doc_id") != 2).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("_good"))
+    good = labels.where("quality is not null and doc_id is not null").where(_fold("doc_id") != 2).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("good"))
+    good = good.withColumn("h", F.xxhash64("doc_id"))
+    # top-k in each task, then of those
+    some = good.where("good = 0").orderBy("h", "doc_id").limit(most // 2).unionByName(good.where("good = 1").orderBy("h", "doc_id").limit(most // 2))
     text = F.col("text").cast("string")
-    sizes = docs.select("doc_id", F.struct(F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("d"), F.coalesce(F.octet_length(text), F.lit(0)).alias("n")).alias("s"))
-    found = good.join(sizes, "doc_id").groupBy("doc_id").agg(F.first("_good").alias("good"), F.min("s").alias("s")).select("doc_id", F.xxhash64("doc_id").alias("h"), "good", "s.d", "s.n")
-    picked = []
-    for kind in (0, 1):  # top-k in each task, then of those
-        total = 0
-        for r in found.where(F.col("good") == kind).orderBy("h", "doc_id").limit(most // 2).collect():
-            total += count(r.n)
-            if total <= most_passages // 2:
-                picked.append((r.doc_id, r.h, r.good, r.d))
-            else:
-                total -= count(r.n)
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    docs = docs.select("doc_id", text.alias("text"))
+    sizes = docs.join(F.broadcast(some), "doc_id").groupBy("doc_id", "h", "good").agg(F.min(F.struct(digest.alias("d"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))).alias("s"))
+    picked, total = [], [0, 0]
+    for r in sorted(sizes.select("h", "doc_id", "good", "s.d", "s.n").collect()):  # at most `most` rows
+        n = count(r.n)
+        if total[r.good] + n <= most_passages // 2:
+            total[r.good] += n
+            picked.append((r.doc_id, r.h, r.good, r.d))
     if len({r[2] for r in picked}) < 2:
         return None
-    mine = docs.sparkSession.createDataFrame(picked, found.select("doc_id", "h", "good", "d").schema)
-    texts = docs.select("doc_id", text.alias("text")).join(F.broadcast(mine), "doc_id").where(F.md5(F.coalesce("text", F.lit("")).cast("binary")) == F.col("d"))
+    mine = docs.sparkSession.createDataFrame(picked, some.select("doc_id", "h", "good").schema.add("d", "string"))
+    texts = docs.join(F.broadcast(mine), "doc_id").where(digest == F.col("d"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
