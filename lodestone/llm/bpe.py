@@ -2,10 +2,11 @@
 
 Texts are cut at ASCII white space, which never lies inside a word of the tokenizer, and words are encoded once and
 remembered in a bounded memory. Unsplit text that is long (a word of more than `leaf` characters) is encoded by tree
-concatenation: its leaves are encoded independently, in one batch (parallel where the task has cores to spare: TOKENIZERS_PARALLELISM), and neighbours are joined level by level.
-At each join a window of tokens on both sides is encoded again and grown until it starts with the same tokens as the
-left side has there and ends with the same as the right side, or covers a side. Neighbouring tokens of the result then
-all come from encodings of their own surroundings, which for a merge-ranked vocabulary makes the whole the encoding.
+concatenation: its leaves are encoded independently, in parallel, and neighbours are joined level by level, all joins of
+a level in parallel too. At each join a window of tokens on both sides is encoded again and grown until it starts with
+the same tokens as the left side has there and ends with the same as the right side, or covers a side. Neighbouring
+tokens of the result then all come from encodings of their own surroundings, which for a merge-ranked vocabulary makes
+the whole the encoding.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cached_property, lru_cache
 from struct import pack
 
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 REMEMBER = 300_000
 #: Characters of text that are worked on together.
 BLOCK = 2_000_000
+#: Threads for the parts of one long word.
+THREADS = 4
 
 
 class Codec:
@@ -69,24 +73,47 @@ class Codec:
         """Token ids of one long word, which the pre-tokenizer doesn't split."""
         cuts = list(range(0, len(word), self.leaf))
         ends = [*cuts[1:], len(word)]
-        parts = [x.ids for x in self.bare[0].encode_batch_fast([word[a:b] for a, b in zip(cuts[:-1], ends[:-1])], add_special_tokens=False)]
-        parts.append(self._encode(word[cuts[-1] :], True))
-        nodes = [(a, b, ids) for a, b, ids in zip(cuts, ends, parts)]
+        nodes = list(zip(cuts, ends, self._encode_all([(word[a:b], b == len(word)) for a, b in zip(cuts, ends)])))
         while len(nodes) > 1:
-            nodes = [self._join(word, *nodes[i : i + 2]) if i + 1 < len(nodes) else nodes[i] for i in range(0, len(nodes), 2)]
+            pairs = [(nodes[i], nodes[i + 1]) for i in range(0, len(nodes) - 1, 2)]
+            nodes = self._join(word, pairs) + nodes[2 * len(pairs) :]
         return nodes[0][2]
 
-    def _join(self, word: str, left: tuple, right: tuple, agree: int = 2) -> tuple:
-        (a, m, x), (_, b, y) = left, right
-        n = 8
-        while True:
-            i, j = max(0, len(x) - n), min(len(y), n)
-            start = a if i == 0 else m - sum(self._width(t, False) for t in x[i:])
-            end = b if j == len(y) else m + sum(self._width(t, False) for t in y[:j])
-            w = self._encode(word[start:end], end == len(word))
-            if (i == 0 or w[:agree] == x[i : i + agree]) and (j == len(y) or w[-agree:] == y[j - agree : j]):
-                return a, b, x[:i] + w + y[j:]
+    def _encode_all(self, parts: list[tuple[str, bool]]) -> list[list[int]]:
+        """Token ids of parts of a word, of which the flag says whether they end it; in parallel."""
+        out: list[list[int]] = [[]] * len(parts)
+        for final in (False, True):
+            mine = [i for i, (_, f) in enumerate(parts) if f == final]
+            if len(mine) == 1:
+                out[mine[0]] = self._encode(parts[mine[0]][0], final)
+            elif mine:
+                with parallel():
+                    for i, e in zip(mine, self.bare[final].encode_batch_fast([parts[i][0] for i in mine], add_special_tokens=False)):
+                        out[i] = e.ids
+        return out
+
+    def _join(self, word: str, pairs: list[tuple[tuple, tuple]], agree: int = 2) -> list[tuple]:
+        """The nodes of one level made of pairs of neighbours (start, end, ids)."""
+        out: list[tuple] = [()] * len(pairs)
+        todo, n = list(range(len(pairs))), 8
+        while todo:
+            spans = []
+            for t in todo:
+                (a, m, x), (_, b, y) = pairs[t]
+                i, j = max(0, len(x) - n), min(len(y), n)
+                start = a if i == 0 else m - sum(self._width(t, False) for t in x[i:])
+                end = b if j == len(y) else m + sum(self._width(t, False) for t in y[:j])
+                spans.append((t, i, j, start, end))
+            encoded = self._encode_all([(word[start:end], end == len(word)) for *_, start, end in spans])
+            todo = []
+            for (t, i, j, *_), w in zip(spans, encoded):
+                (a, _, x), (_, b, y) = pairs[t]
+                if (i == 0 or w[:agree] == x[i : i + agree]) and (j == len(y) or w[-agree:] == y[j - agree : j]):
+                    out[t] = a, b, x[:i] + w + y[j:]
+                else:
+                    todo.append(t)
             n *= 2
+        return out
 
     def long(self, text: str) -> list[int]:
         """Token ids of a text without ASCII white space, of any length."""
@@ -134,9 +161,24 @@ class Codec:
         return len(max(words, key=len)) > self.leaf
 
 
+@contextmanager
+def parallel() -> Iterator[None]:
+    """Let the library use THREADS threads, for the parts of a word that alone keeps a task busy."""
+    before = os.environ.get("TOKENIZERS_PARALLELISM")
+    os.environ["TOKENIZERS_PARALLELISM"] = "true"
+    try:
+        yield
+    finally:
+        if before is None:
+            del os.environ["TOKENIZERS_PARALLELISM"]
+        else:
+            os.environ["TOKENIZERS_PARALLELISM"] = before
+
+
 @lru_cache(maxsize=2)
 def codec(path: str, leaf: int) -> Codec:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+    os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
     return Codec(path, leaf)
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import public_tokenizers
@@ -59,3 +60,36 @@ def test_tables(spark):
     assert sorted((x.doc_id or 0, x.n_bytes, x.n_tokens) for x in n.collect()) == sorted((a or 0, len((b or "").encode()), len(whole.encode(b or "").ids)) for a, b, *_ in rows)
     empty = df.where("doc_id = 99")
     assert bpe.encode_decode(empty, WORD).count() == 0 and tokencount.token_counts(empty, BYTE).count() == 0
+
+
+def test_query_on_long_unsplit_words(spark, tmp_path, monkeypatch):
+    """Words far above a leaf, through the query's own function: every one goes through tree concatenation."""
+    from lodestone.llm.queries import QUERIES
+
+    r = random.Random(12)
+    letters = lambda n, of: "".join(r.choice(of) for _ in range(n))
+    rows = [(i, letters(n, of)) for i, (n, of) in enumerate([(2049, "ab"), (4096, "abcdefinorst"), (60_001, "ethainosr"), (9000, "日本語"), (30_000, "éañ"), (200_000, "a"), (5000, "x1")])]
+    rows += [(50, f"lead {rows[2][1]} tail {rows[3][1]}."), (51, None), (52, ""), (53, "THE" * 4000), (53, "THE" * 4000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    whole = Tokenizer.from_file(WORD)
+    want = {}
+    for i, t in rows:
+        ids = whole.encode(t or "", add_special_tokens=False).ids
+        packed = b"".join(x.to_bytes(4, "little") for x in ids)
+        want[i] = (len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(whole.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+    got = QUERIES["op1_bpe_encode_decode"](spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and all((x.n_tokens, x.ids_sha256, x.decoded_sha256) == want[x.doc_id] for x in got)
+    c, trees = bpe.Codec(WORD), []
+    real = c.tree
+    monkeypatch.setattr(c, "tree", lambda w: trees.append(len(w)) or real(w))
+    c.batch([t or "" for _, t in rows])
+    assert max(trees) == 200_000 and len(trees) >= 7
+
+
+def test_joins_run_in_parallel(monkeypatch):
+    seen, c = [], bpe.Codec(WORD, leaf=64)
+    real = c._encode_all
+    monkeypatch.setattr(c, "_encode_all", lambda parts: seen.append(len(parts)) or real(parts))
+    word = "".join(random.Random(2).choice("abcdefinorst") for _ in range(64 * 33))
+    assert c.tree(word) == c._encode(word, True)
+    assert seen[0] == 33 and seen[1] == 16 and sum(seen) < 33 + 4 * 33
