@@ -2,56 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions import distance as D
+from lodestone.operators.nearest import nearest
 
 
 def nearest_pairs(points: DataFrame, k: int, axes: Sequence[str], metric: str | None = "m", block: int = 2048) -> DataFrame:
     """(source, target, weight): the k + 1 nearest of every point, itself included, under the mean of both points' metrics.
 
-    points: (row_id, axes, metric: row-major array). Without a metric, plain squared distances. All pairs are compared,
-    as the graph is defined, but block by block: points are packed into rows of `block` points, every pair of packed
-    rows is one row of work, and of each a source keeps k + 1 targets before the last merge. Nothing is broadcast that
-    grows with the points; a task holds two blocks. Ties go by target.
-    """
-    d = len(axes)
-    cols = [F.col("row_id").cast("double"), *(F.col(a).cast("double") for a in axes)] + ([F.col(metric)[i] for i in range(d * d)] if metric else [])
-    width = len(cols)
-    n = points.count()
-    blocks = -(-n // block) or 1
-    packed = points.select(F.pmod(F.xxhash64("row_id"), F.lit(blocks)).alias("b"), F.array(*cols).alias("v")).groupBy("b").agg(F.flatten(F.collect_list("v")).alias("v"))
-    left, right = packed.select("b", F.col("v").alias("x")), packed.select(F.col("b").alias("c"), F.col("v").alias("y"))
-    work = left.crossJoin(right).repartition(max(1, min(blocks * blocks, 10_000)), "b", "c").select("x", "y")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                x, y = (np.asarray(b.column(j)[i].values.to_numpy(zero_copy_only=False), float).reshape(-1, width) for j in (0, 1))
-                y = y[np.argsort(y[:, 0])]
-                ids, c, mc = y[:, 0].astype(np.int64), list(y[:, 1 : d + 1].T), list(y[:, d + 1 :].T)
-                for at in range(0, len(x), 128):
-                    s = x[at : at + 128]
-                    r, mr = [v[:, None] for v in s[:, 1 : d + 1].T], [v[:, None] for v in s[:, d + 1 :].T]
-                    q = D.symmetric_pnp(c, r, mc, mr) if metric else D.ploss(c, r)
-                    take = min(k + 1, len(y))
-                    rows, cols = np.nonzero(q <= np.partition(q, take - 1, axis=1)[:, take - 1 : take])
-                    order = np.lexsort((cols, q[rows, cols], rows))  # targets are in order of id
-                    rows, cols = rows[order], cols[order]
-                    rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
-                    rows, cols = rows[rank < take], cols[rank < take]
-                    yield pa.RecordBatch.from_arrays([pa.array(s[rows, 0].astype(np.int64)), pa.array(ids[cols]), pa.array(q[rows, cols])], names=["source", "target", "weight"])
-
-    found = work.mapInArrow(run, "source long, target long, weight double")
-    if blocks == 1:
-        return found
-    best = Window.partitionBy("source").orderBy("weight", "target")
-    return found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1).drop("_r")
+    points: (row_id, axes, metric: row-major array). Without a metric, plain squared distances. Ties go by target."""
+    return nearest(points, points, k + 1, axes, metric, block)
 
 
 def knn_edges(points: DataFrame, k: int, axes: Sequence[str], metric: str | None = "m", dedup: bool = False, block: int = 2048) -> DataFrame:

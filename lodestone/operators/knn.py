@@ -10,9 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import distance as D
-
-#: References that are compared at once.
-BLOCK = 256
+from lodestone.operators.nearest import nearest
 
 
 def _reference(points: DataFrame, ref_id: int, columns: Sequence[str]) -> list:
@@ -80,29 +78,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def knn_many(points: DataFrame, refs: DataFrame, k: int, axes: Sequence[str]) -> DataFrame:
     """(ref_id, rank, row_id, dist) of P-loss neighbours for a table of ref_ids, or on any vectors given as axes.
 
-    References are read in blocks of BLOCK rows and each block is compared with all points; a task keeps k rows for each
-    of its references before anything is shuffled, so a shuffle moves k rows a reference and task."""
-    got = refs.select(F.col("ref_id").alias("row_id")).join(points, "row_id").select("row_id", *axes)
-    out = None
-    rows = sorted(map(tuple, got.distinct().collect()))
-    for at in range(0, len(rows), BLOCK):
-        part = rows[at : at + BLOCK]
-        names, values = [r[0] for r in part], np.array([r[1:] for r in part], float)
-
-        def run(batches: Iterator[pa.RecordBatch], names=names, values=values) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                ids = b.column(0).to_numpy(zero_copy_only=False)
-                c = np.column_stack([b.column(i + 1).to_numpy(zero_copy_only=False) for i in range(len(axes))])
-                for name, r in zip(names, values):
-                    dist = D.block(c, r)
-                    near = np.flatnonzero(dist <= np.partition(dist, k - 1)[k - 1]) if k < len(dist) else np.arange(len(dist))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), name, np.int64)), pa.array(ids[near]), pa.array(dist[near])], names=["ref_id", "row_id", "dist"])
-
-        mine = points.select(F.col("row_id").cast("long").alias("row_id"), *(F.col(a).cast("double") for a in axes)).mapInArrow(run, "ref_id long, row_id long, dist double")
-        out = mine if out is None else out.unionByName(mine)
-    if out is None:
-        return points.sparkSession.createDataFrame([], "ref_id long, rank int, row_id long, dist double")
+    Any number of references: they are packed into blocks that meet the blocks of points, which are scanned once; a task
+    keeps k rows for each reference it is at. Repeated ref_ids count once; those that no point has are left out."""
+    mine = points.join(refs.select(F.col("ref_id").alias("row_id")).distinct(), "row_id", "left_semi")
+    found = nearest(mine, points, k, axes)
     w = Window.partitionBy("ref_id").orderBy("dist", "row_id")
-    return out.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k).select("ref_id", "rank", "row_id", "dist")
+    found = found.select(F.col("source").alias("ref_id"), F.col("target").alias("row_id"), F.col("weight").alias("dist"))
+    return found.select("ref_id", (F.row_number().over(w) - 1).alias("rank"), "row_id", "dist")

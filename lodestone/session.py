@@ -20,7 +20,10 @@ SETTINGS = {
 
 
 def session(app: str = "lodestone", **more: str) -> SparkSession:
-    return SparkSession.builder.appName(app).config(map=SETTINGS | more).getOrCreate()
+    """A session with SETTINGS, whose executors have this package."""
+    spark = SparkSession.builder.appName(app).config(map=SETTINGS | more).getOrCreate()
+    ship(spark)
+    return spark
 
 
 def ship(spark: SparkSession) -> None:

@@ -323,3 +323,28 @@ def test_whole_graph(spark):
         near = set(np.lexsort((np.arange(10_000), q))[:7].tolist()) - {i}
         assert near <= {r.target for r in e.where(F.col("source") == i).collect()}
     e.unpersist()
+
+
+def test_large_ids_and_many_references(spark):
+    """Ids that doubles can't tell apart, references in several blocks, and ties across blocks."""
+    first = 2**53 + 1
+    p = spark.createDataFrame([(first + 2 * i, float(i % 40), 0.0) for i in range(900)], "row_id long, x double, y double").repartition(5)
+    for block in (2048, 100):
+        one = graph.nearest_pairs(p, 2, ("x", "y"), None, block=block).collect()
+        want = {first + 2 * i: sorted((float((i % 40 - j % 40) ** 2), first + 2 * j) for j in range(900))[:3] for i in range(900)}
+        got = {}
+        for r in one:
+            got.setdefault(r.source, []).append((r.weight, r.target))
+        assert {i: sorted(v) for i, v in got.items()} == want
+    refs = spark.createDataFrame([(first + 2 * i,) for i in range(0, 900, 2)] + [(first,), (7,)], "ref_id long")
+    many = {}
+    for r in knn.knn_many(p, refs, 3, ("x", "y")).collect():
+        many.setdefault(r.ref_id, []).append((r["rank"], r.dist, r.row_id))
+    assert {i: [x[1:] for x in sorted(v)] for i, v in many.items()} == {i: v for i, v in want.items() if (i - first) % 4 == 0}
+
+
+def test_pairs_are_not_shuffled(spark):
+    p = grid.grid(spark, subdiv=5)
+    plan = graph.nearest_pairs(p, 3, AXES, None, block=64)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    above = plan.split("MapInArrow")[1].split("CartesianProduct" if "CartesianProduct" in plan else "BroadcastNestedLoopJoin")[0]
+    assert "Exchange" not in above
