@@ -176,11 +176,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, most_passages: int
     return train([np.frombuffer(bag, "<f4").reshape(-1, WIDTH) for _, _, bag in rows], np.array([y for _, y, _ in rows], np.float32))
 
 
-def score(docs: DataFrame, model: Model | None, cut: float = 0.7) -> DataFrame:
+def score(docs: DataFrame, model: Model | None, cut: float = 0.7, only_good: bool = False) -> DataFrame:
     """docs' columns with score (0 to 1, higher is better), predicted (1 at `cut` or more) and attention (the weight of
-    each passage). Null and empty texts are one empty passage. Without a model every score is 1. Rows stay as they are."""
+    each passage). Null and empty texts are one empty passage. Without a model every score is 1. Rows stay as they are;
+    only_good leaves out those predicted 0."""
     own = ["score", "predicted", "attention"]
-    rest = [c for c in docs.columns if c not in own]
+    rest = [c for c in docs.columns if c not in ("text", *own)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -192,11 +193,12 @@ def score(docs: DataFrame, model: Model | None, cut: float = 0.7) -> DataFrame:
                 else:
                     scores, a = model.score(bags)
                 weights = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, bags)]), pa.int32()), pa.array(a, pa.float64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array((scores >= cut).astype(np.int32)), weights], names=["row", *own])
+                out = pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64()), pa.array((scores >= cut).astype(np.int32)), weights], names=["row", "text", *own])
+                yield out.filter(pa.array(scores >= cut)) if only_good else out
 
-    df = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), F.col("text").cast("string").alias("text"))
-    out = df.mapInArrow(run, df.select("row").schema.add("score", T.DoubleType()).add("predicted", T.IntegerType()).add("attention", T.ArrayType(T.DoubleType())))
-    return out.select(*(F.col(f"row.`{c}`") for c in rest), *own)
+    df = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), F.col("text").cast("string").alias("text"))  # a text travels once
+    out = df.mapInArrow(run, df.select("row", "text").schema.add("score", T.DoubleType()).add("predicted", T.IntegerType()).add("attention", T.ArrayType(T.DoubleType())))
+    return out.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in own), *own)
 
 
 def _together(sizes: list[int]) -> Iterator[tuple[int, int]]:
@@ -223,5 +225,7 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = 4000, cut: float =
 
 def keep_good(docs: DataFrame, labels: DataFrame, most: int = 4000, cut: float = 0.7) -> DataFrame:
     """docs without those that are predicted to be bad; columns stay. Nulls, ties and the rest are as in classify."""
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
-    return score(row, fit(docs, labels, most), cut).where("predicted = 1").select(*(F.col(f"row.`{c}`") for c in docs.columns))
+    rest = [c for c in docs.columns if c != "text"]
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), "text")
+    kept = score(row, fit(docs, labels, most), cut, only_good=True)
+    return kept.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
