@@ -11,11 +11,59 @@ from pyspark.sql import functions as F
 MOST_VERTICES = 4_000_000
 
 
-def force_layout(vertices: DataFrame, edges: DataFrame, iterations: int = 100, scaling: float = 20.0, gravity: float = 1.0, strong_gravity: bool = True, jitter: float = 1.0, seed: int = 1) -> DataFrame:
+def repulsion(pos: np.ndarray, weight: np.ndarray, at: np.ndarray, scaling: float) -> np.ndarray:
+    """Forces on the vertices `at` from all others, pair by pair."""
+    out = np.zeros((len(at), 2))
+    for i in range(0, len(at), 128):
+        out[i : i + 128] = _push(pos[at[i : i + 128]], weight[at[i : i + 128]], pos, weight, scaling)
+    return out
+
+
+def _push(x: np.ndarray, w: np.ndarray, y: np.ndarray, v: np.ndarray, scaling: float) -> np.ndarray:
+    dx, dy = x[:, :1] - y[:, 0], x[:, 1:] - y[:, 1]
+    f = scaling * w[:, None] * v / np.maximum(dx * dx + dy * dy, 1e-9)
+    return np.column_stack([(dx * f).sum(1), (dy * f).sum(1)])
+
+
+class Cells:
+    """A square grid over positions: members, mass and centre of mass of each cell that has some."""
+
+    def __init__(self, pos: np.ndarray, weight: np.ndarray):
+        self.side = max(1, round(len(pos) ** (1 / 3)))  # a vertex meets about n^(2/3) cells and as many vertices near it
+        low = pos.min(0)
+        size = max(float((pos.max(0) - low).max()), 1e-9) / self.side
+        xy = np.minimum(((pos - low) / size).astype(int), self.side - 1)
+        self.cell = xy[:, 0] * self.side + xy[:, 1]
+        self.order = np.argsort(self.cell, kind="stable")
+        self.used, self.starts = np.unique(self.cell[self.order], return_index=True)
+        self.ends = np.r_[self.starts[1:], len(pos)]
+        self.mass = np.add.reduceat(weight[self.order], self.starts)
+        self.centre = np.add.reduceat((pos * weight[:, None])[self.order], self.starts) / self.mass[:, None]
+        self.x, self.y = self.used // self.side, self.used % self.side
+
+    def repulsion(self, pos: np.ndarray, weight: np.ndarray, at: np.ndarray, scaling: float) -> np.ndarray:
+        """Forces on the vertices `at`: pair by pair from their own and the eight cells around, from others by centre of mass."""
+        out = np.zeros((len(at), 2))
+        mine = self.cell[at]
+        order = np.argsort(mine, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(mine[order])) + 1):
+            c = mine[part[0]]
+            near = (abs(self.x - c // self.side) <= 1) & (abs(self.y - c % self.side) <= 1)
+            others = np.concatenate([self.order[s:e] for s, e in zip(self.starts[near], self.ends[near])])
+            for i in range(0, len(part), 128):
+                some = part[i : i + 128]
+                x, w = pos[at[some]], weight[at[some]]
+                out[some] = _push(x, w, pos[others], weight[others], scaling) + _push(x, w, self.centre[~near], self.mass[~near], scaling)
+        return out
+
+
+def force_layout(vertices: DataFrame, edges: DataFrame, iterations: int = 100, scaling: float = 20.0, gravity: float = 1.0, strong_gravity: bool = True, jitter: float = 1.0, seed: int = 1, exact: bool = True) -> DataFrame:
     """(vertex, x, y) of vertices (id) under edges (source, target, weight), each unordered pair counting once.
 
-    Every round is one job: tasks hold some vertices' edges and all positions (16 bytes a vertex, at most MOST_VERTICES,
-    checked) and give their vertices' forces. The start is drawn from seed, so a layout can be made again.
+    exact: every vertex is pushed by every other; else by those in its part of a grid and by the centres of mass of the
+    other parts, n^(2/3) pushes a vertex for n. Every round is one job: tasks hold some vertices' edges and all positions
+    (24 bytes a vertex with weights, at most MOST_VERTICES, checked) and give their vertices' forces. The start is drawn
+    from seed, so a layout can be made again. Repeated ids count once; an empty table gives an empty one.
     """
     spark = vertices.sparkSession
     ids = np.array(sorted(r[0] for r in vertices.select("id").distinct().limit(MOST_VERTICES + 1).collect()), np.int64)
@@ -35,18 +83,16 @@ def force_layout(vertices: DataFrame, edges: DataFrame, iterations: int = 100, s
 
             def run(batches, shared=shared):
                 ids, pos, weight = shared.value
+                push = repulsion if exact else Cells(pos, weight).repulsion
                 for b in batches:
                     at = np.searchsorted(ids, b.column(0).to_numpy(zero_copy_only=False))
-                    force = np.zeros((len(at), 2))
-                    for j, i in enumerate(at):
-                        d = pos[i] - pos
-                        d2 = np.maximum((d * d).sum(1), 1e-9)
-                        force[j] = (d * (scaling * weight[i] * weight / d2)[:, None]).sum(0)
-                        t = b.column(1)[j].as_py()
-                        if t:
-                            force[j] -= (pos[i] - pos[np.searchsorted(ids, np.array(t))]).sum(0)
-                        r = np.hypot(*pos[i])
-                        force[j] -= gravity * weight[i] * pos[i] * (1 if strong_gravity else 1 / max(r, 1e-9))
+                    force = push(pos, weight, at, scaling)
+                    sizes = [len(t) if t.is_valid else 0 for t in b.column(1)]
+                    mine, other = np.repeat(np.arange(len(at)), sizes), np.searchsorted(ids, b.column(1).flatten().to_numpy(zero_copy_only=False))
+                    pull = pos[at[mine]] - pos[other]
+                    force -= np.column_stack([np.bincount(mine, pull[:, j], len(at)) for j in (0, 1)])
+                    away = 1.0 if strong_gravity else 1 / np.maximum(np.hypot(*pos[at].T), 1e-9)[:, None]
+                    force -= gravity * weight[at][:, None] * pos[at] * away
                     yield pa.RecordBatch.from_arrays([b.column(0), pa.array(force[:, 0]), pa.array(force[:, 1])], names=["id", "fx", "fy"])
 
             rows = work.mapInArrow(run, "id long, fx double, fy double").toArrow()

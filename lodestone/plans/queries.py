@@ -328,6 +328,28 @@ def wav_frames(spark, sf):
     return export.frames(precompute.waveforms(grid.grid(spark, FEW, 2), Chain(BandEnergies(), M.Drum(dur=4096)), AXES))
 
 
+def layout_nodes_whole(spark, sf):
+    """All 100 rounds over the graph of the reference's size."""
+    p, e = _whole_graph(spark)
+    return export.layout_nodes(layout.force_layout(graph.nodes(p, AXES), e, exact=False), graph.nodes(p, AXES))
+
+
+def feature_precompute_full(spark, sf):
+    """81 points through the full chain: 65,536 samples, joint scattering with J = 14, Q = 12, T = 8,192, F = 2."""
+    return precompute.features(_points(spark, 3), Chain(JointScattering()), AXES, partitions=16)
+
+
+def metric_hub_full_chain(spark, sf):
+    """Metrics of 16 hubs from the full chain's exact derivatives."""
+    p = _points(spark, 3)
+    return hubs.hub_metrics(p, grid.hub_ids(spark, 81, 16), Chain(JointScattering()), AXES, partitions=16)
+
+
+def wav_frames_full(spark, sf):
+    """All 65,536 samples of 81 sounds."""
+    return export.frames(precompute.waveforms(_points(spark, 3), Chain(JointScattering()), AXES, partitions=8))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -337,6 +359,7 @@ QUERIES = {
         drum_coefs, drum_coefs_as_written, drum_modes, drum_mode_block, drum_waveform, physics_to_percept, percept_to_physics, log1p_features, log1p_features_whole, feature_strings, graphml_lines,
         layout_edges, layout_nodes, feature_precompute, jtfs_features, metric_hub_full, knn_pnp_scattering, wav_frames,
         hub_allocation_whole, metric_tensor_whole, knn_graph_edges_whole, knn_graph_undirected_whole, knn_graph_stats_whole, layout_edges_whole, drum_modes_whole,
+        layout_nodes_whole, feature_precompute_full, metric_hub_full_chain, wav_frames_full,
     )
 }
 

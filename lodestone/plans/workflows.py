@@ -45,10 +45,10 @@ def build_graph(points: DataFrame, folder: str, chain, n_hubs: int = 2000, k: in
     return nodes, edges
 
 
-def lay_out(spark: SparkSession, folder: str, iterations: int = 100) -> tuple[DataFrame, DataFrame]:
+def lay_out(spark: SparkSession, folder: str, iterations: int = 100, exact: bool = True) -> tuple[DataFrame, DataFrame]:
     """The saved graph's layout: CSV tables of nodes with positions and of undirected edges."""
     nodes, edges = store.read(spark, f"{folder}/nodes"), graph.undirected(store.read(spark, f"{folder}/edges"))
-    placed = export.layout_nodes(layout.force_layout(nodes, edges, iterations), nodes)
+    placed = export.layout_nodes(layout.force_layout(nodes, edges, iterations, exact=exact), nodes)
     export.write_csv(placed, f"{folder}/layout_nodes")
     export.write_csv(export.layout_edges(edges), f"{folder}/layout_edges")
     return placed, edges

@@ -10,8 +10,3 @@ AXES = ("tau", "p", "d", "alpha")
 def points(axes: tuple[str, ...] = AXES) -> T.StructType:
     """A parameter grid: explicit row ids, one double an axis."""
     return T.StructType([T.StructField("row_id", T.LongType(), False), *(T.StructField(a, T.DoubleType()) for a in axes)])
-
-
-FEATURES = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("s", T.ArrayType(T.FloatType()))])
-METRICS = T.StructType([T.StructField("hub", T.IntegerType()), T.StructField("row_id", T.LongType()), T.StructField("m", T.ArrayType(T.DoubleType()))])
-EDGES = T.StructType([T.StructField("source", T.LongType()), T.StructField("target", T.LongType()), T.StructField("weight", T.DoubleType())])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +50,3 @@ def hub_ids(spark: SparkSession, n: int, hubs: int) -> DataFrame:
         raise ValueError("hubs and n must be 1 or more")
     at = F.expr(f"(id * {n - 1}L) DIV {hubs - 1}L") if hubs > 1 else F.lit(0).cast("long")
     return spark.range(hubs).select(F.col("id").cast("int").alias("hub"), at.alias("row_id"))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -348,3 +348,113 @@ def test_pairs_are_not_shuffled(spark):
     plan = graph.nearest_pairs(p, 3, AXES, None, block=64)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
     above = plan.split("MapInArrow")[1].split("CartesianProduct" if "CartesianProduct" in plan else "BroadcastNestedLoopJoin")[0]
     assert "Exchange" not in above
+
+
+# the feature map, written out from its definition
+
+
+def scattering_by_sums(y, j, q, t, f):
+    """Log-scaled coefficients by sums over samples and frequencies, one coefficient at a time, without transforms, folding
+    or decimation of what isn't defined on a coarser grid."""
+    hop = max(1, min(t // 64, len(y) // 64))
+    n = -(-len(y) // hop) * hop
+    y = np.r_[y, np.zeros(n - len(y))]
+    window = lambda size, centre, width: np.array([math.exp(-((k - centre) ** 2) / (2 * width**2)) * (centre == 0 or k * centre > 0) for k in np.fft.fftfreq(size)])
+    wave_of = lambda shape: np.array([sum(shape[k] * complex(math.cos(2 * math.pi * k * i / len(shape)), math.sin(2 * math.pi * k * i / len(shape))) for k in range(len(shape))) / len(shape) for i in range(len(shape))])
+    octaves = min(j, max(1, int(math.log2(n)) - 2))
+    u = []
+    for i in range(octaves * q):
+        c = 0.4 * 2 ** (-i / q)
+        h = wave_of(window(n, c, max(c * (2 ** (1 / q) - 1) / 1.2, 1 / n)))
+        u.append([abs(sum(y[s] * h[(at - s) % n] for s in range(n))) for at in range(0, n, hop)])
+    u = np.array(u)
+    count, frames = u.shape
+    wide = 1 << math.ceil(math.log2(count * 1.25))
+    u = np.concatenate([u, np.zeros((wide - count, frames))])
+    low_t = wave_of(window(frames, 0, hop / (2 * math.pi * min(t, n) / 2))).real
+    low_f = wave_of(window(wide, 0, 1 / (2 * math.pi * f))).real
+    at_t, at_f = range(0, frames, max(1, t // hop // 2)), range(0, count, max(1, f))
+    stride = lambda size, octave: 2 ** max(0, octave - 1) if size % 2 ** max(0, octave - 1) == 0 else 1
+
+    def mean(z, si, sk):
+        return [sum(low_f[(b - k * sk) % wide] * sk * low_t[(a - i * si) % frames] * si * z[k][i] for k in range(len(z)) for i in range(len(z[0]))) for b in at_f for a in at_t]
+
+    out = mean(u, 1, 1)
+    fs = [s * 0.4 * 2.0**-i for i in range(max(1, int(math.log2(count)) - 1)) for s in (1, -1)]
+    bands_f = [window(wide, c, abs(c) / 2.4 if c > 0 else -abs(c) / 2.4) for c in fs] + [window(wide, 0, 1 / wide)]
+    for i in range(max(1, int(math.log2(max(2, min(t, n) / hop))))):
+        c = 0.4 * 2.0**-i
+        ht, si = wave_of(window(frames, c, c / 2.4)), stride(frames, i)
+        along_t = np.array([[sum(u[k][s] * ht[(at - s) % frames] for s in range(frames)) for at in range(0, frames, si)] for k in range(wide)])
+        for m, band in enumerate(bands_f):
+            hf, sk = wave_of(band), stride(wide, m // 2) if m < len(bands_f) - 1 else 1
+            z = [[abs(sum(along_t[k][a] * hf[(at - k) % wide] for k in range(wide))) for a in range(along_t.shape[1])] for at in range(0, wide, sk)]
+            out += mean(z, si, sk)
+    return np.log1p(1e3 * np.maximum(out, 0))
+
+
+@pytest.mark.parametrize("j,q,t,f,size", [(4, 2, 64, 2, 128), (3, 3, 128, 1, 100), (5, 1, 256, 3, 192)])
+def test_scattering_by_definition(j, q, t, f, size):
+    y = np.random.default_rng(j).normal(size=size) * np.exp(-np.arange(size) / 40)
+    got, want = JointScattering(j, q, t, f).apply(y), scattering_by_sums(y, j, q, t, f)
+    assert got.shape == want.shape and np.allclose(got, want, atol=1e-9)
+
+
+def test_full_scattering_coefficients():
+    """At J = 14, Q = 12, T = 8,192, F = 2: first-order coefficients of a drum sound, each by direct sums over samples."""
+    full, y = JointScattering(), synth(THETA, Drum())
+    got = full.apply(y)
+    n, hop = len(y), full.t // 64
+    frames, at_t = n // hop, range(0, n // hop, full.t // hop // 2)
+    count = min(full.j, int(math.log2(n)) - 2) * full.q
+    wide = 1 << math.ceil(math.log2(count * 1.25))
+    k, s = np.fft.fftfreq(n), np.arange(n)
+    low = lambda size, width: np.exp(-(np.fft.fftfreq(size) ** 2) / (2 * width**2)) @ np.cos(2 * np.pi * np.outer(np.arange(size), np.arange(size)) / size) / size
+    low_t, low_f = low(frames, hop / (np.pi * full.t)), low(wide, 1 / (2 * np.pi * full.f))
+    assert n == 65_536 and len(got) == 106_176
+    reach = [b for b in range(wide) if abs(low_f[b]) > 1e-13]
+    for b in (24, 60):  # places along log-frequency: every f-th wavelet
+        bands = {(b - x) % wide for x in reach} & set(range(count))
+        want = np.zeros(len(at_t))
+        for band in bands:
+            c = 0.4 * 2 ** (-band / full.q)
+            width = max(c * (2 ** (1 / full.q) - 1) / 1.2, 1 / n)
+            used = np.flatnonzero((k > 0) & (abs(k - c) < 9 * width))  # the others weigh less than 1e-17
+            h = np.zeros(n, complex)
+            for i in used:
+                h += math.exp(-((k[i] - c) ** 2) / (2 * width**2)) * np.exp(2j * np.pi * (i * s % n) / n) / n
+            u = np.array([abs(np.dot(y, h[(at * hop - s) % n])) for at in range(frames)])
+            want += low_f[(b - band) % wide] * np.array([sum(low_t[(a - i) % frames] * u[i] for i in range(frames)) for a in at_t])
+        assert np.allclose(got[b // full.f * len(at_t) : (b // full.f + 1) * len(at_t)], np.log1p(1e3 * want), atol=1e-7)
+
+
+def test_full_chain_metric():
+    """The metric of the full chain against central differences of its features."""
+    c = Chain(JointScattering())
+    m, g = c.metric(THETA), []
+    for i in range(4):
+        e = np.eye(4)[i] * 1e-7
+        g.append((c.s(THETA + e) - c.s(THETA - e)) / 2e-7)
+    want = np.array(g) @ np.array(g).T
+    scale = np.sqrt(np.outer(np.diag(want), np.diag(want)))
+    assert np.abs(m - want).max() / scale.max() < 5e-3 and (np.abs(m - want) / scale).max() < 0.02
+
+
+def test_grid_layout_forces():
+    r = np.random.default_rng(5)
+    pos, weight, at = r.normal(size=(6000, 2)) * 100, r.integers(1, 9, 6000).astype(float), np.arange(0, 6000, 7)
+    exact, near = layout.repulsion(pos, weight, at, 20.0), layout.Cells(pos, weight).repulsion(pos, weight, at, 20.0)
+    for j, i in enumerate(at[:5]):
+        d = pos[i] - pos
+        assert np.allclose(exact[j], (d * (20 * weight[i] * weight / np.maximum((d * d).sum(1), 1e-9))[:, None]).sum(0))
+    assert np.hypot(*(exact - near).T).max() < 0.02 * np.median(np.hypot(*exact.T))
+    one = layout.Cells(pos[:1], weight[:1])
+    assert np.allclose(one.repulsion(pos[:1], weight[:1], np.array([0]), 20.0), 0)
+
+
+def test_grid_layout_groups(spark):
+    p = spark.createDataFrame([(i,) for i in range(400)], "id long")
+    e = spark.createDataFrame([(a, b, 1.0) for a in range(400) for b in range(a - 6, a) if b >= 0 and (a < 200) == (b < 200)], "source long, target long, weight double")
+    at = {r.vertex: (r.x, r.y) for r in layout.force_layout(p, e, iterations=40, exact=False).collect()}
+    far = lambda a, b: math.dist(at[a], at[b])
+    assert np.mean([far(i, i + 1) for i in range(0, 199)]) < 0.5 * np.mean([far(i, i + 200) for i in range(0, 200)])
