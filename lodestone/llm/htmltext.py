@@ -48,7 +48,9 @@ ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu
 #: Words in class or id that mark parts which are no article.
 MARKS = set("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
 #: What a start tag closes, and where the search for it ends.
-CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+CLOSES = {"li": ({"li", "p"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}), "tr": ({"tr", "td", "th", "p"}, {"table"}), "td": ({"td", "th", "p"}, {"tr", "table"}), "th": ({"td", "th", "p"}, {"tr", "table"}), "option": ({"option", "p"}, {"select"})}
+#: The same of all other blocks.
+P, STOPS = {"p"}, {"article", "section", "div", "body", "td", "li", "table"}
 
 #: Elements that hold text as such, which no weighing against siblings takes away.
 PLAIN = set("blockquote dd dl dt figure h1 h2 h3 h4 h5 h6 hgroup p pre table".split())
@@ -95,23 +97,28 @@ class Page:
 
     def __init__(self, page: str):
         self.up, self.tag, self.step, self.depth = [-1], [""], [""], [0]
-        self.marked, self.main, self.kids = [False], [False], [[]]
-        self.counts: list[dict[str, int]] = [{}]
+        self.marked, self.main = [False], [False]
+        self.kids: list[list[str] | tuple] = [()]  # lists and counts only where there are children
+        self.counts: list[dict[str, int] | None] = [None]
         self.blocks: list[tuple[int, str, tuple[str, ...]]] = []
         self._read(page)
 
     def _node(self, parent: int, tag: str, style: str, marked: bool) -> int:
         count = self.counts[parent]
-        n = count[style] = count.get(style, 0) + 1
-        self.kids[parent].append(style)
+        if count is None:
+            self.counts[parent], self.kids[parent] = {style: 1}, [style]
+            n = 1
+        else:
+            n = count[style] = count.get(style, 0) + 1
+            self.kids[parent].append(style)
         self.up.append(parent)
         self.tag.append(tag)
         self.step.append(style if n == 1 else f"{style}[{n}]")
         self.depth.append(self.depth[parent] + 1)
         self.marked.append(marked and tag not in ("html", "body"))
         self.main.append(self.main[parent] or tag in ("article", "main"))
-        self.kids.append([])
-        self.counts.append({})
+        self.kids.append(())
+        self.counts.append(None)
         return len(self.up) - 1
 
     def _read(self, page: str) -> None:
@@ -136,7 +143,11 @@ class Page:
                 open_at[stack.pop()[0]].pop()
 
         def nearest(tags) -> int:
-            return max((open_at[t][-1] for t in tags if open_at.get(t)), default=-1)
+            at = -1
+            for t in tags:
+                if (where := open_at.get(t)) and where[-1] > at:
+                    at = where[-1]
+            return at
 
         while at < size:
             lt = page.find("<", at)
@@ -202,10 +213,12 @@ class Page:
             block = tag in BLOCK
             if block:
                 flush()
-                ends, stop = CLOSES.get(tag, ((), ("article", "section", "div", "body", "td", "li", "table")))
-                floor = nearest(stop)
-                while (to := nearest((*ends, "p"))) > floor:
-                    close(to)
+                ends, stop = CLOSES.get(tag, (P, STOPS))
+                if (to := nearest(ends)) >= 0:
+                    floor = nearest(stop)
+                    while to > floor:
+                        close(to)
+                        to = nearest(ends)
             if tag in VOID:
                 continue
             node = stack[-1][1] if stack else 0
