@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import distance as D
 from lodestone.functions import drum as M
-from lodestone.functions.features import BandEnergies, JointScattering
+from lodestone.functions.features import JointScattering
 from lodestone.functions.metric import Chain, Quadratic
 from lodestone.operators import evaluate, graph, hubs, knn, layout, precompute
 from lodestone.schemas import AXES
 from lodestone.sources import export, grid, store
 
 REF, K, GRAPH_K = 5, 200, 6
+POINTS, HUBS, CLOSE = 10_000, 2000, 1e-3
 HUB_REQUEST = [5, 3, 3, 999_999_999, 0, 17, 5, 42, 499, 3]
 SMALL = M.Drum(dur=256)
 FEW = {"tau": (0.4, 1.7), "p": (-5.0, -2.85), "d": (-5.0, -2.75), "alpha": (0.25, 0.75)}
@@ -133,23 +134,24 @@ def _hub_table(spark, points, n, count):
     return grid.hub_ids(spark, n, count).join(_metric_columns(points).select("row_id", "m"), "row_id").select("hub", "row_id", "m")
 
 
-def hub_allocation(spark, sf):
+def hub_allocation_whole(spark, sf):
     p = _points(spark)
-    return hubs.allocation(p, _hub_table(spark, p, 10_000, 100), AXES)
+    return hubs.allocation(p, _hub_table(spark, p, POINTS, HUBS), AXES)
 
 
-def metric_tensor(spark, sf):
-    p = _points(spark, 3)
-    return hubs.hub_metrics(p, grid.hub_ids(spark, 81, 20), CHAIN, AXES).select("hub", "row_id", F.posexplode("m").alias("at", "m"))
+def metric_tensor_whole(spark, sf):
+    p = _points(spark)
+    return hubs.hub_metrics(p, grid.hub_ids(spark, POINTS, HUBS), CHAIN, AXES).select("hub", "row_id", F.posexplode("m").alias("at", "m"))
 
 
-def _graph(spark):
-    p = _points(spark, 4)
-    table = _hub_table(spark, p, 256, 16)
+def _graph(spark, n: int = 10, count: int = HUBS):
+    """n^4 points and their k-NN graph with `count` hubs."""
+    p = _points(spark, n)
+    table = _hub_table(spark, p, n**4, count)
     return p, graph.knn_edges(graph.graph_points(p, hubs.allocation(p, table, AXES), table), GRAPH_K, AXES)
 
 
-def knn_graph_edges(spark, sf):
+def knn_graph_edges_whole(spark, sf):
     return _graph(spark)[1]
 
 
@@ -161,17 +163,18 @@ def knn_graph_blocks(spark, sf):
     return graph.knn_edges(p, GRAPH_K, axes, metric=None, block=128)
 
 
-def knn_graph_undirected(spark, sf):
+def knn_graph_undirected_whole(spark, sf):
     return graph.undirected(_graph(spark)[1])
 
 
-def knn_graph_stats(spark, sf):
+def knn_graph_stats_whole(spark, sf):
     return graph.stats(*_graph(spark))
 
 
-def graph_isolated(spark, sf):
+def graph_isolated_whole(spark, sf):
+    """Points that no edge of at most CLOSE reaches."""
     p, e = _graph(spark)
-    return graph.isolated(p, e.where("source > 40 and target > 40"))
+    return graph.isolated(p, e.where(F.col("weight") <= CLOSE))
 
 
 def graph_selfloops(spark, sf):
@@ -179,35 +182,6 @@ def graph_selfloops(spark, sf):
     return graph.self_loops(e.unionByName(p.where("row_id < 3").select(F.col("row_id").alias("source"), F.col("row_id").alias("target"), F.lit(0.0).alias("weight"))))
 
 
-def _whole_graph(spark):
-    """The graph of the reference's size: 10,000 points and 2,000 hubs."""
-    p = _points(spark)
-    table = _hub_table(spark, p, 10_000, 2000)
-    return p, graph.knn_edges(graph.graph_points(p, hubs.allocation(p, table, AXES), table), GRAPH_K, AXES)
-
-
-def hub_allocation_whole(spark, sf):
-    p = _points(spark)
-    return hubs.allocation(p, _hub_table(spark, p, 10_000, 2000), AXES)
-
-
-def metric_tensor_whole(spark, sf):
-    p = _points(spark)
-    return hubs.hub_metrics(p, grid.hub_ids(spark, 10_000, 2000), CHAIN, AXES).select("hub", "row_id", F.posexplode("m").alias("at", "m"))
-
-
-def knn_graph_edges_whole(spark, sf):
-    return _whole_graph(spark)[1]
-
-
-def knn_graph_undirected_whole(spark, sf):
-    return graph.undirected(_whole_graph(spark)[1])
-
-
-def knn_graph_stats_whole(spark, sf):
-    return graph.stats(*_whole_graph(spark))
-
-
 def layout_edges_whole(spark, sf):
     return export.layout_edges(knn_graph_undirected_whole(spark, sf))
 
@@ -248,14 +222,9 @@ def drum_coefs_as_written(spark, sf):
     return M.drum_coefficients(_points(spark), as_written=True).select("row_id", *(f(c) for c in ("w", "l2", "s4", "c2", "d1", "d3")))
 
 
-def drum_modes(spark, sf):
+def drum_modes_whole(spark, sf, n: int = 10):
     f = lambda c: F.col(c).cast("float").alias(c)
-    return M.drum_modes(_points(spark, 4)).select("row_id", "mu1", "mu2", f("n"), f("decay"), f("omega"), "rejected", F.round("amp", 9).alias("amp"))
-
-
-def drum_modes_whole(spark, sf):
-    f = lambda c: F.col(c).cast("float").alias(c)
-    return M.drum_modes(_points(spark)).select("row_id", "mu1", "mu2", f("n"), f("decay"), f("omega"), "rejected", F.round("amp", 9).alias("amp"))
+    return M.drum_modes(_points(spark, n)).select("row_id", "mu1", "mu2", f("n"), f("decay"), f("omega"), "rejected", F.round("amp", 9).alias("amp"))
 
 
 def drum_mode_block(spark, sf):
@@ -278,10 +247,6 @@ def percept_to_physics(spark, sf):
     return p.select("row_id", *(c.cast("float").alias(n) for c, n in zip(out, ("d1", "d3", "s4", "c2"))))
 
 
-def log1p_features(spark, sf):
-    return _store(spark, sf).select("row_id", F.posexplode("s").alias("i", "v")).where("i < 4").select("row_id", "i", F.round(F.log1p(F.abs(F.col("v").cast("double")) * 1e3), 6).alias("v"))
-
-
 def log1p_features_whole(spark, sf):
     """Every component of every stored vector."""
     return _store(spark, sf).select("row_id", F.posexplode("s").alias("i", "v")).select("row_id", "i", F.round(F.log1p(F.abs(F.col("v").cast("double")) * 1e3), 6).alias("v"))
@@ -297,40 +262,14 @@ def graphml_lines(spark, sf):
     return export.graphml_lines(graph.nodes(p, ("a", "b")), graph.knn_edges(p, 2, ("a", "b"), metric=None)).select("part", "a", "b", "line")
 
 
-def layout_edges(spark, sf):
-    return export.layout_edges(graph.undirected(_graph(spark)[1]))
-
-
-def layout_nodes(spark, sf):
-    p, e = _graph(spark)
-    return export.layout_nodes(layout.force_layout(graph.nodes(p, AXES), e, iterations=10), graph.nodes(p, AXES))
-
-
-def feature_precompute(spark, sf):
-    return precompute.features(_points(spark, 3), Chain(BandEnergies(), M.Drum(dur=4096)), AXES, partitions=8)
-
-
-def jtfs_features(spark, sf):
-    return precompute.features(grid.grid(spark, FEW, 2), Chain(JointScattering(j=8, q=8, t=1024), M.Drum(dur=4096)), AXES, partitions=8)
-
-
-def metric_hub_full(spark, sf):
-    p = grid.grid(spark, FEW, 2)
-    return hubs.hub_metrics(p, grid.hub_ids(spark, 16, 8), Chain(JointScattering(j=8, q=8, t=1024), M.Drum(dur=4096)), AXES, partitions=8)
-
-
 def knn_pnp_scattering(spark, sf):
     """The full chain at the reference row: 65,536 samples, joint scattering, exact derivatives, then 10,000 points."""
     return knn.knn(_points(spark), REF, 50, "PNP", chain=Chain(JointScattering()))
 
 
-def wav_frames(spark, sf):
-    return export.frames(precompute.waveforms(grid.grid(spark, FEW, 2), Chain(BandEnergies(), M.Drum(dur=4096)), AXES))
-
-
 def layout_nodes_whole(spark, sf):
-    """All 100 rounds over the graph of the reference's size."""
-    p, e = _whole_graph(spark)
+    """All 100 rounds over the whole graph."""
+    p, e = _graph(spark)
     return export.layout_nodes(layout.force_layout(graph.nodes(p, AXES), e, exact=False), graph.nodes(p, AXES))
 
 
@@ -354,12 +293,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         knn_bruteforce, theta_grid, theta_grid_f32, theta_grid_first, theta_grid_five_axes, hub_ids, s_lookup_ordered, s_lookup_batched, s_filtered_scan, s_hub_semijoin,
-        ploss_dist, pnp_dist, sym_pnp_dist, bruteforce_dist, knn_ploss, knn_pnp, knn_bruteforce_theta, knn_many_references, hub_allocation, metric_tensor,
-        knn_graph_edges, knn_graph_blocks, knn_graph_undirected, knn_graph_stats, graph_isolated, graph_selfloops, iou_curve, iou_curve_ploss, iou_self, method_trade_off,
-        drum_coefs, drum_coefs_as_written, drum_modes, drum_mode_block, drum_waveform, physics_to_percept, percept_to_physics, log1p_features, log1p_features_whole, feature_strings, graphml_lines,
-        layout_edges, layout_nodes, feature_precompute, jtfs_features, metric_hub_full, knn_pnp_scattering, wav_frames,
-        hub_allocation_whole, metric_tensor_whole, knn_graph_edges_whole, knn_graph_undirected_whole, knn_graph_stats_whole, layout_edges_whole, drum_modes_whole,
-        layout_nodes_whole, feature_precompute_full, metric_hub_full_chain, wav_frames_full,
+        ploss_dist, pnp_dist, sym_pnp_dist, bruteforce_dist, knn_ploss, knn_pnp, knn_bruteforce_theta, knn_many_references, hub_allocation_whole, metric_tensor_whole,
+        knn_graph_edges_whole, knn_graph_blocks, knn_graph_undirected_whole, knn_graph_stats_whole, graph_isolated_whole, graph_selfloops, iou_curve, iou_curve_ploss, iou_self, method_trade_off,
+        drum_coefs, drum_coefs_as_written, drum_modes_whole, drum_mode_block, drum_waveform, physics_to_percept, percept_to_physics, log1p_features_whole, feature_strings, graphml_lines,
+        layout_edges_whole, layout_nodes_whole, knn_pnp_scattering, feature_precompute_full, metric_hub_full_chain, wav_frames_full,
     )
 }
 
@@ -417,12 +354,13 @@ def _alloc(n: int, h: int, points: str) -> str:
         alloc AS MATERIALIZED (SELECT c.row_id, CAST(arg_min(r.hub, (q, r.hub)) AS INTEGER) AS hub FROM (SELECT c.row_id, r.hub, {_pnp('c', 'r', _metric('r'))} AS q FROM {points} c, hub r) AS c(row_id, hub, q), LATERAL (SELECT c.hub AS hub) r GROUP BY c.row_id)"""
 
 
-def _edges() -> str:
-    m = [f"((c.m[{i + 1}] + r.m[{i + 1}]) / 2e0)" for i in range(16)]
-    return f"""WITH pt AS MATERIALIZED (SELECT * FROM {_grid(n=4)}), {_alloc(256, 16, 'pt')},
-        gp AS MATERIALIZED (SELECT pt.*, [{', '.join(_metric('hub'))}] AS m FROM pt JOIN alloc USING (row_id) JOIN hub ON hub.hub = alloc.hub),
+def _edges(n: int = 10, count: int = HUBS) -> str:
+    m = [f"((c.m{i} + r.m{i}) / 2e0)" for i in range(16)]
+    return f"""WITH pt AS MATERIALIZED (SELECT * FROM {_grid(n=n)}), {_alloc(n**4, count, 'pt')},
+        gp AS MATERIALIZED (SELECT pt.*, {', '.join(f'{x} AS m{i}' for i, x in enumerate(_metric('hub')))} FROM pt JOIN alloc USING (row_id) JOIN hub ON hub.hub = alloc.hub),
         pair AS (SELECT r.row_id AS source, c.row_id AS target, {_pnp('c', 'r', m)} AS weight FROM gp r, gp c),
-        near AS MATERIALIZED (SELECT * FROM pair QUALIFY row_number() OVER (PARTITION BY source ORDER BY weight, target) <= {GRAPH_K + 1}),
+        least AS (SELECT source, unnest(min((weight, target), {GRAPH_K + 1})) AS x FROM pair GROUP BY source),
+        near AS MATERIALIZED (SELECT source, x[2] AS target, x[1] AS weight FROM least),
         edge AS (SELECT source, target, weight FROM near WHERE source <> target UNION ALL SELECT target, source, weight FROM near WHERE source <> target)"""
 
 
@@ -460,6 +398,17 @@ _EMB_EDGES = f"""WITH pt AS MATERIALIZED (SELECT vec_id AS row_id, embedding::DO
         near AS MATERIALIZED (SELECT * FROM pair QUALIFY row_number() OVER (PARTITION BY source ORDER BY weight, target) <= {GRAPH_K + 1})
         SELECT source, target, weight FROM near WHERE source <> target UNION ALL SELECT target, source, weight FROM near WHERE source <> target"""
 _PI = _n(math.pi)
+_UNDIRECTED = "SELECT least(source, target) AS source, greatest(source, target) AS target, min(weight) AS weight FROM edge GROUP BY 1, 2"
+_STATS = "SELECT n AS num_nodes, count(*) AS num_edges, count(*) / CAST(n AS DOUBLE) AS average_degree FROM edge, (SELECT count(*) AS n FROM pt) GROUP BY n"
+
+
+def _tensor(n: int, count: int) -> str:
+    return f"SELECT hub, row_id, CAST(generate_subscripts(m, 1) - 1 AS INTEGER) AS at, unnest(m) AS m FROM (SELECT hub, p.row_id, [{', '.join(_metric('p'))}] AS m FROM {_HUBS.format(n=n**4, h=count)} h JOIN {_grid(n=n)} p USING (row_id))"
+
+
+def _mode_rows(n: int) -> str:
+    return f"WITH {_modes(_grid(n=n))} SELECT row_id, mu1, mu2, {_FLOATS(('n', 'decay', 'omega'))}, rejected, round(amp, 9) AS amp FROM modes"
+
 
 ORACLES = {
     "theta_grid": f"SELECT * FROM {_grid()}",
@@ -480,23 +429,20 @@ ORACLES = {
     "knn_bruteforce": _knn(_FOLD.format(c="c.s::DOUBLE[]", r="r.s::DOUBLE[]"), _STORE, K),
     "knn_bruteforce_theta": _KNN_BF,
     "knn_many_references": f"SELECT r.row_id AS ref_id, CAST(row_number() OVER (PARTITION BY r.row_id ORDER BY {_ploss('c', 'r')}, c.row_id) - 1 AS INTEGER) AS rank, c.row_id, {_ploss('c', 'r')} AS dist FROM {_grid()} c, (SELECT * FROM {_grid()} SEMI JOIN {_HUBS.format(n=10000, h=20)} USING (row_id)) r QUALIFY rank < 10",
-    "hub_allocation": f"WITH pt AS MATERIALIZED (SELECT * FROM {_grid()}), {_alloc(10000, 100, 'pt')} SELECT * FROM alloc",
-    "metric_tensor": f"SELECT hub, row_id, CAST(generate_subscripts(m, 1) - 1 AS INTEGER) AS at, unnest(m) AS m FROM (SELECT hub, p.row_id, [{', '.join(_metric('p'))}] AS m FROM {_HUBS.format(n=81, h=20)} h JOIN {_grid(n=3)} p USING (row_id))",
-    "hub_allocation_whole": f"WITH pt AS MATERIALIZED (SELECT * FROM {_grid()}), {_alloc(10000, 2000, 'pt')} SELECT * FROM alloc",
-    "metric_tensor_whole": f"SELECT hub, row_id, CAST(generate_subscripts(m, 1) - 1 AS INTEGER) AS at, unnest(m) AS m FROM (SELECT hub, p.row_id, [{', '.join(_metric('p'))}] AS m FROM {_HUBS.format(n=10000, h=2000)} h JOIN {_grid()} p USING (row_id))",
-    "knn_graph_edges": f"{_edges()} SELECT * FROM edge",
+    "hub_allocation_whole": f"WITH pt AS MATERIALIZED (SELECT * FROM {_grid()}), {_alloc(POINTS, HUBS, 'pt')} SELECT * FROM alloc",
+    "metric_tensor_whole": _tensor(10, HUBS),
+    "knn_graph_edges_whole": f"{_edges()} SELECT * FROM edge",
     "knn_graph_blocks": _EMB_EDGES,
-    "knn_graph_undirected": f"{_edges()} SELECT least(source, target) AS source, greatest(source, target) AS target, min(weight) AS weight FROM edge GROUP BY 1, 2",
-    "knn_graph_stats": f"{_edges()} SELECT 256::BIGINT AS num_nodes, count(*) AS num_edges, count(*) / 256e0 AS average_degree FROM edge",
-    "graph_isolated": f"{_edges()} SELECT row_id FROM pt WHERE row_id NOT IN (SELECT source FROM edge WHERE source > 40 AND target > 40)",
+    "knn_graph_undirected_whole": f"{_edges()} {_UNDIRECTED}",
+    "knn_graph_stats_whole": f"{_edges()} {_STATS}",
+    "graph_isolated_whole": f"{_edges()} SELECT row_id FROM pt WHERE row_id NOT IN (SELECT source FROM edge WHERE weight <= {_n(CLOSE)})",
     "graph_selfloops": "SELECT i AS source, i AS target, 0e0 AS weight FROM range(3) AS r(i)",
     "iou_curve": _iou(_KNN_PNP, _KNN_BF),
     "iou_curve_ploss": _iou(_KNN_PLOSS, _KNN_BF),
     "iou_self": _iou(_KNN_BF, _KNN_BF),
     "drum_coefs": f"SELECT row_id, {_FLOATS(('w', 'l2', 's4', 'c2', 'd1', 'd3'))} FROM ({_drum(_grid())})",
     "drum_coefs_as_written": f"SELECT row_id, {_FLOATS(('w', 'l2', 's4', 'c2', 'd1', 'd3'))} FROM (SELECT row_id, {_coefs('w', '3.1e0', 'w', 'w', 'tau')} FROM (SELECT row_id, pow(10e0, 3.1e0) AS w, tau FROM {_grid()}))",
-    "drum_modes": f"WITH {_modes(_grid(n=4))} SELECT row_id, mu1, mu2, {_FLOATS(('n', 'decay', 'omega'))}, rejected, round(amp, 9) AS amp FROM modes",
-    "drum_modes_whole": f"WITH {_modes(_grid())} SELECT row_id, mu1, mu2, {_FLOATS(('n', 'decay', 'omega'))}, rejected, round(amp, 9) AS amp FROM modes",
+    "drum_modes_whole": _mode_rows(10),
     "drum_mode_block": f"WITH {_modes(_grid())}, {_BLOCK} SELECT * FROM block",
     "drum_waveform": f"""WITH {_modes(_grid(FEW, 2))}, {_BLOCK},
         y AS (SELECT row_id, t, sum(amp * exp(-decay * (t * {_STEP})) * sin(omega * (t * {_STEP}))) AS y FROM modes JOIN block USING (row_id), range({SMALL.dur}) AS ts(t) WHERE mu1 <= c1 AND mu2 <= block.c2 GROUP BY row_id, t)
@@ -507,7 +453,6 @@ ORACLES = {
     "percept_to_physics": f"""WITH q AS (SELECT row_id, pow(10e0, {_n(M.OMEGA)}) AS w, tau, pow(10e0, p) AS p, pow(10e0, d) AS d, pow(2 / {_PI}, 2) AS k FROM {_grid(FEW, 3)})
         SELECT row_id, CAST(-1 / tau + p / tau AS FLOAT) AS d1, CAST(p * k / tau AS FLOAT) AS d3, CAST(k * k * (pow(d * w, 2) + pow(p / tau, 2)) AS FLOAT) AS s4,
                CAST(k * (w * w * (1 - d * d) + (1 - p * p) / (tau * tau)) AS FLOAT) AS c2 FROM q""",
-    "log1p_features": f"SELECT row_id, CAST(i AS INTEGER) AS i, round(ln(1 + 1e3 * abs(CAST(s[i + 1] AS DOUBLE))), 6) AS v FROM {_STORE}, range(4) AS r(i)",
     "log1p_features_whole": f"SELECT row_id, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS i, round(ln(1 + 1e3 * abs(CAST(unnest(s) AS DOUBLE))), 6) AS v FROM {_STORE}",
     "feature_strings": f"SELECT row_id AS id, {_TEXT} AS features FROM {_grid(_AB, 5)}",
     "graphml_lines": f"""WITH pt AS (SELECT * FROM {_grid(_AB, 3)}),
@@ -518,5 +463,5 @@ ORACLES = {
         UNION ALL SELECT 1, row_id, 0, '    <node id="n' || row_id || '">' || chr(10) || '      <data key="v_feat">' || {_TEXT} || '</data>' || chr(10) || '    </node>' FROM pt
         UNION ALL SELECT 2, source, target, '    <edge source="n' || source || '" target="n' || target || '">' || chr(10) || '      <data key="e_weight">' || CAST(weight AS VARCHAR) || '</data>' || chr(10) || '    </edge>' FROM edge
         UNION ALL SELECT 3, 0, CAST(i AS BIGINT), line FROM (VALUES {', '.join(f"({i}, '{x}')" for i, x in enumerate(export.GRAPHML_FOOT))}) AS f(i, line)""",
-    "layout_edges": f"{_edges()} SELECT least(source, target) AS source, greatest(source, target) AS target, min(weight) AS weight FROM edge GROUP BY 1, 2",
+    "layout_edges_whole": f"{_edges()} {_UNDIRECTED}",
 }
