@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import trimmed
+
 #: Words to remember in each worker; then the memory starts anew.
 REMEMBER = 300_000
 #: Characters of text that are worked on together.
@@ -199,6 +201,7 @@ def encode_decode(docs: DataFrame, path: str, leaf: int = 2048) -> DataFrame:
 
     A null text counts as empty: no ids and an empty decoded text. No row is moved, merged or dropped, so ties and
     repeated rows come back as they are; columns named ids or decoded are replaced; an empty table gives an empty one.
+    A text of any length is one row's work; what of it isn't split is encoded by the tree.
     """
     rest = [c for c in docs.columns if c not in ("text", "ids", "decoded")]
 
@@ -212,7 +215,7 @@ def encode_decode(docs: DataFrame, path: str, leaf: int = 2048) -> DataFrame:
 
     df = docs.select(F.col("text").cast("string"), *(F.col(f"`{c}`") for c in rest))
     kept = docs.select(*(F.col(f"`{c}`") for c in rest)).schema
-    return df.mapInArrow(run, kept.add("ids", "binary").add("decoded", "string"))
+    return df.mapInArrow(trimmed(run), kept.add("ids", "binary").add("decoded", "string"))
 
 
 def unpack(ids: bytes) -> list[int]:

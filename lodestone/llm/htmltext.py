@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Stored
+from lodestone.llm.common import Stored, trimmed
 
 #: HTML element names by their role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -368,7 +368,7 @@ def trees(pages: DataFrame, declared: bool = True) -> DataFrame:
                         nodes.append([(ids[i], ids[max(0, p.up[i])], p.depth[i], p.step[i][:200], styles[i], len(p.kids[i]), *flags[i]) for i in range(len(ids))])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key, pa.string()), pa.array(layouts, pa.int64()), _lists(nodes, NODE), _lists(blocks, LEAF)], names=["_host", "page", "layout", "nodes", "blocks"])
 
-    return pages.select(_host(pages).alias("_host"), F.col("html").cast("string").alias("html")).mapInArrow(run, TREE)
+    return pages.select(_host(pages).alias("_host"), F.col("html").cast("string").alias("html")).mapInArrow(trimmed(run), TREE)
 
 
 def main_text(page: str, low: list | None, high: list | None = None, declared: bool = True) -> str:
@@ -502,5 +502,5 @@ def extract(pages: DataFrame, threshold: float = 0.25, least_pages: int = 5, sha
                 text = [main_text(x.as_py() or "", y.as_py(), z.as_py(), declared) for x, y, z in zip(part.column(1), part.column(2), part.column(3))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(text, pa.string())], names=["row", "text"])
 
-    out = row.select("row", "html", "_low", "_high").mapInArrow(run, row.select("row").schema.add("text", "string"))
+    out = row.select("row", "html", "_low", "_high").mapInArrow(trimmed(run), row.select("row").schema.add("text", "string"))
     return out.select(*(F.col(f"row.`{c}`") for c in rest), "text")

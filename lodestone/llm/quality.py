@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.common import trimmed
+
 PASSAGE = 1024
 BUCKETS = 512
 WIDTH = 128 + 16 + 4
@@ -171,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, most_passages: int
                 bag = pa.array([passages(data).astype("<f4").tobytes()], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(i, 1), b.column(2).slice(i, 1), bag], names=["h", "good", "bag"])
 
-    bags = texts.select("text", "h", "good").mapInArrow(run, "h long, good int, bag binary").groupBy("h", "good").agg(F.min("bag").alias("bag"))  # repeated rows once
+    bags = texts.select("text", "h", "good").mapInArrow(trimmed(run), "h long, good int, bag binary").groupBy("h", "good").agg(F.min("bag").alias("bag"))  # repeated rows once
     rows = sorted((r.h, r.good, bytes(r.bag)) for r in bags.collect())
     return train([np.frombuffer(bag, "<f4").reshape(-1, WIDTH) for _, _, bag in rows], np.array([y for _, y, _ in rows], np.float32))
 
@@ -197,7 +199,7 @@ def score(docs: DataFrame, model: Model | None, cut: float = 0.7, only_good: boo
                 yield out.filter(pa.array(scores >= cut)) if only_good else out
 
     df = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), F.col("text").cast("string").alias("text"))  # a text travels once
-    out = df.mapInArrow(run, df.select("row", "text").schema.add("score", T.DoubleType()).add("predicted", T.IntegerType()).add("attention", T.ArrayType(T.DoubleType())))
+    out = df.mapInArrow(trimmed(run), df.select("row", "text").schema.add("score", T.DoubleType()).add("predicted", T.IntegerType()).add("attention", T.ArrayType(T.DoubleType())))
     return out.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in own), *own)
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Stored
+from lodestone.llm.common import Stored, trimmed
 
 SYMBOLS = "#*$%&|<>"
 #: Measures that rules look at, and cutoffs from lenient to strict.
@@ -74,7 +74,7 @@ def measures(docs: DataFrame) -> DataFrame:
     schema = df.select("row").schema
     for c in counted:
         schema = schema.add(c, "long")
-    m = df.mapInArrow(run, schema)
+    m = df.mapInArrow(trimmed(run), schema)
     per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     shares = {"symbols_per_word": ("n_symbols", "n_words"), "upper_share": ("n_upper", "word_chars"), "repeat_share": ("n_repeat_words", "n_words"), "dup_line_share": ("n_dup_lines", "n_lines")}
     return m.select("row", *COUNTS, *(per(*ab).alias(c) for c, ab in shares.items()))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Stored
+from lodestone.llm.common import Stored, trimmed
 from lodestone.llm.components import components
 
 LOW = 0xFFFFFFFF
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
             found = np.fromiter((fingerprint(x.as_py(), shingle, seed) for x in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(run), "doc_id long, fp long")
 
 
 def _close(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
@@ -145,7 +145,7 @@ def _subdivide(hot: DataFrame, pieces: int) -> DataFrame:
                     new = [xxhash.xxh64_intdigest(np.array([k, v, i], np.uint64).tobytes()) for k, v in zip(key[mine], fps[mine] & block)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.array(new, np.uint64).view(np.int64)), pa.array(fps[mine].view(np.int64)), pa.array(np.full(mine.sum(), m & ~block, np.uint64).view(np.int64))], names=["key", "fp", "mask"])
 
-    return hot.select(F.col("a").alias("key"), F.col("b").alias("fp"), "mask").mapInArrow(run, "key long, fp long, mask long")
+    return hot.select(F.col("a").alias("key"), F.col("b").alias("fp"), "mask").mapInArrow(trimmed(run), "key long, fp long, mask long")
 
 
 def variants(fps: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def links(fps: DataFrame, store: Stored, bits: int = 3, bucket: int = 2048) -> D
         raise ValueError("two segments with one wildcard find up to three differing bits")
     dealt, level, edges = variants(fps), 0, None
     while True:
-        found = store.put(f"match{level}", dealt.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_matcher(bits, bucket), "kind int, a long, b long, mask long"))
+        found = store.put(f"match{level}", dealt.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(trimmed(_matcher(bits, bucket)), "kind int, a long, b long, mask long"))
         new = found.where("kind = 0").select("a", "b")
         edges = new if edges is None else edges.unionByName(new)
         hot = found.where("kind = 1")
@@ -190,7 +190,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3, bucket: in
     """(doc_id, fingerprint, component_id) for each row of docs (doc_id, text; other columns are ignored).
 
     Null and empty texts have fingerprint zero and link like any other; equal texts always share a component; repeated
-    rows come back as often; an empty table gives an empty result. A null doc_id is kept and is nobody's smallest.
+    rows come back as often; an empty table gives an empty result. A null doc_id is kept and is nobody's smallest. A text of
+    any length is one row's work, hashed some shingles at a time; doc_id is a long or casts to one.
     """
     fps, ids = classes(docs, Stored(docs.sparkSession), shingle, bits, bucket)
     return fps.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
@@ -221,7 +222,7 @@ def keep_one(docs: DataFrame, shingle: int = 3, bits: int = 3, bucket: int = 204
             found = np.fromiter((fingerprint(x.as_py(), shingle) for x in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], names=["row", "_fp"])
 
-    some = some.select("row", F.col("row.text").cast("string").alias("_text")).mapInArrow(run, row.schema.add("_fp", "long"))
+    some = some.select("row", F.col("row.text").cast("string").alias("_text")).mapInArrow(trimmed(run), row.schema.add("_fp", "long"))
     some = some.join(unsure, F.col("row.doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("fp")), "left_semi")
     some = some.withColumn("_id", F.col("row.doc_id")).dropDuplicates(["_id", "_fp"])
     return out.unionByName(some.select("row.*"))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import REMEMBER, blocks
+from lodestone.llm.common import trimmed
 
 
 class Counter:
@@ -134,4 +135,4 @@ def token_counts(docs: DataFrame, path: str, chunk: int = 32_768, overlap: int =
     text = F.col("text").cast("string")
     df = docs.select(text, *(F.col(f"`{c}`") for c in rest), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
     rest = [*rest, "n_bytes"]
-    return df.mapInArrow(run, df.drop("text").schema.add("n_tokens", "long"))
+    return df.mapInArrow(trimmed(run), df.drop("text").schema.add("n_tokens", "long"))
