@@ -94,6 +94,10 @@ class Stored:
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def read(self, name: str) -> DataFrame:
+        """A table that put() has stored."""
+        return self.spark.read.parquet(self.paths[name])
+
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
         for name in names:

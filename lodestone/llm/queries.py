@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontam, htmltext, license, linededup, quality, rules, sharding, simhash, tokencount
+from lodestone.llm import bpe, decontam, htmltext, license, linededup, mixing, quality, rules, sharding, simhash, tokencount
 from lodestone.llm.common import spread, table
 
 
@@ -64,6 +64,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", *rules.COUNTS, "base_failed", "kept")
 
 
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = mixing.mix(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+    return done.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op1_bpe_encode_decode": op1_bpe_encode_decode,
     "op2_quality_classifier": op2_quality_classifier,
@@ -75,6 +80,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_rules": op10_quality_rules,
+    "op13_mixing": op13_mixing,
 }
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -125,4 +131,17 @@ ORACLES: dict[str, str] = {
                array_to_string(list_sort(list_distinct(list_concat(coalesce(based.names, []), coalesce(spanned.names, [])))), ',') AS labels,
                CASE WHEN n_base > 0 THEN 1e0 ELSE coalesce(best, 0e0) END AS score
         FROM d LEFT JOIN based USING (r) LEFT JOIN spanned USING (r)""",
+    "op13_mixing": r"""
+        WITH d AS (SELECT doc_id, coalesce('=' || source, '~') AS src, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+        s AS (SELECT src, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY src),
+        w AS (SELECT *, [5e0, 2e0, 1e0][(row_number() OVER (ORDER BY src) - 1) % 3 + 1] AS weight FROM s),
+        t AS (SELECT sum(weight) AS weights, CAST(sum(source_size) AS DOUBLE) AS words FROM w),
+        full_first AS (SELECT w.*, row_number() OVER o AS k, coalesce(sum(weight) OVER b, 0e0) AS full_weight, CAST(coalesce(sum(source_size) OVER b, 0) AS DOUBLE) AS full_size
+                       FROM w WINDOW o AS (ORDER BY source_size / weight, src), b AS (ORDER BY source_size / weight, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        levels AS (SELECT k, (15e-1 * words - 2e0 * full_size) / (weights - full_weight) AS level, 2e0 * source_size AS bound, weight FROM full_first, t),
+        level AS (SELECT arg_min(level, k) AS level FROM levels WHERE bound >= level * weight),
+        target AS (SELECT src, source_size, CASE WHEN level IS NULL THEN 2e0 * source_size ELSE least(2e0 * source_size, level * weight) END AS target FROM w, level),
+        e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size * 16777216e0) AS BIGINT) ELSE 0 END AS each, CAST('0x' || substr(md5('mix' || src), 1, 6) AS BIGINT) AS start FROM target),
+        spot AS (SELECT doc_id, size, source_size, target, each, start, row_number() OVER (PARTITION BY src ORDER BY size, doc_id NULLS FIRST) AS i FROM d JOIN e USING (src))
+        SELECT doc_id, size, source_size, target, size * (((i * each + start) >> 24) - (((i - 1) * each + start) >> 24)) AS taken FROM spot""",
 }
