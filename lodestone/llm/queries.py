@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontam, htmltext, license, linededup, mixing, quality, rules, sharding, simhash, tokencount
+from lodestone.llm import bpe, decontam, hardneg, htmltext, license, linededup, mixing, quality, rules, sharding, simhash, tokencount
 from lodestone.llm.common import spread, table
 
 
@@ -64,6 +64,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", *rules.COUNTS, "base_failed", "kept")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), moved.alias("label"), F.col("embedding").alias("vector"))
+    return hardneg.mine(rows, F.col("id") % 100 == 0)
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = mixing.mix(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
     return done.select("doc_id", "size", "source_size", "target", "taken")
@@ -80,6 +86,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_rules": op10_quality_rules,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_mixing": op13_mixing,
 }
 
@@ -131,6 +138,13 @@ ORACLES: dict[str, str] = {
                array_to_string(list_sort(list_distinct(list_concat(coalesce(based.names, []), coalesce(spanned.names, [])))), ',') AS labels,
                CASE WHEN n_base > 0 THEN 1e0 ELSE coalesce(best, 0e0) END AS score
         FROM d LEFT JOIN based USING (r) LEFT JOIN spanned USING (r)""",
+    "op12_hard_negatives": """
+        WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256e0 * CAST(x AS DOUBLE))) AS q FROM embeddings
+                   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        pair AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        pos AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pair WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        FROM pos JOIN pair USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10""",
     "op13_mixing": r"""
         WITH d AS (SELECT doc_id, coalesce('=' || source, '~') AS src, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
         s AS (SELECT src, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY src),
