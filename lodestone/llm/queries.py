@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontam, hardneg, htmltext, license, linededup, mixing, quality, rules, sharding, simhash, tokencount
+from lodestone.llm import alignment, bpe, decontam, hardneg, htmltext, license, linededup, mixing, quality, rules, sharding, simhash, tokencount
 from lodestone.llm.common import spread, table
 
 
@@ -64,6 +64,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", *rules.COUNTS, "base_failed", "kept")
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return alignment.align(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), keep_groups=False)
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), moved.alias("label"), F.col("embedding").alias("vector"))
@@ -86,6 +91,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_rules": op10_quality_rules,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_mixing": op13_mixing,
 }
