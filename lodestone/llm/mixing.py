@@ -86,6 +86,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     text = F.col("text").cast("string")
     name = F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`").cast("string")), F.lit("~"))  # "~" is behind "="
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), name.alias("_source"), F.col("doc_id").alias("_id"), n_words(text).alias("size"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_h"))
+    rows = store.put("counted", rows)  # the sort samples its input first, so words would be counted twice
     rows = places(store, "rows", rows, ["_source", "size", "_id", "_h"], "_source")
     sources = store.put("sizes", store.read("rows").groupBy("_source").agg(F.sum("size").alias("source_size")))
     sources = places(store, "sources", sources, ["_source"])
