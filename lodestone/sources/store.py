@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The most ids that go into a pushed-down IN list; longer requests are joined.
@@ -12,9 +13,10 @@ MOST_LITERALS = 1000
 
 
 def write(df: DataFrame, path: str, order: str = "row_id") -> None:
-    """Overwrite path. Files hold ranges of row_id in order, so filters on it skip row groups by their statistics."""
+    """Overwrite path. Files hold ranges of row_id in order, so filters on it skip row groups by their statistics; rows
+    with the same id stay in df's order."""
     if order in df.columns:
-        df = df.repartitionByRange(order).sortWithinPartitions(order)
+        df = df.withColumn("_came", F.monotonically_increasing_id()).repartitionByRange(order).sortWithinPartitions(order, "_came").drop("_came")
     df.write.mode("overwrite").parquet(path)
 
 
@@ -42,12 +44,28 @@ def request(spark: SparkSession, ids: Iterable[int]) -> DataFrame:
     return spark.createDataFrame([(p, int(i)) for p, i in enumerate(ids)], "pos long, row_id long")
 
 
+def storage_order(store: DataFrame) -> Column | None:
+    """Where a stored row stands: its file, in the order of paths, and its place in the file, both from Parquet's hidden
+    columns; None if store isn't the scan of such files."""
+    at = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row"))
+    try:
+        store.select(at).schema
+    except AnalysisException:
+        return None
+    return at
+
+
 def lookup(store: DataFrame, ids: DataFrame | Iterable[int], value: str = "s") -> DataFrame:
-    """(pos, row_id, value) in request order: repeated ids repeat, missing ids are left out, of rows with the same id
-    the last stored one counts (the greatest value: a stored table has no order). All missing: an empty table."""
+    """(pos, row_id, value) in request order: repeated ids repeat, missing ids are left out, of rows with the same id the
+    last one stored counts. All missing: an empty table.
+
+    A store that isn't read from Parquet files has no order; there the greatest value counts."""
     wanted = ids if isinstance(ids, DataFrame) else request(store.sparkSession, ids)
-    last = store.join(wanted.select("row_id").distinct(), "row_id", "left_semi").groupBy("row_id").agg(F.max(value).alias(value))
-    return wanted.join(last, "row_id").select("pos", "row_id", value).orderBy("pos")
+    at = storage_order(store)
+    held = store.select("row_id", F.col(value).alias("_value"), (F.lit(0) if at is None else at).alias("_at"))
+    last = F.max("_value") if at is None else F.max_by("_value", "_at")
+    found = held.join(wanted.select("row_id").distinct(), "row_id", "left_semi").groupBy("row_id").agg(last.alias(value))
+    return wanted.join(found, "row_id").select("pos", "row_id", value).orderBy("pos")
 
 
 def lookup_batches(store: DataFrame, ids: DataFrame | Iterable[int], batch_size: int, value: str = "s") -> DataFrame:

@@ -46,14 +46,49 @@ def test_csv(spark, tmp_path):
     assert rows(grid.read_csv(spark, f"{tmp_path}/g")) == rows(grid.grid(spark, subdiv=2, single=True))
 
 
+def test_csv_without_ids(spark, tmp_path):
+    """Ids are positions over all splits of all files, whatever the size of the splits and of the files."""
+    g = grid.grid(spark, subdiv=8).repartition(7)
+    grid.write_csv(g, f"{tmp_path}/one", ids=False)
+    grid.write_csv(g, f"{tmp_path}/many", ids=False, rows=700)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size, least in (("128m", 1), ("10k", 10)):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        try:
+            for name in ("one", "many"):
+                back = grid.read_csv(spark, f"{tmp_path}/{name}", single=False)
+                assert back.rdd.getNumPartitions() >= least
+                assert rows(back) == rows(g)
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    (tmp_path / "own.csv").write_text("alpha,note,tau,p,d\n0.5,\"a,b\",1.0,-2.0,-3.0\n\n0.25,,1.5,-2.5,-3.5\n")
+    assert rows(grid.read_csv(spark, f"{tmp_path}/own.csv")) == [(0, 1.0, -2.0, -3.0, 0.5), (1, 1.5, -2.5, -3.5, 0.25)]
+    (tmp_path / "none.csv").write_text("tau,p,d,alpha\n")
+    assert rows(grid.read_csv(spark, f"{tmp_path}/none.csv")) == []
+
+
 # the feature store
 
 
+def test_last_stored_row_wins(spark, tmp_path):
+    stored = [(3, [9.0]), (1, [5.0]), (3, [1.0]), (2, [7.0]), (1, [8.0]), (3, [4.0]), (2, None)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(stored)], "n int, row_id long, s array<float>")
+    df.repartitionByRange(3, "n").sortWithinPartitions("n").drop("n").write.parquet(f"{tmp_path}/s")
+    s = store.read(spark, f"{tmp_path}/s")
+    assert [(r.pos, r.row_id, r.s) for r in store.lookup(s, [2, 3, 1, 3, 8]).collect()] == [(0, 2, None), (1, 3, [4.0]), (2, 1, [8.0]), (3, 3, [4.0])]
+    renamed = s.select("row_id", F.col("s")[0].alias("x"))
+    assert [r.x for r in store.lookup(renamed, [3, 1], "x").collect()] == [4.0, 8.0]
+    memory = spark.createDataFrame(stored, "row_id long, s array<float>")
+    assert store.storage_order(memory) is None and [r.s for r in store.lookup(memory, [3, 1]).collect()] == [[9.0], [8.0]]
+
+
 def test_store(spark, tmp_path):
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(100)] + [(7, [0.5, 2.0])], "row_id long, s array<float>")
     store.write(df, f"{tmp_path}/s")
     s = store.read(spark, f"{tmp_path}/s")
-    assert [(r.pos, r.row_id, r.s[0]) for r in store.lookup(s, [5, 999, 7, 5]).collect()] == [(0, 5, 5.0), (2, 7, 7.0), (3, 5, 5.0)]
+    assert [(r.pos, r.row_id, r.s[0]) for r in store.lookup(s, [5, 999, 7, 5]).collect()] == [(0, 5, 5.0), (2, 7, 0.5), (3, 5, 5.0)]  # the last stored, not the greatest
     assert store.lookup(s, [1000, 1001]).count() == 0 and store.lookup_batches(s, [1000], 2).count() == 0
     assert [r.batch for r in store.lookup_batches(s, [1, 2, 3], 2).orderBy("pos").collect()] == [0, 0, 1]
     assert store.filtered(s, [7, 8, 8, -1]).count() == 3 and store.filtered(s, range(2000)).count() == 101
