@@ -1,31 +1,24 @@
-"""Helpers that the corpus operators share: table reading, shared-folder tables, word splitting, text keys."""
+"""Helpers that the corpus operators share: table reading, word splitting, text keys."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.session import ship
+from lodestone.sources.scratch import Stored, shared_dir
+
+__all__ = ["Stored", "lower_ascii", "shared_dir", "spread", "table", "text_key", "trimmed", "words"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What is not part of a word: ASCII other than digits and letters.
 WORD_GAPS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 
 
-#: Narrow rows in a file of a stored table whose size is known beforehand.
-FILE_ROWS = 250_000
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -55,87 +48,6 @@ def trimmed(run: Run) -> Run:
     return task
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it. Only a session whose executors run
-    inside the driver (master local) may go without: it gets a temporary folder."""
-    sc = spark.sparkContext
-    found = sc._jsc.sc().getCheckpointDir()
-    if not found.isDefined():
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-            where = tempfile.mkdtemp(prefix="lodestone-")
-            atexit.register(shutil.rmtree, where, ignore_errors=True)
-        sc.setCheckpointDir(where)
-        found = sc._jsc.sc().getCheckpointDir()
-    return found.get()
-
-
-class Stored:
-    """Tables written into the shared folder: they cut lineage, survive lost executors and give Spark exact sizes.
-
-    A result that reads them is lazy, so they stay until the scope they were made in ends or, outside of any, Python does."""
-
-    _scope: ContextVar[list[Stored]] = ContextVar("stored", default=[])
-
-    def __init__(self, spark: SparkSession):
-        ship(spark)
-        self._scope.get().append(self)
-        self.spark, self.top, self.paths = spark, f"{shared_dir(spark)}/t-{uuid.uuid4().hex}", {}
-
-    def put(self, name: str, df: DataFrame, rows: int | None = None) -> DataFrame:
-        """rows: at most so many rows come, so that many small partitions become fewer files of up to FILE_ROWS."""
-        if rows is not None:
-            df = df.coalesce(rows // FILE_ROWS + 1)
-        self.drop(name)
-        path = f"{self.top}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
-        self.paths[name] = path
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def read(self, name: str) -> DataFrame:
-        """A table that put() has stored."""
-        return self.spark.read.parquet(self.paths[name])
-
-    def drop(self, *names: str) -> None:
-        """Delete tables that no later step reads."""
-        for name in names:
-            if path := self.paths.pop(name, None):
-                self._delete(path)
-
-    def _delete(self, path: str) -> None:
-        sc = self.spark.sparkContext
-        where = sc._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
-
-    def release(self) -> None:
-        self.paths.clear()
-        self._delete(self.top)
-
-    @classmethod
-    @contextmanager
-    def scope(cls) -> Iterator[None]:
-        """Delete the tables of all stores made inside, once what reads them has been written. Threads have their own scopes."""
-        made: list[Stored] = []
-        token = cls._scope.set(made)
-        try:
-            yield
-        finally:
-            cls._scope.reset(token)
-            for store in made:
-                store.release()
-
-
-@atexit.register
-def _release() -> None:
-    for store in Stored._scope.get():
-        try:
-            store.release()
-        except Exception:  # its session has ended: the folder is all that is left to try
-            shutil.rmtree(store.top.removeprefix("file:"), ignore_errors=True)
-
-
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
