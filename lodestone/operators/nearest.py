@@ -26,6 +26,29 @@ def _packed(points: DataFrame, ids: str, axes: Sequence[str], metric: str | None
     return rows.select(F.col("p.id").alias(f"{name}_ids"), F.flatten("p.v").alias(f"{name}_v"))
 
 
+def compare(x: np.ndarray, ids: np.ndarray, y: np.ndarray, take: int, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of x, ids and distances of the `take` nearest of y, by row, distance and id. ids are sorted; x and y have d
+    coordinates and then, if anything, a metric."""
+    found, metric = [], x.shape[1] > d
+    c, mc = list(y[:, :d].T), list(y[:, d:].T)
+    for at in range(0, len(x), ROWS):
+        s = x[at : at + ROWS]
+        r, mr = [v[:, None] for v in s[:, :d].T], [v[:, None] for v in s[:, d:].T]
+        q = D.symmetric_pnp(c, r, mc, mr) if metric else D.ploss(c, r)
+        n = min(take, len(y))
+        rows, cols = np.nonzero(q <= np.partition(q, n - 1, axis=1)[:, n - 1 : n])
+        found.append((rows + at, ids[cols], q[rows, cols]))
+    return first(*map(np.concatenate, zip(*found)), take)
+
+
+def first(rows: np.ndarray, ids: np.ndarray, q: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row the first `take` by distance and id."""
+    order = np.lexsort((ids, q, rows))
+    rows, ids, q = rows[order], ids[order], q[order]
+    kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < take
+    return rows[kept], ids[kept], q[kept]
+
+
 def nearest(sources: DataFrame, targets: DataFrame, k: int, axes: Sequence[str], metric: str | None = None, block: int = 2048) -> DataFrame:
     """(source, target, weight): the k nearest rows of targets (row_id) of each row of sources (row_id), ties by target.
 
@@ -42,25 +65,6 @@ def nearest(sources: DataFrame, targets: DataFrame, k: int, axes: Sequence[str],
     def values(column: pa.Array, i: int) -> np.ndarray:
         return column[i].values.to_numpy(zero_copy_only=False)
 
-    def compare(x: np.ndarray, ids: np.ndarray, y: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows of x, ids and distances of the `take` nearest of y, by row, distance and id. ids are sorted."""
-        d, found = len(axes), []
-        c, mc = list(y[:, :d].T), list(y[:, d:].T)
-        for at in range(0, len(x), ROWS):
-            s = x[at : at + ROWS]
-            r, mr = [v[:, None] for v in s[:, :d].T], [v[:, None] for v in s[:, d:].T]
-            q = D.symmetric_pnp(c, r, mc, mr) if metric else D.ploss(c, r)
-            n = min(take, len(y))
-            rows, cols = np.nonzero(q <= np.partition(q, n - 1, axis=1)[:, n - 1 : n])
-            found.append((rows + at, ids[cols], q[rows, cols]))
-        return first(*map(np.concatenate, zip(*found)), take)
-
-    def first(rows: np.ndarray, ids: np.ndarray, q: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.lexsort((ids, q, rows))
-        rows, ids, q = rows[order], ids[order], q[order]
-        kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < take
-        return rows[kept], ids[kept], q[kept]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine, x, best = None, None, None
 
@@ -77,7 +81,7 @@ def nearest(sources: DataFrame, targets: DataFrame, k: int, axes: Sequence[str],
                     mine, x, best = a.copy(), values(b.column(1), i).reshape(-1, width).copy(), None
                 ids, y = values(b.column(2), i), values(b.column(3), i).reshape(-1, width)
                 order = np.argsort(ids, kind="stable")
-                found = compare(x, ids[order], y[order], k)
+                found = compare(x, ids[order], y[order], k, len(axes))
                 best = found if best is None else first(*(np.concatenate(p) for p in zip(best, found)), k)
         if mine is not None:
             yield done()

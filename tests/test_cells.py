@@ -1,0 +1,58 @@
+"""The pruned search against the one that compares all pairs: the same rows, bit by bit."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.functions.metric import Quadratic
+from lodestone.operators import graph, hubs
+from lodestone.operators.cells import nearest_in_cells
+from lodestone.operators.nearest import nearest
+from lodestone.schemas import AXES
+from lodestone.sources import grid
+
+SF = "/root/testdata/sf0.01"
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def orders(spark):
+    o = spark.read.parquet(f"{SF}/orders.parquet")
+    return o.select(F.col("o_orderkey").alias("row_id"), (F.col("o_totalprice") / 1000).alias("a"), F.datediff("o_orderdate", F.lit("1995-01-01")).cast("double").alias("b"), (F.col("o_custkey") / 10).alias("c"))
+
+
+def test_orders(spark):
+    p = orders(spark)
+    n, pairs = p.count(), spark.sparkContext.accumulator(0)
+    got = nearest_in_cells(p, p, 7, "abc", compared=pairs)
+    assert rows(got) == rows(nearest(p, p, 7, "abc"))
+    assert got.count() == 7 * n and 0 < pairs.value < n * n / 10, pairs.value / n / n
+
+
+@pytest.mark.parametrize("coefficients", [3, 5])
+def test_metrics(spark, coefficients):
+    """Hub metrics of full rank, and of three coefficients for four axes, whose least eigenvalues are zero."""
+    p = grid.grid(spark, subdiv=6)
+    table = hubs.hub_metrics(p, grid.hub_ids(spark, 1296, 60), Quadratic(coefficients), AXES)
+    with_m = graph.graph_points(p, hubs.allocation(p, table, AXES), table).persist()
+    pairs = spark.sparkContext.accumulator(0)
+    assert rows(nearest_in_cells(with_m, with_m, 7, AXES, "m", compared=pairs)) == rows(nearest(with_m, with_m, 7, AXES, "m"))
+    assert pairs.value < 1296**2
+    odd = with_m.withColumn("m", F.when(F.col("row_id") % 50 == 0, F.transform("m", lambda x: -x)).otherwise(F.col("m")))  # not positive
+    assert rows(nearest_in_cells(odd, odd, 4, AXES, "m")) == rows(nearest(odd, odd, 4, AXES, "m"))
+
+
+def test_copies_ties_and_two_tables(spark):
+    r = np.random.default_rng(3)
+    x = r.integers(0, 12, (700, 2)).astype(float)
+    x[:240] = 3.0  # a third of all is one point
+    t = spark.createDataFrame([(i * 3, float(a), float(b)) for i, (a, b) in enumerate(x)], "row_id long, a double, b double").repartition(5)
+    s = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(r.normal(5, 8, (200, 2)))] + [(7000, 3.0, 3.0), (2**53 + 1, 1e9, -1e9)], "row_id long, a double, b double")
+    for a, b in ((t, t), (s, t), (t, s)):
+        for k, pivots in ((9, 40), (300, 3)):
+            assert rows(nearest_in_cells(a, b, k, "ab", pivots=pivots)) == rows(nearest(a, b, k, "ab"))
+    odd = t.union(spark.createDataFrame([(9000, None, 1.0), (9001, float("nan"), 1.0), (9002, float("inf"), 1.0)], t.schema))
+    assert rows(nearest_in_cells(odd, odd, 3, "ab")) == rows(nearest(t, t, 3, "ab"))
+    assert nearest_in_cells(t.limit(0), t, 3, "ab").count() == nearest_in_cells(t, t.limit(0), 3, "ab").count() == 0
