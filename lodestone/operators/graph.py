@@ -7,21 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.cells import nearest_in_cells
 from lodestone.operators.nearest import nearest
 
 
-def nearest_pairs(points: DataFrame, k: int, axes: Sequence[str], metric: str | None = "m", block: int = 2048) -> DataFrame:
+def nearest_pairs(points: DataFrame, k: int, axes: Sequence[str], metric: str | None = "m", block: int = 2048, search: str = "pairs") -> DataFrame:
     """(source, target, weight): the k + 1 nearest of every point, itself included, under the mean of both points' metrics.
 
-    points: (row_id, axes, metric: row-major array). Without a metric, plain squared distances. Ties go by target."""
+    points: (row_id, axes, metric: row-major array). Without a metric, plain squared distances. Ties go by target.
+    search: "pairs" compares all pairs, block by block, which long vectors need; "cells" gives the same rows and leaves out
+    the pairs that bounds rule out, for points of a few axes."""
+    if search == "cells":
+        return nearest_in_cells(points, points, k + 1, axes, metric)
     return nearest(points, points, k + 1, axes, metric, block)
 
 
-def knn_edges(points: DataFrame, k: int, axes: Sequence[str], metric: str | None = "m", dedup: bool = False, block: int = 2048) -> DataFrame:
+def knn_edges(points: DataFrame, k: int, axes: Sequence[str], metric: str | None = "m", dedup: bool = False, block: int = 2048, search: str = "pairs") -> DataFrame:
     """(source, target, weight) in both directions, a multiset: mutual neighbours give an edge twice unless dedup.
 
     Loops go after the k + 1 nearest are chosen, so a point that isn't among its own nearest keeps k + 1 edges."""
-    one = nearest_pairs(points, k, axes, metric, block).where("source <> target")
+    one = nearest_pairs(points, k, axes, metric, block, search).where("source <> target")
     both = one.unionByName(one.select(F.col("target").alias("source"), F.col("source").alias("target"), "weight"))
     return both.groupBy("source", "target").agg(F.min("weight").alias("weight")) if dedup else both
 

@@ -18,12 +18,13 @@ from lodestone.functions.metric import Chain, Quadratic
 from lodestone.operators import evaluate, graph, hubs, knn, layout, precompute
 from lodestone.schemas import AXES
 from lodestone.sources import export, grid, store
+from lodestone.sources.scratch import Stored
 
 REF, K, GRAPH_K = 5, 200, 6
-POINTS, HUBS, CLOSE = 10_000, 2000, 1e-3
+#: A hub for so many points, as in a graph of 10,000 points with 2,000 hubs; one for so many where a full chain gives metrics.
+HUB_OF, FULL_HUB_OF, CLOSE = 5, 25, 1e-4
 HUB_REQUEST = [5, 3, 3, 999_999_999, 0, 17, 5, 42, 499, 3]
 SMALL = M.Drum(dur=256)
-FEW = {"tau": (0.4, 1.7), "p": (-5.0, -2.85), "d": (-5.0, -2.75), "alpha": (0.25, 0.75)}
 CHAIN = Quadratic(3)
 
 
@@ -31,8 +32,34 @@ def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("s"))
 
 
-def _points(spark: SparkSession, n: int = 10) -> DataFrame:
-    return grid.grid(spark, subdiv=n)
+def _sums(s: str = "s") -> list:
+    """Sums of a stored vector's four quarters, which lie between -4 and 4."""
+    return [D._total([F.col(s)[16 * j + i].cast("double") for i in range(16)]) for j in range(4)]
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stored vector as a parameter row of the drum: its quarters' sums, scaled to the axes' bounds."""
+    return _store(spark, sf_dir).select("row_id", *((F.lit(low) + (g + 4.0) * F.lit((high - low) / 8)).alias(a) for g, (a, (low, high)) in zip(_sums(), grid.BOUNDS.items())))
+
+
+def _whole_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stored vector as a point of two whole coordinates."""
+    return _store(spark, sf_dir).select("row_id", *(F.floor(64 * g).cast("double").alias(a) for g, a in zip(_sums(), "ab")))
+
+
+def _count(spark: SparkSession, sf_dir: str) -> int:
+    return _store(spark, sf_dir).count()
+
+
+def _hub_ids(spark: SparkSession, sf_dir: str, of: int = HUB_OF) -> DataFrame:
+    n = _count(spark, sf_dir)
+    return grid.hub_ids(spark, n, max(2, n // of))
+
+
+def _bounds(spark: SparkSession, sf_dir: str) -> tuple[dict[str, tuple[float, float]], int, int]:
+    """The ranges of the points, how many a grid has along an axis to have as many points as the table, and the table's rows."""
+    r = _points(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), *(f(a).alias(f"{f.__name__}_{a}") for a in AXES for f in (F.min, F.max))).first()
+    return {a: (r[f"min_{a}"], r[f"max_{a}"]) for a in AXES}, math.ceil(math.sqrt(math.sqrt(r.n))), r.n
 
 
 def _metric_columns(df: DataFrame) -> DataFrame:
@@ -52,23 +79,44 @@ def _ref(df: DataFrame, *more: str) -> DataFrame:
 
 
 def theta_grid(spark, sf):
-    return _points(spark)
+    """The grid over the points' ranges that has about as many points."""
+    bounds, subdiv, _ = _bounds(spark, sf)
+    return grid.grid(spark, bounds, subdiv)
 
 
 def theta_grid_f32(spark, sf):
-    return grid.grid(spark, single=True)
+    bounds, subdiv, _ = _bounds(spark, sf)
+    return grid.grid(spark, bounds, subdiv, single=True)
 
 
 def theta_grid_first(spark, sf):
-    return grid.first_rows(_points(spark), 100)
+    bounds, subdiv, n = _bounds(spark, sf)
+    return grid.first_rows(grid.grid(spark, bounds, subdiv), n)
 
 
 def theta_grid_five_axes(spark, sf):
-    return grid.grid(spark, {"omega": (2.4, 3.8), **grid.BOUNDS}, 5)
+    bounds, subdiv, _ = _bounds(spark, sf)
+    return grid.grid(spark, {"omega": (2.4, 3.8), **bounds}, subdiv)
+
+
+def csv_positions(spark, sf):
+    """All points written as CSV without ids, in files of some rows, and read back: ids are positions."""
+    store_ = Stored(spark)
+    path = store_.place("points")
+    grid.write_csv(_points(spark, sf), path, ids=False, rows=20_000)
+    return grid.read_csv(spark, path, single=False)
 
 
 def hub_ids(spark, sf):
-    return grid.hub_ids(spark, 10_000, 2000)
+    return _hub_ids(spark, sf)
+
+
+def s_lookup_last(spark, sf):
+    """A store with many rows an id (all line items of an order, by line number): of each order asked for the last counts."""
+    items = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("row_id"), F.col("l_extendedprice").alias("price"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    kept = Stored(spark).put("items", items.repartitionByRange("l_linenumber", "l_partkey", "l_suppkey", "price", "l_quantity").sortWithinPartitions("l_linenumber", "l_partkey", "l_suppkey", "price", "l_quantity"))
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("row_id"), F.col("o_orderkey").alias("pos"))
+    return store.lookup(kept, orders, "price").select("row_id", "price")
 
 
 def s_lookup_ordered(spark, sf):
@@ -89,17 +137,17 @@ def s_hub_semijoin(spark, sf):
 
 
 def ploss_dist(spark, sf):
-    p = _points(spark)
+    p = _points(spark, sf)
     return p.crossJoin(F.broadcast(_ref(p))).select("row_id", D.ploss([F.col(a) for a in AXES], [F.col(f"r_{a}") for a in AXES]).alias("dist"))
 
 
 def pnp_dist(spark, sf):
-    p = _metric_columns(_points(spark))
+    p = _metric_columns(_points(spark, sf))
     return p.crossJoin(F.broadcast(_ref(p, "m"))).select("row_id", D.pnp([F.col(a) for a in AXES], [F.col(f"r_{a}") for a in AXES], [F.col("r_m")[i] for i in range(16)]).alias("dist"))
 
 
 def sym_pnp_dist(spark, sf):
-    p = _metric_columns(_points(spark))
+    p = _metric_columns(_points(spark, sf))
     m = [[F.col(c)[i] for i in range(16)] for c in ("m", "r_m")]
     return p.crossJoin(F.broadcast(_ref(p, "m"))).select("row_id", D.symmetric_pnp([F.col(a) for a in AXES], [F.col(f"r_{a}") for a in AXES], *m).alias("dist"))
 
@@ -110,11 +158,11 @@ def bruteforce_dist(spark, sf):
 
 
 def knn_ploss(spark, sf):
-    return knn.knn(_points(spark), REF, K, "P-loss")
+    return knn.knn(_points(spark, sf), REF, K, "P-loss")
 
 
 def knn_pnp(spark, sf):
-    return knn.knn(_points(spark), REF, K, "PNP", chain=CHAIN)
+    return knn.knn(_points(spark, sf), REF, K, "PNP", chain=CHAIN)
 
 
 def knn_bruteforce(spark, sf):
@@ -122,37 +170,51 @@ def knn_bruteforce(spark, sf):
 
 
 def knn_bruteforce_theta(spark, sf):
-    p = _points(spark)
+    p = _points(spark, sf)
     return knn.knn(p, REF, K, "Bruteforce", store=_feature_columns(p))
 
 
 def knn_many_references(spark, sf):
-    return knn.knn_many(_points(spark), grid.hub_ids(spark, 10_000, 20).select(F.col("row_id").alias("ref_id")), 10, AXES)
+    return knn.knn_many(_points(spark, sf), _hub_ids(spark, sf, 25).select(F.col("row_id").alias("ref_id")), 10, AXES)
 
 
-def _hub_table(spark, points, n, count):
-    return grid.hub_ids(spark, n, count).join(_metric_columns(points).select("row_id", "m"), "row_id").select("hub", "row_id", "m")
+def _hub_table(points: DataFrame, ids: DataFrame) -> DataFrame:
+    return ids.join(_metric_columns(points).select("row_id", "m"), "row_id").select("hub", "row_id", "m")
 
 
 def hub_allocation_whole(spark, sf):
-    p = _points(spark)
-    return hubs.allocation(p, _hub_table(spark, p, POINTS, HUBS), AXES)
+    p = _points(spark, sf)
+    return hubs.allocation(p, _hub_table(p, _hub_ids(spark, sf)), AXES)
 
 
 def metric_tensor_whole(spark, sf):
-    p = _points(spark)
-    return hubs.hub_metrics(p, grid.hub_ids(spark, POINTS, HUBS), CHAIN, AXES).select("hub", "row_id", F.posexplode("m").alias("at", "m"))
+    return hubs.hub_metrics(_points(spark, sf), _hub_ids(spark, sf), CHAIN, AXES).select("hub", "row_id", F.posexplode("m").alias("at", "m"))
+
+
+def _graph_of(p: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Points and their k-NN graph under the metrics of their hubs."""
+    table = _hub_table(p, ids)
+    return p, graph.knn_edges(graph.graph_points(p, hubs.allocation(p, table, AXES), table), GRAPH_K, AXES, search="cells")
 
 
-def _graph(spark, n: int = 10, count: int = HUBS):
-    """n^4 points and their k-NN graph with `count` hubs."""
-    p = _points(spark, n)
-    table = _hub_table(spark, p, n**4, count)
-    return p, graph.knn_edges(graph.graph_points(p, hubs.allocation(p, table, AXES), table), GRAPH_K, AXES)
+def _graph(spark, sf):
+    return _graph_of(_points(spark, sf), _hub_ids(spark, sf))
 
 
 def knn_graph_edges_whole(spark, sf):
-    return _graph(spark)[1]
+    return _graph(spark, sf)[1]
+
+
+def knn_graph_plain(spark, sf):
+    """The graph of all points under plain distances."""
+    return graph.knn_edges(_points(spark, sf), GRAPH_K, AXES, metric=None, search="cells")
+
+
+def knn_graph_orders(spark, sf):
+    """The graph of all orders as points (price, day, customer) under plain distances."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    p = o.select(F.col("o_orderkey").alias("row_id"), (F.col("o_totalprice") / 1e3).alias("price"), F.datediff("o_orderdate", F.lit("1995-01-01")).cast("double").alias("day"), (F.col("o_custkey") / 10.0).alias("customer"))
+    return graph.knn_edges(p, GRAPH_K, ("price", "day", "customer"), metric=None, search="cells")
 
 
 def knn_graph_blocks(spark, sf):
@@ -164,22 +226,23 @@ def knn_graph_blocks(spark, sf):
 
 
 def knn_graph_undirected_whole(spark, sf):
-    return graph.undirected(_graph(spark)[1])
+    return graph.undirected(_graph(spark, sf)[1])
 
 
 def knn_graph_stats_whole(spark, sf):
-    return graph.stats(*_graph(spark))
+    return graph.stats(*_graph(spark, sf))
 
 
 def graph_isolated_whole(spark, sf):
     """Points that no edge of at most CLOSE reaches."""
-    p, e = _graph(spark)
+    p, e = _graph(spark, sf)
     return graph.isolated(p, e.where(F.col("weight") <= CLOSE))
 
 
 def graph_selfloops(spark, sf):
-    p, e = _graph(spark)
-    return graph.self_loops(e.unionByName(p.where("row_id < 3").select(F.col("row_id").alias("source"), F.col("row_id").alias("target"), F.lit(0.0).alias("weight"))))
+    """The loops in the graph, which has none of its own, and one for each hub."""
+    loops = _hub_ids(spark, sf).select(F.col("row_id").alias("source"), F.col("row_id").alias("target"), F.lit(0.0).alias("weight"))
+    return graph.self_loops(_graph(spark, sf)[1].unionByName(loops))
 
 
 def layout_edges_whole(spark, sf):
@@ -187,12 +250,12 @@ def layout_edges_whole(spark, sf):
 
 
 def iou_curve(spark, sf):
-    p = _points(spark)
+    p = _points(spark, sf)
     return evaluate.iou_curve(knn.knn(p, REF, K, "PNP", chain=CHAIN), knn.knn(p, REF, K, "Bruteforce", store=_feature_columns(p)), AXES, K)
 
 
 def iou_curve_ploss(spark, sf):
-    p = _points(spark)
+    p = _points(spark, sf)
     return evaluate.iou_curve(knn.knn(p, REF, K, "P-loss"), knn.knn(p, REF, K, "Bruteforce", store=_feature_columns(p)), AXES, K)
 
 
@@ -203,7 +266,7 @@ def iou_self(spark, sf):
 
 def method_trade_off(spark, sf):
     """Own wall seconds and overlap at K = 50 of the three methods; timings differ from run to run."""
-    p, found, took = _points(spark), {}, {}
+    p, found, took = _points(spark, sf), {}, {}
     for name, q in (("Bruteforce", knn_bruteforce_theta), ("PNP", knn_pnp), ("P-loss", knn_ploss)):
         t = time.perf_counter()
         found[name] = p.sparkSession.createDataFrame(q(spark, sf).toArrow())
@@ -214,35 +277,39 @@ def method_trade_off(spark, sf):
 
 def drum_coefs(spark, sf):
     f = lambda c: F.col(c).cast("float").alias(c)
-    return M.drum_coefficients(_points(spark)).select("row_id", *(f(c) for c in ("w", "l2", "s4", "c2", "d1", "d3")))
+    return M.drum_coefficients(_points(spark, sf)).select("row_id", *(f(c) for c in ("w", "l2", "s4", "c2", "d1", "d3")))
 
 
 def drum_coefs_as_written(spark, sf):
     f = lambda c: F.col(c).cast("float").alias(c)
-    return M.drum_coefficients(_points(spark), as_written=True).select("row_id", *(f(c) for c in ("w", "l2", "s4", "c2", "d1", "d3")))
+    return M.drum_coefficients(_points(spark, sf), as_written=True).select("row_id", *(f(c) for c in ("w", "l2", "s4", "c2", "d1", "d3")))
 
 
-def drum_modes_whole(spark, sf, n: int = 10):
+def drum_modes_whole(spark, sf):
+    return _mode_rows(_points(spark, sf))
+
+
+def _mode_rows(points):
     f = lambda c: F.col(c).cast("float").alias(c)
-    return M.drum_modes(_points(spark, n)).select("row_id", "mu1", "mu2", f("n"), f("decay"), f("omega"), "rejected", F.round("amp", 9).alias("amp"))
+    return M.drum_modes(points).select("row_id", "mu1", "mu2", f("n"), f("decay"), f("omega"), "rejected", F.round("amp", 9).alias("amp"))
 
 
 def drum_mode_block(spark, sf):
-    return M.mode_block(M.drum_modes(_points(spark)))
+    return M.mode_block(M.drum_modes(_points(spark, sf)))
 
 
 def drum_waveform(spark, sf):
-    return M.waveform_rows(grid.grid(spark, FEW, 2), SMALL).select("row_id", "t", (F.round("y", 6) + 0.0).alias("y"))
+    return M.waveform_rows(_points(spark, sf), SMALL).select("row_id", "t", (F.round("y", 6) + 0.0).alias("y"))
 
 
 def physics_to_percept(spark, sf):
-    p = M.drum_coefficients(grid.grid(spark, FEW, 3))
+    p = M.drum_coefficients(_points(spark, sf))
     w, tau, q, d = M.to_percept(F.col("s4"), F.col("c2"), F.col("d1"), F.col("d3"), math.pi, 1.0)
     return p.select("row_id", *(c.cast("float").alias(n) for c, n in ((w, "w"), (tau, "tau"), (q, "p"), (d, "d"))))
 
 
 def percept_to_physics(spark, sf):
-    p = grid.grid(spark, FEW, 3)
+    p = _points(spark, sf)
     out = M.to_physics(F.pow(F.lit(10.0), F.lit(M.OMEGA)), F.col("tau"), F.pow(F.lit(10.0), F.col("p")), F.pow(F.lit(10.0), F.col("d")), 2.0, 0.5)
     return p.select("row_id", *(c.cast("float").alias(n) for c, n in zip(out, ("d1", "d3", "s4", "c2"))))
 
@@ -253,48 +320,51 @@ def log1p_features_whole(spark, sf):
 
 
 def feature_strings(spark, sf):
-    p = grid.grid(spark, {"a": (0.0, 4.0), "b": (-1.0, 1.0)}, 5)
+    p = _whole_points(spark, sf)
     return graph.nodes(p, ("a", "b")).select("id", export.feature_string(F.col("features")).alias("features"))
 
 
 def graphml_lines(spark, sf):
-    p = grid.grid(spark, {"a": (0.0, 4.0), "b": (-1.0, 1.0)}, 3)
-    return export.graphml_lines(graph.nodes(p, ("a", "b")), graph.knn_edges(p, 2, ("a", "b"), metric=None)).select("part", "a", "b", "line")
+    p = _whole_points(spark, sf)
+    return export.graphml_lines(graph.nodes(p, ("a", "b")), graph.knn_edges(p, 2, ("a", "b"), metric=None, search="cells")).select("part", "a", "b", "line")
 
 
 def knn_pnp_scattering(spark, sf):
-    """The full chain at the reference row: 65,536 samples, joint scattering, exact derivatives, then 10,000 points."""
-    return knn.knn(_points(spark), REF, 50, "PNP", chain=Chain(JointScattering()))
+    """The full chain at the reference row: 65,536 samples, joint scattering, exact derivatives, then all points."""
+    return knn.knn(_points(spark, sf), REF, 50, "PNP", chain=Chain(JointScattering()))
 
 
 def layout_nodes_whole(spark, sf):
     """All 100 rounds over the whole graph."""
-    p, e = _graph(spark)
+    p, e = _graph(spark, sf)
     return export.layout_nodes(layout.force_layout(graph.nodes(p, AXES), e, exact=False), graph.nodes(p, AXES))
 
 
 def feature_precompute_full(spark, sf):
-    """81 points through the full chain: 65,536 samples, joint scattering with J = 14, Q = 12, T = 8,192, F = 2."""
-    return precompute.features(_points(spark, 3), Chain(JointScattering()), AXES, partitions=16)
+    """All points through the full chain: 65,536 samples, joint scattering with J = 14, Q = 12, T = 8,192, F = 2."""
+    return precompute.features(_points(spark, sf), Chain(JointScattering()), AXES, partitions=_tasks(spark))
 
 
 def metric_hub_full_chain(spark, sf):
-    """Metrics of 16 hubs from the full chain's exact derivatives."""
-    p = _points(spark, 3)
-    return hubs.hub_metrics(p, grid.hub_ids(spark, 81, 16), Chain(JointScattering()), AXES, partitions=16)
+    """Metrics of a hub for 25 points from the full chain's exact derivatives."""
+    return hubs.hub_metrics(_points(spark, sf), _hub_ids(spark, sf, FULL_HUB_OF), Chain(JointScattering()), AXES, partitions=_tasks(spark))
 
 
 def wav_frames_full(spark, sf):
-    """All 65,536 samples of 81 sounds."""
-    return export.frames(precompute.waveforms(_points(spark, 3), Chain(JointScattering()), AXES, partitions=8))
+    """All 65,536 samples of every point's sound."""
+    return export.frames(precompute.waveforms(_points(spark, sf), Chain(JointScattering()), AXES, partitions=_tasks(spark)))
+
+
+def _tasks(spark) -> int:
+    return 4 * spark.sparkContext.defaultParallelism
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        knn_bruteforce, theta_grid, theta_grid_f32, theta_grid_first, theta_grid_five_axes, hub_ids, s_lookup_ordered, s_lookup_batched, s_filtered_scan, s_hub_semijoin,
+        knn_bruteforce, theta_grid, theta_grid_f32, theta_grid_first, theta_grid_five_axes, csv_positions, hub_ids, s_lookup_last, s_lookup_ordered, s_lookup_batched, s_filtered_scan, s_hub_semijoin,
         ploss_dist, pnp_dist, sym_pnp_dist, bruteforce_dist, knn_ploss, knn_pnp, knn_bruteforce_theta, knn_many_references, hub_allocation_whole, metric_tensor_whole,
-        knn_graph_edges_whole, knn_graph_blocks, knn_graph_undirected_whole, knn_graph_stats_whole, graph_isolated_whole, graph_selfloops, iou_curve, iou_curve_ploss, iou_self, method_trade_off,
+        knn_graph_edges_whole, knn_graph_plain, knn_graph_orders, knn_graph_blocks, knn_graph_undirected_whole, knn_graph_stats_whole, graph_isolated_whole, graph_selfloops, iou_curve, iou_curve_ploss, iou_self, method_trade_off,
         drum_coefs, drum_coefs_as_written, drum_modes_whole, drum_mode_block, drum_waveform, physics_to_percept, percept_to_physics, log1p_features_whole, feature_strings, graphml_lines,
         layout_edges_whole, layout_nodes_whole, knn_pnp_scattering, feature_precompute_full, metric_hub_full_chain, wav_frames_full,
     )
@@ -306,13 +376,27 @@ def _n(x: float) -> str:
     return f"{float(x)!r}" if "e" in repr(float(x)) else f"{float(x)!r}e0"
 
 
-def _grid(bounds=grid.BOUNDS, n: int = 10, cast: str = "") -> str:
-    names = list(bounds)
-    axis = lambda i, a: f"CASE WHEN i{i} = {n - 1} THEN {_n(bounds[a][1])} ELSE i{i} * {_n((bounds[a][1] - bounds[a][0]) / (n - 1))} + {_n(bounds[a][0])} END"
-    place = lambda i: n ** (len(names) - 1 - i)
-    ids = " + ".join(f"i{i} * {place(i)}" for i in range(len(names)))
-    wrap = (lambda x: f"CAST(CAST({x} AS FLOAT) AS DOUBLE)") if cast else (lambda x: x)
-    return f"(SELECT CAST({ids} AS BIGINT) AS row_id, {', '.join(f'{wrap(axis(i, a))} AS {a}' for i, a in enumerate(names))} FROM {', '.join(f'range({n}) AS r{i}(i{i})' for i in range(len(names)))})"
+_SUMS = ["(" + " + ".join(f"CAST(embedding[{16 * j + i + 1}] AS DOUBLE)" for i in range(16)) + ")" for j in range(4)]
+_P = "(SELECT vec_id AS row_id, " + ", ".join(f"{_n(low)} + ({g} + 4e0) * {_n((high - low) / 8)} AS {a}" for g, (a, (low, high)) in zip(_SUMS, grid.BOUNDS.items())) + " FROM embeddings)"
+_AB = f"(SELECT vec_id AS row_id, floor(64 * {_SUMS[0]}) AS a, floor(64 * {_SUMS[1]}) AS b FROM embeddings)"
+
+
+def _grid(single: bool = False, omega: bool = False) -> str:
+    names = ["omega", *AXES] if omega else list(AXES)
+    low = [*(["24e-1"] if omega else []), *(f"min_{a}" for a in AXES)]
+    high = [*(["38e-1"] if omega else []), *(f"max_{a}" for a in AXES)]
+    axis = lambda i: f"CASE WHEN i{i} = n - 1 THEN {high[i]} ELSE i{i} * (({high[i]} - {low[i]}) / (n - 1)) + {low[i]} END"
+    wrap = (lambda x: f"CAST(CAST({x} AS FLOAT) AS DOUBLE)") if single else (lambda x: x)
+    ids = "i0"
+    for i in range(1, len(names)):
+        ids = f"({ids} * n + i{i})"
+    ends = ", ".join(f"{f}({a}) AS {f}_{a}" for a in AXES for f in ("min", "max"))
+    return f"""(WITH b AS MATERIALIZED (SELECT CAST(ceil(sqrt(sqrt(count(*)))) AS BIGINT) AS n, {ends} FROM {_P}), i AS MATERIALIZED (SELECT unnest(range(n)) AS i FROM b)
+        SELECT {ids} AS row_id, {', '.join(f'{wrap(axis(i))} AS {a}' for i, a in enumerate(names))} FROM b, {', '.join(f'i AS x{i}(i{i})' for i in range(len(names)))})"""
+
+
+def _hubs(of: int = HUB_OF) -> str:
+    return f"(SELECT CAST(i AS INTEGER) AS hub, CAST((i * (n - 1)) // (h - 1) AS BIGINT) AS row_id FROM (SELECT n, h, unnest(range(h)) AS i FROM (SELECT count(*) AS n, greatest(2, count(*) // {of}) AS h FROM embeddings)))"
 
 
 def _metric(t: str) -> list[str]:
@@ -330,7 +414,7 @@ def _ploss(c: str, r: str, axes=AXES) -> str:
 
 _FOLD = "list_reduce(list_prepend(0e0, list_transform(list_zip({c}, {r}), lambda z: (z[2] - z[1]) * (z[2] - z[1]))), lambda p, q: p + q)"
 _S = "[" + ", ".join("CAST(CAST(" + " + ".join(f"({a} / {_n(i + j + 1)} + {a} * {a} / {_n(2 + 2 * i + 4 * j)})" for i, a in enumerate(AXES)) + " AS FLOAT) AS DOUBLE)" for j in range(3)) + "]"
-_HUBS = "(SELECT CAST(i AS INTEGER) AS hub, CAST((i * ({n} - 1)) // ({h} - 1) AS BIGINT) AS row_id FROM range({h}) AS h(i))"
+_SEMI = "(SELECT CAST(i AS INTEGER) AS hub, CAST((i * (n - 1)) // 49 AS BIGINT) AS row_id FROM (SELECT count(*) AS n FROM embeddings), range(50) AS h(i))"
 
 
 def _knn(dist: str, points: str, k: int, extra: str = "") -> str:
@@ -338,8 +422,8 @@ def _knn(dist: str, points: str, k: int, extra: str = "") -> str:
 
 
 _AX = ", tau, p, d, alpha"
-_BF = f"(SELECT g.*, {_S} AS s FROM {_grid()} g)"
-_KNN_PLOSS, _KNN_PNP, _KNN_BF = _knn(_ploss("c", "r"), _grid(), K, _AX), _knn(_pnp("c", "r", _metric("r")), _grid(), K, _AX), _knn(_FOLD.format(c="c.s", r="r.s"), _BF, K, _AX)
+_BF = f"(SELECT g.*, {_S} AS s FROM {_P} g)"
+_KNN_PLOSS, _KNN_PNP, _KNN_BF = _knn(_ploss("c", "r"), _P, K, _AX), _knn(_pnp("c", "r", _metric("r")), _P, K, _AX), _knn(_FOLD.format(c="c.s", r="r.s"), _BF, K, _AX)
 
 
 def _iou(a: str, b: str) -> str:
@@ -349,14 +433,14 @@ def _iou(a: str, b: str) -> str:
         SELECT K, CAST(n AS BIGINT) AS intersection, CAST(2 * K - n AS BIGINT) AS "union", n / CAST(2 * K - n AS DOUBLE) AS iou FROM n"""
 
 
-def _alloc(n: int, h: int, points: str) -> str:
-    return f"""hub AS MATERIALIZED (SELECT h.hub, p.* FROM {_HUBS.format(n=n, h=h)} h JOIN {points} p USING (row_id)),
+def _alloc(hub_rows: str, points: str) -> str:
+    return f"""hub AS MATERIALIZED (SELECT h.hub, p.* FROM {hub_rows} h JOIN {points} p USING (row_id)),
         alloc AS MATERIALIZED (SELECT c.row_id, CAST(arg_min(r.hub, (q, r.hub)) AS INTEGER) AS hub FROM (SELECT c.row_id, r.hub, {_pnp('c', 'r', _metric('r'))} AS q FROM {points} c, hub r) AS c(row_id, hub, q), LATERAL (SELECT c.hub AS hub) r GROUP BY c.row_id)"""
 
 
-def _edges(n: int = 10, count: int = HUBS) -> str:
+def _edges(points: str = _P, hub_rows: str = "") -> str:
     m = [f"((c.m{i} + r.m{i}) / 2e0)" for i in range(16)]
-    return f"""WITH pt AS MATERIALIZED (SELECT * FROM {_grid(n=n)}), {_alloc(n**4, count, 'pt')},
+    return f"""WITH pt AS MATERIALIZED (SELECT * FROM {points}), {_alloc(hub_rows or _hubs(), 'pt')},
         gp AS MATERIALIZED (SELECT pt.*, {', '.join(f'{x} AS m{i}' for i, x in enumerate(_metric('hub')))} FROM pt JOIN alloc USING (row_id) JOIN hub ON hub.hub = alloc.hub),
         pair AS (SELECT r.row_id AS source, c.row_id AS target, {_pnp('c', 'r', m)} AS weight FROM gp r, gp c),
         least AS (SELECT source, unnest(min((weight, target), {GRAPH_K + 1})) AS x FROM pair GROUP BY source),
@@ -364,6 +448,14 @@ def _edges(n: int = 10, count: int = HUBS) -> str:
         edge AS (SELECT source, target, weight FROM near WHERE source <> target UNION ALL SELECT target, source, weight FROM near WHERE source <> target)"""
 
 
+def _plain_edges(points: str, axes, k: int = GRAPH_K) -> str:
+    return f"""WITH pt AS MATERIALIZED (SELECT * FROM {points}),
+        pair AS (SELECT r.row_id AS source, c.row_id AS target, {_ploss('c', 'r', axes)} AS weight FROM pt r, pt c),
+        least AS (SELECT source, unnest(min((weight, target), {k + 1})) AS x FROM pair GROUP BY source),
+        near AS MATERIALIZED (SELECT source, x[2] AS target, x[1] AS weight FROM least),
+        edge AS (SELECT source, target, weight FROM near WHERE source <> target UNION ALL SELECT target, source, weight FROM near WHERE source <> target)"""
+
+
 def _coefs(w: str, tau: str, p: str, d: str, a: str) -> str:
     b = f"({a} + 1 / {a})"
     pi = _n(math.pi)
@@ -391,73 +483,77 @@ _STEP = _n(SMALL.dur / (SMALL.dur - 1) / SMALL.sr)
 _STORE = "(SELECT vec_id AS row_id, embedding AS s FROM embeddings)"
 _REQUEST = ", ".join(f"({p}, {i})" for p, i in enumerate(HUB_REQUEST))
 _FLOATS = lambda names: ", ".join(f"CAST({c} AS FLOAT) AS {c}" for c in names)
-_AB = {"a": (0.0, 4.0), "b": (-1.0, 1.0)}
 _TEXT = "CAST(CAST(a AS FLOAT) AS VARCHAR) || ',' || CAST(CAST(b AS FLOAT) AS VARCHAR)"
 _EMB_EDGES = f"""WITH pt AS MATERIALIZED (SELECT vec_id AS row_id, embedding::DOUBLE[] AS s FROM embeddings),
         pair AS (SELECT r.row_id AS source, c.row_id AS target, {_FOLD.format(c='c.s', r='r.s')} AS weight FROM pt r, pt c),
         near AS MATERIALIZED (SELECT * FROM pair QUALIFY row_number() OVER (PARTITION BY source ORDER BY weight, target) <= {GRAPH_K + 1})
         SELECT source, target, weight FROM near WHERE source <> target UNION ALL SELECT target, source, weight FROM near WHERE source <> target"""
 _PI = _n(math.pi)
+_ORDERS = "(SELECT o_orderkey AS row_id, o_totalprice / 1e3 AS price, CAST(datediff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS day, o_custkey / 1e1 AS customer FROM orders)"
 _UNDIRECTED = "SELECT least(source, target) AS source, greatest(source, target) AS target, min(weight) AS weight FROM edge GROUP BY 1, 2"
 _STATS = "SELECT n AS num_nodes, count(*) AS num_edges, count(*) / CAST(n AS DOUBLE) AS average_degree FROM edge, (SELECT count(*) AS n FROM pt) GROUP BY n"
 
 
-def _tensor(n: int, count: int) -> str:
-    return f"SELECT hub, row_id, CAST(generate_subscripts(m, 1) - 1 AS INTEGER) AS at, unnest(m) AS m FROM (SELECT hub, p.row_id, [{', '.join(_metric('p'))}] AS m FROM {_HUBS.format(n=n**4, h=count)} h JOIN {_grid(n=n)} p USING (row_id))"
+def _tensor(points: str, hub_rows: str) -> str:
+    return f"SELECT hub, row_id, CAST(generate_subscripts(m, 1) - 1 AS INTEGER) AS at, unnest(m) AS m FROM (SELECT hub, p.row_id, [{', '.join(_metric('p'))}] AS m FROM {hub_rows} h JOIN {points} p USING (row_id))"
 
 
-def _mode_rows(n: int) -> str:
-    return f"WITH {_modes(_grid(n=n))} SELECT row_id, mu1, mu2, {_FLOATS(('n', 'decay', 'omega'))}, rejected, round(amp, 9) AS amp FROM modes"
+def _mode_sql(points: str) -> str:
+    return f"WITH {_modes(points)} SELECT row_id, mu1, mu2, {_FLOATS(('n', 'decay', 'omega'))}, rejected, round(amp, 9) AS amp FROM modes"
 
 
 ORACLES = {
     "theta_grid": f"SELECT * FROM {_grid()}",
-    "theta_grid_f32": f"SELECT * FROM {_grid(cast='f')}",
-    "theta_grid_first": f"SELECT * FROM {_grid()} WHERE row_id < 100",
-    "theta_grid_five_axes": f"SELECT * FROM {_grid({'omega': (2.4, 3.8), **grid.BOUNDS}, 5)}",
-    "hub_ids": f"SELECT * FROM {_HUBS.format(n=10000, h=2000)}",
+    "theta_grid_f32": f"SELECT * FROM {_grid(single=True)}",
+    "theta_grid_first": f"SELECT * FROM {_grid()} WHERE row_id < (SELECT count(*) FROM embeddings)",
+    "theta_grid_five_axes": f"SELECT * FROM {_grid(omega=True)}",
+    "csv_positions": f"SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, tau, p, d, alpha FROM {_P}",
+    "hub_ids": f"SELECT * FROM {_hubs()}",
+    "s_lookup_last": "SELECT l_orderkey AS row_id, arg_max(l_extendedprice, (l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)) AS price FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY l_orderkey",
     "s_lookup_ordered": f"SELECT CAST(pos AS BIGINT) AS pos, row_id, CAST(len(s) AS INTEGER) AS n, CAST(s[1] AS DOUBLE) AS s0, CAST(s[64] AS DOUBLE) AS s63 FROM (VALUES {_REQUEST}) AS q(pos, row_id) JOIN {_STORE} USING (row_id)",
     "s_lookup_batched": f"SELECT CAST(pos // 3 AS BIGINT) AS batch, CAST(pos AS BIGINT) AS pos, row_id, CAST(s[2] AS DOUBLE) AS s1 FROM (VALUES {_REQUEST}) AS q(pos, row_id) JOIN {_STORE} USING (row_id)",
     "s_filtered_scan": f"SELECT row_id, CAST(s[1] AS DOUBLE) AS s0 FROM {_STORE} WHERE row_id IN ({', '.join(map(str, HUB_REQUEST))})",
-    "s_hub_semijoin": f"SELECT row_id, CAST(s[1] AS DOUBLE) AS s0 FROM {_STORE} WHERE row_id IN (SELECT row_id FROM {_HUBS.format(n='(SELECT count(*) FROM embeddings)', h=50)})",
-    "ploss_dist": f"SELECT c.row_id, {_ploss('c', 'r')} AS dist FROM {_grid()} c, (SELECT * FROM {_grid()} WHERE row_id = {REF}) r",
-    "pnp_dist": f"SELECT c.row_id, {_pnp('c', 'r', _metric('r'))} AS dist FROM {_grid()} c, (SELECT * FROM {_grid()} WHERE row_id = {REF}) r",
-    "sym_pnp_dist": f"SELECT c.row_id, {_pnp('c', 'r', [f'(({a} + {b}) / 2e0)' for a, b in zip(_metric('c'), _metric('r'))])} AS dist FROM {_grid()} c, (SELECT * FROM {_grid()} WHERE row_id = {REF}) r",
+    "s_hub_semijoin": f"SELECT row_id, CAST(s[1] AS DOUBLE) AS s0 FROM {_STORE} WHERE row_id IN (SELECT row_id FROM {_SEMI})",
+    "ploss_dist": f"SELECT c.row_id, {_ploss('c', 'r')} AS dist FROM {_P} c, (SELECT * FROM {_P} WHERE row_id = {REF}) r",
+    "pnp_dist": f"SELECT c.row_id, {_pnp('c', 'r', _metric('r'))} AS dist FROM {_P} c, (SELECT * FROM {_P} WHERE row_id = {REF}) r",
+    "sym_pnp_dist": f"SELECT c.row_id, {_pnp('c', 'r', [f'(({a} + {b}) / 2e0)' for a, b in zip(_metric('c'), _metric('r'))])} AS dist FROM {_P} c, (SELECT * FROM {_P} WHERE row_id = {REF}) r",
     "bruteforce_dist": f"SELECT c.row_id, {_FOLD.format(c='c.s::DOUBLE[]', r='r.s::DOUBLE[]')} AS dist FROM {_STORE} c, (SELECT * FROM {_STORE} WHERE row_id = {REF}) r",
     "knn_ploss": _KNN_PLOSS,
     "knn_pnp": _KNN_PNP,
     "knn_bruteforce": _knn(_FOLD.format(c="c.s::DOUBLE[]", r="r.s::DOUBLE[]"), _STORE, K),
     "knn_bruteforce_theta": _KNN_BF,
-    "knn_many_references": f"SELECT r.row_id AS ref_id, CAST(row_number() OVER (PARTITION BY r.row_id ORDER BY {_ploss('c', 'r')}, c.row_id) - 1 AS INTEGER) AS rank, c.row_id, {_ploss('c', 'r')} AS dist FROM {_grid()} c, (SELECT * FROM {_grid()} SEMI JOIN {_HUBS.format(n=10000, h=20)} USING (row_id)) r QUALIFY rank < 10",
-    "hub_allocation_whole": f"WITH pt AS MATERIALIZED (SELECT * FROM {_grid()}), {_alloc(POINTS, HUBS, 'pt')} SELECT * FROM alloc",
-    "metric_tensor_whole": _tensor(10, HUBS),
+    "knn_many_references": f"SELECT r.row_id AS ref_id, CAST(row_number() OVER (PARTITION BY r.row_id ORDER BY {_ploss('c', 'r')}, c.row_id) - 1 AS INTEGER) AS rank, c.row_id, {_ploss('c', 'r')} AS dist FROM {_P} c, (SELECT * FROM {_P} SEMI JOIN {_hubs(25)} USING (row_id)) r QUALIFY rank < 10",
+    "hub_allocation_whole": f"WITH pt AS MATERIALIZED (SELECT * FROM {_P}), {_alloc(_hubs(), 'pt')} SELECT * FROM alloc",
+    "metric_tensor_whole": _tensor(_P, _hubs()),
     "knn_graph_edges_whole": f"{_edges()} SELECT * FROM edge",
+    "knn_graph_plain": f"{_plain_edges(_P, AXES)} SELECT * FROM edge",
+    "knn_graph_orders": f"{_plain_edges(_ORDERS, ('price', 'day', 'customer'))} SELECT * FROM edge",
     "knn_graph_blocks": _EMB_EDGES,
     "knn_graph_undirected_whole": f"{_edges()} {_UNDIRECTED}",
     "knn_graph_stats_whole": f"{_edges()} {_STATS}",
     "graph_isolated_whole": f"{_edges()} SELECT row_id FROM pt WHERE row_id NOT IN (SELECT source FROM edge WHERE weight <= {_n(CLOSE)})",
-    "graph_selfloops": "SELECT i AS source, i AS target, 0e0 AS weight FROM range(3) AS r(i)",
+    "graph_selfloops": f"SELECT row_id AS source, row_id AS target, 0e0 AS weight FROM {_hubs()}",
     "iou_curve": _iou(_KNN_PNP, _KNN_BF),
     "iou_curve_ploss": _iou(_KNN_PLOSS, _KNN_BF),
     "iou_self": _iou(_KNN_BF, _KNN_BF),
-    "drum_coefs": f"SELECT row_id, {_FLOATS(('w', 'l2', 's4', 'c2', 'd1', 'd3'))} FROM ({_drum(_grid())})",
-    "drum_coefs_as_written": f"SELECT row_id, {_FLOATS(('w', 'l2', 's4', 'c2', 'd1', 'd3'))} FROM (SELECT row_id, {_coefs('w', '3.1e0', 'w', 'w', 'tau')} FROM (SELECT row_id, pow(10e0, 3.1e0) AS w, tau FROM {_grid()}))",
-    "drum_modes_whole": _mode_rows(10),
-    "drum_mode_block": f"WITH {_modes(_grid())}, {_BLOCK} SELECT * FROM block",
-    "drum_waveform": f"""WITH {_modes(_grid(FEW, 2))}, {_BLOCK},
+    "drum_coefs": f"SELECT row_id, {_FLOATS(('w', 'l2', 's4', 'c2', 'd1', 'd3'))} FROM ({_drum(_P)})",
+    "drum_coefs_as_written": f"SELECT row_id, {_FLOATS(('w', 'l2', 's4', 'c2', 'd1', 'd3'))} FROM (SELECT row_id, {_coefs('w', '3.1e0', 'w', 'w', 'tau')} FROM (SELECT row_id, pow(10e0, 3.1e0) AS w, tau FROM {_P}))",
+    "drum_modes_whole": _mode_sql(_P),
+    "drum_mode_block": f"WITH {_modes(_P)}, {_BLOCK} SELECT * FROM block",
+    "drum_waveform": f"""WITH {_modes(_P)}, {_BLOCK},
         y AS (SELECT row_id, t, sum(amp * exp(-decay * (t * {_STEP})) * sin(omega * (t * {_STEP}))) AS y FROM modes JOIN block USING (row_id), range({SMALL.dur}) AS ts(t) WHERE mu1 <= c1 AND mu2 <= block.c2 GROUP BY row_id, t)
         SELECT row_id, CAST(t AS INTEGER) AS t, round(y / max(abs(y)) OVER (PARTITION BY row_id), 6) + 0e0 AS y FROM y""",
-    "physics_to_percept": f"""WITH co AS ({_drum(_grid(FEW, 3))}),
+    "physics_to_percept": f"""WITH co AS ({_drum(_P)}),
         s AS (SELECT *, d3 / 2 - d1 / 2 AS sigma, sqrt((s4 - d3 * d3 / 4) + (c2 + d1 * d3 / 2) - d1 * d1 / 4) AS w1 FROM co)
         SELECT row_id, CAST(w1 AS FLOAT) AS w, CAST(1 / sigma AS FLOAT) AS tau, CAST(d3 / sigma / 2 AS FLOAT) AS p, CAST(sqrt(s4 - pow(d3 / sigma / 2 * sigma, 2)) / w1 AS FLOAT) AS d FROM s""",
-    "percept_to_physics": f"""WITH q AS (SELECT row_id, pow(10e0, {_n(M.OMEGA)}) AS w, tau, pow(10e0, p) AS p, pow(10e0, d) AS d, pow(2 / {_PI}, 2) AS k FROM {_grid(FEW, 3)})
+    "percept_to_physics": f"""WITH q AS (SELECT row_id, pow(10e0, {_n(M.OMEGA)}) AS w, tau, pow(10e0, p) AS p, pow(10e0, d) AS d, pow(2 / {_PI}, 2) AS k FROM {_P})
         SELECT row_id, CAST(-1 / tau + p / tau AS FLOAT) AS d1, CAST(p * k / tau AS FLOAT) AS d3, CAST(k * k * (pow(d * w, 2) + pow(p / tau, 2)) AS FLOAT) AS s4,
                CAST(k * (w * w * (1 - d * d) + (1 - p * p) / (tau * tau)) AS FLOAT) AS c2 FROM q""",
     "log1p_features_whole": f"SELECT row_id, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS i, round(ln(1 + 1e3 * abs(CAST(unnest(s) AS DOUBLE))), 6) AS v FROM {_STORE}",
-    "feature_strings": f"SELECT row_id AS id, {_TEXT} AS features FROM {_grid(_AB, 5)}",
-    "graphml_lines": f"""WITH pt AS (SELECT * FROM {_grid(_AB, 3)}),
+    "feature_strings": f"SELECT row_id AS id, {_TEXT} AS features FROM {_AB}",
+    "graphml_lines": f"""WITH pt AS (SELECT * FROM {_AB}),
         pair AS (SELECT r.row_id AS source, c.row_id AS target, {_ploss('c', 'r', ('a', 'b'))} AS weight FROM pt r, pt c),
-        near AS (SELECT * FROM pair QUALIFY row_number() OVER (PARTITION BY source ORDER BY weight, target) <= 3),
+        near AS MATERIALIZED (SELECT * FROM pair QUALIFY row_number() OVER (PARTITION BY source ORDER BY weight, target) <= 3),
         edge AS (SELECT source, target, weight FROM near WHERE source <> target UNION ALL SELECT target, source, weight FROM near WHERE source <> target)
         SELECT 0 AS part, 0::BIGINT AS a, CAST(i AS BIGINT) AS b, line FROM (VALUES {', '.join(f"({i}, '{x}')" for i, x in enumerate(export.GRAPHML_HEAD))}) AS h(i, line)
         UNION ALL SELECT 1, row_id, 0, '    <node id="n' || row_id || '">' || chr(10) || '      <data key="v_feat">' || {_TEXT} || '</data>' || chr(10) || '    </node>' FROM pt

@@ -47,12 +47,16 @@ class Stored:
         self._scope.get().append(self)
         self.spark, self.top, self.paths = spark, f"{shared_dir(spark)}/t-{uuid.uuid4().hex}", {}
 
+    def place(self, name: str) -> str:
+        """A path for files of any kind that end with the store."""
+        return f"{self.top}/{name}-{uuid.uuid4().hex[:8]}"
+
     def put(self, name: str, df: DataFrame, rows: int | None = None) -> DataFrame:
         """rows: at most so many rows come, so that many small partitions become fewer files of up to FILE_ROWS."""
         if rows is not None:
             df = df.coalesce(rows // FILE_ROWS + 1)
         self.drop(name)
-        path = f"{self.top}/{name}-{uuid.uuid4().hex[:8]}"
+        path = self.place(name)
         df.write.parquet(path)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)

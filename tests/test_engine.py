@@ -10,7 +10,7 @@ from lodestone.functions.drum import Drum, coefficients, drum_modes, kept_modes,
 from lodestone.functions.features import BandEnergies, JointScattering
 from lodestone.functions.metric import Chain, Quadratic
 from lodestone.operators import evaluate, graph, hubs, knn, layout, precompute
-from lodestone.plans.queries import QUERIES
+from lodestone.plans.queries import CHAIN, QUERIES
 from lodestone.schemas import AXES
 from lodestone.sources import export, grid, store
 
@@ -345,12 +345,15 @@ def test_log1p_of_whole_vectors(spark):
 
 def test_whole_graph(spark):
     """Sizes of the reference's graph, and the edges of some points against brute force."""
-    hub = {r.row_id: r.hub for r in QUERIES["hub_allocation_whole"](spark, "").collect()}
+    p, ids = grid.grid(spark), grid.hub_ids(spark, 10_000, 2000)
+    table = hubs.hub_metrics(p, ids, CHAIN, AXES).persist()
+    placed = hubs.allocation(p, table, AXES).persist()
+    hub = {r.row_id: r.hub for r in placed.collect()}
     assert len(hub) == 10_000 and len(set(hub.values())) > 256
-    e = QUERIES["knn_graph_edges_whole"](spark, "").persist()
-    assert e.count() == 120_000 and graph.isolated(grid.grid(spark), e).count() == 0
-    m = np.array([r.m for r in QUERIES["metric_tensor_whole"](spark, "").orderBy("hub", "at").collect()]).reshape(2000, 4, 4)
-    x = np.array([list(r)[1:] for r in grid.grid(spark).orderBy("row_id").collect()])
+    e = graph.knn_edges(graph.graph_points(p, placed, table), 6, AXES, search="cells").persist()
+    assert e.count() == 120_000 and graph.isolated(p, e).count() == 0
+    m = np.array([r.m for r in table.orderBy("hub").collect()]).reshape(2000, 4, 4)
+    x = np.array([list(r)[1:] for r in p.orderBy("row_id").collect()])
     mine = m[[hub[i] for i in range(10_000)]]
     for i in (0, 41, 5005, 9999):
         d = x[i] - x

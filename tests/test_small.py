@@ -1,4 +1,4 @@
-"""The engine's larger queries over small grids and short sounds: against the same SQL at that size, or rows only."""
+"""The engine's chains over small grids and short sounds, and the graph's SQL against a window over all pairs."""
 
 import pytest
 
@@ -13,71 +13,36 @@ from tests.oracle import assert_same
 
 SHORT = M.Drum(dur=4096)
 SCATTERING = Chain(JointScattering(j=8, q=8, t=1024), SHORT)
-
-
-def small(spark):
-    return Q._graph(spark, 4, 16)
-
-
-def allocation(spark):
-    p = Q._points(spark)
-    return hubs.allocation(p, Q._hub_table(spark, p, 10_000, 100), AXES)
-
-
-def tensor(spark):
-    p = Q._points(spark, 3)
-    return hubs.hub_metrics(p, grid.hub_ids(spark, 81, 20), Q.CHAIN, AXES).select("hub", "row_id", Q.F.posexplode("m").alias("at", "m"))
-
-
-def isolated(spark):
-    p, e = small(spark)
-    return graph.isolated(p, e.where("source > 40 and target > 40"))
+FEW = {"tau": (0.4, 1.7), "p": (-5.0, -2.85), "d": (-5.0, -2.75), "alpha": (0.25, 0.75)}
 
 
 def layout_nodes(spark):
-    p, e = small(spark)
+    p, e = Q._graph_of(grid.grid(spark, subdiv=4), grid.hub_ids(spark, 256, 16))
     return export.layout_nodes(layout.force_layout(graph.nodes(p, AXES), e, iterations=10), graph.nodes(p, AXES))
 
 
 def few(spark):
-    return grid.grid(spark, Q.FEW, 2)
+    return grid.grid(spark, FEW, 2)
 
 
-EDGES = Q._edges(4, 16)
-CASES = {
-    "allocation": (allocation, f"WITH pt AS MATERIALIZED (SELECT * FROM {Q._grid()}), {Q._alloc(10000, 100, 'pt')} SELECT * FROM alloc"),
-    "tensor": (tensor, Q._tensor(3, 20)),
-    "edges": (lambda s: small(s)[1], f"{EDGES} SELECT * FROM edge"),
-    "undirected": (lambda s: graph.undirected(small(s)[1]), f"{EDGES} {Q._UNDIRECTED}"),
-    "stats": (lambda s: graph.stats(*small(s)), f"{EDGES} SELECT 256::BIGINT AS num_nodes, count(*) AS num_edges, count(*) / 256e0 AS average_degree FROM edge"),
-    "isolated": (isolated, f"{EDGES} SELECT row_id FROM pt WHERE row_id NOT IN (SELECT source FROM edge WHERE source > 40 AND target > 40)"),
-    "layout_edges": (lambda s: export.layout_edges(graph.undirected(small(s)[1])), f"{EDGES} {Q._UNDIRECTED}"),
-    "modes": (lambda s: Q.drum_modes_whole(s, "", 4), Q._mode_rows(4)),
-}
 ROWS = {
     "layout_nodes": layout_nodes,
-    "features": lambda s: precompute.features(Q._points(s, 3), Chain(BandEnergies(), SHORT), AXES, partitions=8),
+    "features": lambda s: precompute.features(grid.grid(s, subdiv=3), Chain(BandEnergies(), SHORT), AXES, partitions=8),
     "scattering": lambda s: precompute.features(few(s), SCATTERING, AXES, partitions=8),
     "metrics": lambda s: hubs.hub_metrics(few(s), grid.hub_ids(s, 16, 8), SCATTERING, AXES, partitions=8),
     "frames": lambda s: export.frames(precompute.waveforms(few(s), Chain(BandEnergies(), SHORT), AXES)),
 }
 
 
-@pytest.mark.parametrize("name", sorted(CASES))
-def test_small(spark, name):
-    query, sql = CASES[name]
-    assert_same(spark, lambda s, sf: query(s), sql)
-
-
-def test_small_edges_by_full_sort(spark):
+def test_edges_by_full_sort(spark):
     """The SQL's top-k aggregate against a window over all pairs."""
     m = [f"((c.m[{i + 1}] + r.m[{i + 1}]) / 2e0)" for i in range(16)]
-    sql = f"""WITH pt AS MATERIALIZED (SELECT * FROM {Q._grid(n=4)}), {Q._alloc(256, 16, 'pt')},
+    sql = f"""WITH pt AS MATERIALIZED (SELECT * FROM {Q._P}), {Q._alloc(Q._hubs(), 'pt')},
         gp AS MATERIALIZED (SELECT pt.*, [{', '.join(Q._metric('hub'))}] AS m FROM pt JOIN alloc USING (row_id) JOIN hub ON hub.hub = alloc.hub),
         pair AS (SELECT r.row_id AS source, c.row_id AS target, {Q._pnp('c', 'r', m)} AS weight FROM gp r, gp c),
         near AS MATERIALIZED (SELECT * FROM pair QUALIFY row_number() OVER (PARTITION BY source ORDER BY weight, target) <= {Q.GRAPH_K + 1})
         SELECT source, target, weight FROM near WHERE source <> target UNION ALL SELECT target, source, weight FROM near WHERE source <> target"""
-    assert_same(spark, lambda s, sf: small(s)[1], sql)
+    assert_same(spark, Q.knn_graph_edges_whole, sql)
 
 
 @pytest.mark.parametrize("name", sorted(ROWS))
