@@ -11,18 +11,22 @@ m pages, and of it the tree knows
   of children, (1 - g^l) * presentation + g^l * (the children's importance, by how many pages have them);
 - its information: what the features below it carry, summed over the pages.
 
-A node on enough pages is low, and its branch leaves every page of the host,
+Of a node on enough pages the tree decides alone. It is low, and its branch leaves every page of the tree,
 - if its importance is below a threshold: it repeats;
 - if it stands beside the content: its parent shows all pages alike (a frame, by its presentation), one inner child has
   most of the parent's information, and this one has little beside it. Paragraphs, headings and the like are never
   taken for such, so articles aren't thinned out;
-- if a page declares it as something else than text (a menu, form, advert, comments and so on, by element, role or class),
-  unless it holds nearly all that its parent has. Such declarations make a node weigh little among its siblings.
-Where the tree has too few pages of a node to judge, what pages declare decides: such nodes are taken within <article> and
-<main> only, if there are any. Pages of a host with the same content count once, so copies don't make an article a frame.
-
-Layouts (the nodes of a page without its texts) come once a task and host, blocks carry hashes of their features, and all
-counts are pre-aggregated in tasks. Nodes deeper than DEEPEST belong to their ancestor there: sums over the tree go level
+- if pages declare it as something else than text (a menu, form, advert, comments and so on, by element, role or class): its
+  information then counts a small part, and beside any sibling that outweighs it so it is low. A node that holds nearly all
+  that its parent has is a wrapper, whatever its class says.
+What pages declare is the prior where the tree has too few pages of a node: such a node is low if it is declared so, and its
+own text counts within <article> and <main> only, if the page has any. Pages with the same content count once, so copies
+don't make an article a frame. Hosts with few pages borrow from each other: pages of all those whose body has the same
+sequence of children, by style, make one tree.
+
+A page is read once; its texts wait in a stored table. Layouts (the nodes of a page without its texts) come once a task and
+host, blocks carry hashes of their features, and all counts are pre-aggregated in tasks. What is low comes back to the
+pages by layout, so a host's nodes are never gathered. Nodes deeper than DEEPEST belong to their ancestor there: sums over the tree go level
 by level, from written table to written table.
 """
 
@@ -36,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm.common import Stored, trimmed
 
@@ -337,27 +342,39 @@ def _some(b: pa.RecordBatch, column: int, most: int = 4_000_000) -> Iterator[pa.
         yield b.slice(at)
 
 
-def trees(pages: DataFrame, declared: bool = True) -> DataFrame:
-    """(_host, page: hash of its content, layout, nodes: the layout's on its first page in a task, else null, blocks) of every page.
+TEXT = [("id", pa.int64()), ("said", pa.bool_()), ("text", pa.string())]
+READ = TREE + ", shape bigint, texts array<struct<id:bigint,said:boolean,text:string>>"
+
+
+def read(pages: DataFrame, rest: list[str], declared: bool = True) -> DataFrame:
+    """Every page as (row: the columns `rest`, _host, page: hash of its content, layout, nodes: the layout's on its first page
+    in a task, else null, blocks, shape: hash of its body's children, texts: its blocks with whether it declares them as its
+    content).
 
     declared=False: what elements, roles and classes declare is left out."""
+    df = pages.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), _host(pages).alias("_host"), F.col("html").cast("string").alias("html"))
+    names = ["_host", "page", "layout", "nodes", "blocks", "shape", "texts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         ids_of, seen = Ids(), set()
         for b in batches:
-            for part in _some(b, 1):
-                key, layouts, nodes, blocks = [], [], [], []
-                for host, x in zip(part.column(0), part.column(1)):
+            for part in _some(b, 2):
+                key, layouts, nodes, blocks, shapes, texts = [], [], [], [], [], []
+                for host, x in zip(part.column(1), part.column(2)):
                     p = Page(x.as_py() or "")
                     ids = ids_of.of(p)
-                    texts = p.content(p.noise()) if declared else [t for _, t, _ in p.blocks]
-                    key.append(xxhash.xxh3_128_hexdigest(_utf8("\n\n".join(texts))))
+                    noise = p.noise() if declared else [False] * len(ids)
+                    inside = declared and any(p.main[n] and not noise[n] for n, *_ in p.blocks)
+                    said = [not noise[n] and (p.main[n] or not inside) for n, *_ in p.blocks]
+                    key.append(xxhash.xxh3_128_hexdigest(_utf8("\n\n".join(t for (_, t, _), own in zip(p.blocks, said) if own))))
                     styles = [_hash(_utf8(" ".join(k))) for k in p.kids]
                     layout = _hash(np.array(ids + styles, np.int64).tobytes())
                     layouts.append(layout)
                     blocks.append(list(_leaves(p, ids)))
+                    shapes.append(_hash(_utf8(" ".join(p.kids[p.tag.index("body") if "body" in p.tag else 0]))))
+                    texts.append([(ids[n], own, t) for (n, t, _), own in zip(p.blocks, said)])
                     if (host.as_py(), layout) in seen:
                         nodes.append(None)
                     else:
@@ -366,29 +383,24 @@ def trees(pages: DataFrame, declared: bool = True) -> DataFrame:
                         seen.add((host.as_py(), layout))
                         flags = [(p.marked[i] and declared, p.tag[i] in WRAPPERS, p.tag[i] in PLAIN, p.main[i] and declared) for i in range(len(ids))]
                         nodes.append([(ids[i], ids[max(0, p.up[i])], p.depth[i], p.step[i][:200], styles[i], len(p.kids[i]), *flags[i]) for i in range(len(ids))])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key, pa.string()), pa.array(layouts, pa.int64()), _lists(nodes, NODE), _lists(blocks, LEAF)], names=["_host", "page", "layout", "nodes", "blocks"])
+                columns = [part.column(1), pa.array(key, pa.string()), pa.array(layouts, pa.int64()), _lists(nodes, NODE), _lists(blocks, LEAF), pa.array(shapes, pa.int64()), _lists(texts, TEXT)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["row", *names])
+
+    schema = df.select("row").schema
+    for field in T.StructType.fromDDL(READ).fields:
+        schema = schema.add(field)
+    return df.mapInArrow(trimmed(run), schema)
 
-    return pages.select(_host(pages).alias("_host"), F.col("html").cast("string").alias("html")).mapInArrow(trimmed(run), TREE)
 
+def trees(pages: DataFrame, declared: bool = True) -> DataFrame:
+    """What the tree is made of: (_host, page, layout, nodes, blocks) of every page."""
+    return read(pages, ["url"], declared).select("_host", "page", "layout", "nodes", "blocks")
 
-def main_text(page: str, low: list | None, high: list | None = None, declared: bool = True) -> str:
-    """Text of a page's blocks without noise and low nodes (numbers): of its articles and of high nodes, or all without
-    articles. High nodes are no noise by themselves. If nothing is left, low branches stay."""
+
+def main_text(page: str) -> str:
+    """The text that a page by itself declares as its content."""
     p = Page(page)
-    noise = p.noise() if declared else [False] * len(p.up)
-    kept = [t for n, t, _ in p.blocks if not noise[n]]
-    if low or high:
-        ids, low, high = Ids().of(p), set(low or ()), set(high or ())
-        gone = [False]
-        for i in range(1, len(ids)):
-            own = ids[i] in low or ids[i] not in high and noise[i] and not noise[p.up[i]]
-            gone.append(gone[p.up[i]] or own)
-        left = [(n, t) for n, t, _ in p.blocks if not gone[n]]
-        if declared and any(p.main[n] and not noise[n] for n, *_ in p.blocks):
-            left = [(n, t) for n, t in left if p.main[n] or ids[n] in high]
-        if left:
-            return "\n\n".join(t for _, t in left)
-    return "\n\n".join(p.content(noise) if declared else kept)
+    return "\n\n".join(p.content(p.noise()))
 
 
 def _log(k: Column | str, m: Column | str) -> Column:
@@ -455,52 +467,83 @@ def importance(parsed: DataFrame, g: float = 0.9) -> DataFrame:
 
 
 def judge(nodes: DataFrame, threshold: float, least_pages: int, share: float, frame: float, prior: float) -> DataFrame:
-    """(_host, _low, _high): the numbers of low nodes, and of nodes that aren't though pages declare or place them otherwise."""
+    """(_host, id, low, bare) of the nodes that are low, or whose own text only counts inside of a page's articles."""
     at = ["_host", "up"]
     inner = (F.col("kids") > 0) & ~F.col("plain")
     weight = F.col("information") * F.when(F.col("marked"), F.lit(prior)).otherwise(F.lit(1.0))
     weighed = nodes.where("depth > 0").withColumns({"weight": weight, "inner": inner})
     beside = weighed.groupBy(*at).agg(F.sum("weight").alias("all"), F.max(F.struct("weight", "inner")).alias("best"))
     parents = nodes.select("_host", F.col("id").alias("up"), F.col("presentation").alias("shown"), F.col("information").alias("has"), F.col("m").alias("of"))
-    seen = weighed.join(beside, at).join(parents, at).where((F.col("m") >= least_pages) & ~F.col("step").rlike(r"^(html|body)([.\[]|$)"))
-    framed = (F.col("of") >= least_pages) & (F.col("shown") < frame) & F.col("best.inner") & (F.col("best.weight") >= 0.5 * F.col("all"))
+    seen = weighed.join(beside, at).join(parents, at)
+    framed = (F.col("of") >= least_pages) & (F.col("shown") < frame) & F.col("best.inner") & (F.col("best.weight") >= 0.5 * F.col("all")) & ~F.col("plain")
     wrapper = F.col("wraps") & (F.col("information") > 0) & (F.col("information") >= WHOLE * F.col("has"))
-    low = (F.col("importance") < threshold) | framed & ~F.col("plain") & (F.col("weight") < share * F.col("best.weight")) | F.col("marked") & ~wrapper
-    high = ~low & (F.col("own") & ~F.col("main") | F.col("marked"))
-    sides = (F.collect_set(F.when(x, F.col("id"))).alias(c) for x, c in ((low, "_low"), (high, "_high")))
-    return seen.where(low | high).groupBy("_host").agg(*sides)
+    told = (F.col("importance") < threshold) | (framed | F.col("marked") & ~wrapper) & (F.col("weight") < share * F.col("best.weight"))
+    known = F.col("m") >= least_pages
+    frame_of_all = F.col("step").rlike(r"^(html|body)([.\[]|$)")
+    low = ~frame_of_all & F.when(known, told).otherwise(F.col("marked") & ~wrapper)
+    bare = ~known & ~F.col("main")
+    return seen.select("_host", "id", low.alias("low"), bare.alias("bare")).where(F.col("low") | F.col("bare"))
+
 
+def dropped(layouts: DataFrame, judged: DataFrame) -> DataFrame:
+    """(_host, layout, drop: the numbers of the nodes whose own text leaves pages with that layout). A layout's nodes are
+    no more than one page's."""
 
-def extract(pages: DataFrame, threshold: float = 0.25, least_pages: int = 5, share: float = 0.2, frame: float = 0.3, prior: float = 0.02, declared: bool = True, tree: bool = True) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            drops = []
+            for nodes in b.column(2).to_pylist():
+                nodes.sort(key=lambda n: n["at"])  # parents first
+                gone: dict[int, bool] = {}
+                for n in nodes:
+                    gone[n["id"]] = bool(n["low"]) or gone.get(n["up"], False)
+                inside = any(n["main"] and not gone[n["id"]] for n in nodes)
+                drops.append([n["id"] for n in nodes if gone[n["id"]] or inside and n["bare"] and not n["main"]])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(drops, pa.list_(pa.int64()))], names=["_host", "layout", "drop"])
+
+    each = layouts.select("_host", "layout", F.posexplode("nodes").alias("at", "n")).select("_host", "layout", "at", "n.id", "n.up", "n.main")
+    each = each.join(judged, ["_host", "id"], "left").groupBy("_host", "layout").agg(F.collect_list(F.struct("at", "id", "up", "main", F.coalesce("low", F.lit(False)).alias("low"), F.coalesce("bare", F.lit(False)).alias("bare"))).alias("nodes"))
+    return each.mapInArrow(trimmed(run), "_host string, layout bigint, drop array<bigint>")
+
+
+def extract(pages: DataFrame, threshold: float = 0.25, least_pages: int = 5, share: float = 0.2, frame: float = 0.3, prior: float = 0.02, pool: int = 20, declared: bool = True, tree: bool = True) -> DataFrame:
     """pages' columns but html, with text (blocks joined by blank lines; empty if none).
 
-    threshold: importance below which a node is low; least_pages: pages of its host (those with the same content count
+    threshold: importance below which a node is low; least_pages: pages of its tree (those with the same content count
     once) that a node must be on to be judged; share: the part of its best sibling's weight below which a node beside the
-    content is low; frame: the presentation below which pages are alike; prior: what a declared part's information counts.
-    declared=False leaves all declarations out, tree=False the tree.
-
-    Null and empty pages give an empty text; pages without a host share one; ties go by the numbers of nodes. If every
-    block of a page is low, what it declares stays. Repeated pages each get their text; a column named text is replaced and
-    any other name may occur; an empty table gives an empty one. Pages of any length are read in one pass, in time and
-    memory in proportion to them; an element without an end ends with its parent, a tag without one with the page, a
-    quote without one at its tag's next angle.
-    """
+    content is low; frame: the presentation below which pages are alike; prior: what a declared part's information counts;
+    pool: pages with different contents from which on a host has a tree of its own. declared=False leaves all declarations
+    out; tree=False judges nothing and gives all of a page's text.
+
+    Null and empty pages give an empty text; pages without a host are pooled like those of small hosts; ties go by the
+    numbers of nodes. If every block of a page is low, what it declares stays. Repeated pages each get their text; a column
+    named text is replaced and any other name may occur; an empty table gives an empty one. Pages of any length are read in
+    one pass, in time and memory in proportion to them; an element without an end ends with its parent, a tag without one
+    with the page, a quote without one at its tag's next angle."""
     store = Stored(pages.sparkSession)
     rest = [c for c in pages.columns if c not in ("html", "text")]
-    row = pages.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), F.col("html").cast("string").alias("html"), _host(pages).alias("_host"))
+    parsed = store.put("read", read(pages, rest, declared))
     if tree:
-        nodes = merged(store.put("trees", trees(pages, declared)), store)
-        store.drop("trees")
-        row = row.join(store.put("judged", judge(nodes, threshold, least_pages, share, frame, prior)), "_host", "left")
+        large = parsed.select("_host", "page").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= pool) & (F.col("_host") != ""))
+        large = store.put("large", large.select("_host", F.lit(True).alias("_large")))
+        of = F.when(F.col("_large"), F.concat(F.lit("="), F.col("_host"))).otherwise(F.concat(F.lit("~"), F.col("shape").cast("string")))
+        keyed = parsed.join(large, "_host", "left").withColumn("_host", of)
+        nodes = store.put("merged", merged(keyed.select("_host", "page", "layout", "nodes", "blocks"), store))
+        judged = store.put("judged", judge(nodes, threshold, least_pages, share, frame, prior))
+        layouts = keyed.where("nodes is not null").groupBy("_host", "layout").agg(F.first("nodes").alias("nodes"))
+        drops = store.put("drops", dropped(layouts, judged))
+        row = keyed.select("row", "_host", "layout", "texts").join(drops, ["_host", "layout"], "left").select("row", "texts", "drop")
     else:
-        none = F.lit(None).cast("array<bigint>")
-        row = row.withColumns({"_low": none, "_high": none})
+        row = parsed.select("row", "texts", F.lit(None).cast("array<bigint>").alias("drop"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in _some(b, 1):
-                text = [main_text(x.as_py() or "", y.as_py(), z.as_py(), declared) for x, y, z in zip(part.column(1), part.column(2), part.column(3))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(text, pa.string())], names=["row", "text"])
-
-    out = row.select("row", "html", "_low", "_high").mapInArrow(trimmed(run), row.select("row").schema.add("text", "string"))
+            out = []
+            for texts, drop in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                drop = set(drop or ())
+                kept = [x["text"] for x in texts if x["id"] not in drop]
+                out.append("\n\n".join(kept or [x["text"] for x in texts if x["said"]]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["row", "text"])
+
+    out = row.mapInArrow(trimmed(run), row.select("row").schema.add("text", "string"))
     return out.select(*(F.col(f"row.`{c}`") for c in rest), "text")
