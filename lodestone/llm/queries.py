@@ -98,20 +98,20 @@ QUERIES = {
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+TRIMMED = "trim({x}, ' ' || chr(9) || chr(13) || chr(11) || chr(12))"
+
 #: Templates and phrases as SQL rows.
 TEMPLATES = ", ".join(f"({t}, '{label}', {license.template_words(text)})" for t, (label, text) in enumerate(license.TEMPLATES))
 PHRASES = ", ".join(f"('{label}', '{text}', {len(text.split())})" for label, text in license.PHRASES.items())
 
 ORACLES: dict[str, str] = {
-    "op4_line_dedup": """
+    "op4_line_dedup": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '') AS host, source, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-        l AS (SELECT r, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
-        total AS (SELECT host, count(*) AS pages FROM d GROUP BY host),
-        often AS (SELECT host, trim(line, ' ') AS line FROM l JOIN total USING (host) WHERE trim(line, ' ') <> '' GROUP BY host, trim(line, ' '), pages HAVING count(DISTINCT r) >= 5 AND count(DISTINCT r) > 2e-2 * pages),
-        kept AS (SELECT r, string_agg(l.line, chr(10) ORDER BY i) AS text, count(*) AS n, bool_or(trim(l.line, ' ') <> '') AS solid
-                 FROM l LEFT JOIN often o ON o.host = l.host AND o.line = trim(l.line, ' ') WHERE o.line IS NULL GROUP BY r)
-        SELECT doc_id, source, CASE WHEN d.text IS NULL OR NOT coalesce(solid, false) THEN d.text ELSE kept.text END AS text,
-               CASE WHEN d.text IS NULL OR NOT coalesce(solid, false) THEN 0 ELSE len(lines) - n END AS n_lines_dropped
+        l AS (SELECT r, host, coalesce(text, '') AS page, unnest(lines) AS line, {TRIMMED.format(x='unnest(lines)')} AS bare, generate_subscripts(lines, 1) AS i FROM d),
+        total AS (SELECT host, count(DISTINCT coalesce(text, '')) AS pages FROM d GROUP BY host),
+        often AS (SELECT host, bare FROM l JOIN total USING (host) WHERE bare <> '' GROUP BY host, bare, pages HAVING count(DISTINCT page) > 1 AND count(DISTINCT page) - 1 > 5e-2 * (pages - 1)),
+        kept AS (SELECT r, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS n FROM l ANTI JOIN often USING (host, bare) GROUP BY r)
+        SELECT doc_id, source, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text, CASE WHEN d.text IS NULL THEN 0 ELSE len(lines) - coalesce(n, 0) END AS n_lines_dropped
         FROM d LEFT JOIN kept USING (r)""",
     "op3_benchmark_decontamination": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),

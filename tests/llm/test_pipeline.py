@@ -34,7 +34,7 @@ def test_brute_force(spark, tmp_path):
     read = spark.read.parquet(f"{tmp_path}/documents.parquet")
     good = {x.doc_id for x in quality.classify(read, spark.read.parquet(f"{tmp_path}/labels.parquet")).where("predicted = 1").collect()}
     assert all((i in good) == bool(q) for i, q in labels)
-    left = brute_lines([(d[0], d[1], d[3]) for d in docs if d[0] in good], 0.02, 5)
+    left = brute_lines([(d[0], d[1], d[3]) for d in docs if d[0] in good], 0.05)
     ids = [i for i, *_ in left]
     roots = brute_components(ids, [brute_fp(t) for _, t, _ in left])
     left = [(i, t) for (i, t, _), root in zip(left, roots) if i == root]
