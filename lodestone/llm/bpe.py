@@ -1,8 +1,13 @@
 """BPE encoding and decoding of whole texts with a public tokenizer file.
 
-Texts are cut at ASCII white space, which never lies inside a word of the tokenizer, and words are encoded once and
-remembered in a bounded memory. Unsplit text that is long (a word of more than `leaf` characters) is encoded by tree
-concatenation: its leaves are encoded independently, in parallel, and neighbours are joined level by level, all joins of
+Long texts (of more than EACH leaves) aren't split at words: they are cut into leaves of `leaf` characters wherever that falls
+and encoded by tree concatenation. Leaves are encoded in parallel and neighbours joined level by level. At each join a window
+of tokens on both sides is encoded again, grown until it lies between white space, which never is inside a word of the
+tokenizer, and starts with the same tokens at the same places as the left side has there and ends with the same as the
+right side, or covers a side.
+
+Short texts are cut at ASCII white space, and words are encoded once and remembered in a bounded memory. A text with a word of
+more than `leaf` characters is cut there too, and such a word is encoded by a tree of its own, without white space to go by: its leaves are encoded independently, in parallel, and neighbours are joined level by level, all joins of
 a level in parallel too. At each join a window of tokens on both sides is encoded again and grown until it starts with
 the same tokens as the left side has there and ends with the same as the right side, or covers a side. Neighbouring
 tokens of the result then all come from encodings of their own surroundings, which for a merge-ranked vocabulary makes
@@ -30,8 +35,11 @@ from lodestone.llm.common import trimmed
 REMEMBER = 300_000
 #: Characters of text that are worked on together.
 BLOCK = 2_000_000
-#: Threads for the parts of one long word.
+#: Threads for the parts of one long word or text.
 THREADS = 4
+#: Leaves from which on a text goes through the tree as a whole.
+EACH = 8
+SPACE = frozenset(" \t\n\r")
 
 
 class Codec:
@@ -129,6 +137,48 @@ class Codec:
                     out += self.tree(word) if len(word) > self.leaf else self._encode(word, True)
         return out
 
+    def _spans(self, text: str, parts: list[tuple[int, int]]) -> list[tuple[list[int], list[int], list[int]]]:
+        """Token ids, and where they start and end in the text, of parts of it; in parallel."""
+        with parallel():
+            found = self.whole.encode_batch([text[a:b] for a, b in parts], add_special_tokens=False)
+        out = []
+        for (a, _), e in zip(parts, found):
+            at = e.offsets
+            out.append((e.ids, [a + s for s, _ in at], [a + t for _, t in at]))
+        return out
+
+    def unsplit(self, text: str, agree: int = 2) -> list[int]:
+        """Token ids of one long text, none of whose words is longer than a leaf."""
+        cuts = list(range(0, len(text), self.leaf))
+        parts = list(zip(cuts, [*cuts[1:], len(text)]))
+        nodes = [(a, b, *x) for (a, b), x in zip(parts, self._spans(text, parts))]
+        while len(nodes) > 1:
+            out: list[tuple] = [()] * (len(nodes) // 2)
+            todo, n = list(range(len(out))), 8
+            while todo:
+                windows = []
+                for t in todo:
+                    (a, _, x, xs, xe), (_, b, y, ys, ye) = nodes[2 * t], nodes[2 * t + 1]
+                    i, j = max(0, len(x) - n), min(len(y), n)
+                    # tokens of one character share its place, so there must be a gap, too
+                    while i > 0 and not (xe[i - 1] < xs[i] and text[xs[i] - 1] in SPACE):
+                        i -= 1
+                    while 0 < j < len(y) and not (ye[j - 1] < ys[j] and text[ye[j - 1]] in SPACE):
+                        j += 1
+                    windows.append((t, i, j, a if i == 0 else xs[i], b if j == len(y) else ye[j - 1]))
+                again = []
+                for (t, i, j, *_), (w, ws, we) in zip(windows, self._spans(text, [(s, e) for *_, s, e in windows])):
+                    (a, _, x, xs, xe), (_, b, y, ys, ye) = nodes[2 * t], nodes[2 * t + 1]
+                    left = i == 0 or (w[:agree], ws[:agree]) == (x[i : i + agree], xs[i : i + agree])
+                    right = j == len(y) or (w[-agree:], we[-agree:]) == (y[max(0, j - agree) : j], ye[max(0, j - agree) : j])
+                    if left and right:
+                        out[t] = a, b, x[:i] + w + y[j:], xs[:i] + ws + ys[j:], xe[:i] + we + ye[j:]
+                    else:
+                        again.append(t)
+                todo, n = again, 2 * n
+            nodes = out + nodes[2 * len(out) :]
+        return nodes[0][2] if nodes else []
+
     def _learn(self, texts: list[list[str]]) -> None:
         seen = set().union(*texts)
         new = seen.difference(self.ids)
@@ -148,17 +198,25 @@ class Codec:
         self.ids[word] = pack(f"<{len(ids)}I", *ids)
         self.texts[word] = "".join(map(self.spaced.__getitem__, ids))
 
-    def batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """(ids as little-endian unsigned 32-bit integers, decoded text) of each text."""
+    def batch(self, texts: list[str]) -> list[tuple[bytes, str, bool]]:
+        """(ids as little-endian unsigned 32-bit integers, decoded text, whether it went through a tree) of each text."""
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        whole = {i for i, t in enumerate(texts) if len(t) > EACH * self.leaf and not self.is_long(split[i])}
+        if whole:
+            rest = iter(self.batch([t for i, t in enumerate(texts) if i not in whole]))
+            return [self._whole(t) if i in whole else next(rest) for i, t in enumerate(texts)]
         self._learn(split)
         ids, decoded = self.ids.__getitem__, self.texts.__getitem__
-        out = [(b"".join(map(ids, ws)), "".join(map(decoded, ws))[1:]) for ws in split]
-        for w in {w for ws in split for w in ws if len(w) > self.leaf} if any(map(self.is_long, split)) else ():
+        out = [(b"".join(map(ids, ws)), "".join(map(decoded, ws))[1:], self.is_long(ws)) for ws in split]
+        for w in {w for ws in split for w in ws if len(w) > self.leaf} if any(x[2] for x in out) else ():
             del self.ids[w], self.texts[w]  # what is long isn't remembered
             self.again.discard(w)
         return out
 
+    def _whole(self, text: str) -> tuple[bytes, str, bool]:
+        ids = self.unsplit(text)
+        return pack(f"<{len(ids)}I", *ids), "".join(map(self.spaced.__getitem__, ids))[1:], True
+
     def is_long(self, words: list[str]) -> bool:
         return len(max(words, key=len)) > self.leaf
 
@@ -197,25 +255,26 @@ def blocks(texts: list[str], most: int = BLOCK) -> Iterator[tuple[int, int]]:
 
 
 def encode_decode(docs: DataFrame, path: str, leaf: int = 2048) -> DataFrame:
-    """docs' columns other than text, with ids (binary: little-endian unsigned 32-bit) and decoded (string) in its place.
+    """docs' columns other than text, with ids (binary: little-endian unsigned 32-bit), decoded (string) and by_tree (whether
+    tree concatenation gave the ids) in its place.
 
     A null text counts as empty: no ids and an empty decoded text. No row is moved, merged or dropped, so ties and
-    repeated rows come back as they are; columns named ids or decoded are replaced; an empty table gives an empty one.
-    A text of any length is one row's work; what of it isn't split is encoded by the tree.
+    repeated rows come back as they are; columns with the new names are replaced; an empty table gives an empty one. A
+    text of any length is one row's work.
     """
-    rest = [c for c in docs.columns if c not in ("text", "ids", "decoded")]
+    rest = [c for c in docs.columns if c not in ("text", "ids", "decoded", "by_tree")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, leaf)
         for b in batches:
             texts = [t or "" for t in b.column(0).to_pylist()]
             for i, j in blocks(texts):
-                ids, decoded = zip(*c.batch(texts[i:j]))
-                yield pa.RecordBatch.from_arrays([*(b.column(k + 1).slice(i, j - i) for k in range(len(rest))), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=[*rest, "ids", "decoded"])
+                ids, decoded, tree = zip(*c.batch(texts[i:j]))
+                yield pa.RecordBatch.from_arrays([*(b.column(k + 1).slice(i, j - i) for k in range(len(rest))), pa.array(ids, pa.binary()), pa.array(decoded, pa.string()), pa.array(tree, pa.bool_())], names=[*rest, "ids", "decoded", "by_tree"])
 
     df = docs.select(F.col("text").cast("string"), *(F.col(f"`{c}`") for c in rest))
     kept = docs.select(*(F.col(f"`{c}`") for c in rest)).schema
-    return df.mapInArrow(trimmed(run), kept.add("ids", "binary").add("decoded", "string"))
+    return df.mapInArrow(trimmed(run), kept.add("ids", "binary").add("decoded", "string").add("by_tree", "boolean"))
 
 
 def unpack(ids: bytes) -> list[int]:

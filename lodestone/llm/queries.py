@@ -17,7 +17,7 @@ def vocabulary(name: str) -> str:
 
 def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.encode_decode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), vocabulary("word_bpe_49k.json"))
-    return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "by_tree")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

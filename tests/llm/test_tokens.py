@@ -17,13 +17,19 @@ def texts():
     return ODD + ["".join(r.choice(alphabet) for _ in range(r.randrange(200))) for _ in range(600)] + ["".join(r.choice("abcdefinorst") for _ in range(r.randrange(2000))) for _ in range(60)]
 
 
-@pytest.mark.parametrize("leaf", [2048, 48, 5])
+@pytest.mark.parametrize("leaf", [2048, 48, 12, 5])
 def test_codec(leaf):
     whole, c, t = Tokenizer.from_file(WORD), bpe.Codec(WORD, leaf), texts()
-    for text, (ids, decoded) in zip(t, c.batch(t)):
+    r = random.Random(9)
+    words = ["The", "don't", "été,", "E\u0301t", "\u0301x", "İst", "日本", "x1.", "!?", "<|x", "a\x85b", "\xa0", "'s", "ﬁ", "ab1ab"]
+    t += ["".join(r.choice(words) + r.choice([" ", " ", "\n", "  ", "\t"]) for _ in range(r.randrange(20, 900))) for _ in range(80)]
+    trees = 0
+    for text, (ids, decoded, tree) in zip(t, c.batch(t)):
+        trees += tree
         want = whole.encode(text, add_special_tokens=False).ids
         assert bpe.unpack(ids) == want, repr(text[:80])
         assert decoded == whole.decode(want, skip_special_tokens=False)
+    assert trees > (60 if leaf < 2048 else 2)
 
 
 @pytest.mark.parametrize("chunk,overlap", [(32768, 512), (40, 3), (300, 17)])
@@ -44,7 +50,7 @@ def test_bounded_memory(monkeypatch):
     a, b = Tokenizer.from_file(WORD), Tokenizer.from_file(BYTE)
     for i in range(0, len(t), 7):
         part = t[i : i + 7]
-        assert [bpe.unpack(x) for x, _ in c.batch(part)] == [x.ids for x in a.encode_batch(part, add_special_tokens=False)]
+        assert [bpe.unpack(x) for x, *_ in c.batch(part)] == [x.ids for x in a.encode_batch(part, add_special_tokens=False)]
         assert n.batch(part) == [len(x.ids) for x in b.encode_batch(part, add_special_tokens=False)]
 
 
@@ -52,7 +58,7 @@ def test_tables(spark):
     rows = [(1, "Hello the world", "en", 7), (1, "Hello the world", "en", 7), (2, None, None, None), (None, "", "x", 1), (3, "z" * 200_000, "x", 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string, n_tokens int")
     out = bpe.encode_decode(df, WORD)
-    assert out.columns == ["doc_id", "n_tokens", "ids", "decoded"]
+    assert out.columns == ["doc_id", "n_tokens", "ids", "decoded", "by_tree"]
     whole = Tokenizer.from_file(WORD)
     assert sorted((x.doc_id or 0, bpe.unpack(bytes(x.ids))) for x in out.collect()) == sorted((a or 0, whole.encode(b or "").ids) for a, b, *_ in rows)
     n = tokencount.token_counts(df, BYTE)
@@ -86,6 +92,22 @@ def test_query_on_long_unsplit_words(spark, tmp_path, monkeypatch):
     assert max(trees) == 200_000 and len(trees) >= 7
 
 
+def test_documents_go_through_the_tree(spark):
+    """Long documents of the given table are encoded as unsplit texts, and all as the library does."""
+    from lodestone.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    whole = Tokenizer.from_file(WORD)
+    texts = {x.doc_id: x.text or "" for x in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = QUERIES["op1_bpe_encode_decode"](spark, sf).collect()
+    assert len(got) == len(texts)
+    for x in got:
+        ids = whole.encode(texts[x.doc_id], add_special_tokens=False).ids
+        assert x.n_tokens == len(ids) and x.ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
+        assert x.by_tree == (len(texts[x.doc_id]) > bpe.EACH * 2048)
+    assert sum(x.by_tree for x in got) > 0
+
+
 def test_joins_run_in_parallel(monkeypatch):
     seen, c = [], bpe.Codec(WORD, leaf=64)
     real = c._encode_all
