@@ -21,6 +21,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +33,17 @@ from lodestone.llm.bpe import blocks
 from lodestone.llm.common import Stored, trimmed
 
 #: Segments that a worker remembers and their longest; characters of a block; links that are expanded at once.
-REMEMBER, LONGEST, BLOCK, EXPAND = 150_000, 64, 2_000_000, 2_000_000
+REMEMBER, LONGEST, BLOCK, EXPAND = 250_000, 64, 2_000_000, 2_000_000
 #: An id pair is one number: A's id times SHIFT plus B's.
 SHIFT = 1 << 31
 CUT = re.compile(r"(?<=\S) (?=\S)")
 ODD = re.compile(r" \s|\s |^ | $")
 
 
+NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
+INTS, LONGS = T.ArrayType(T.IntegerType()), T.ArrayType(T.LongType())
+
+
 def byte_of_char() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable Latin-1 characters for themselves, other
     bytes for characters from 256 on, in order."""
@@ -47,13 +52,9 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Alignment:
-    """What aligned segments have: numbers of tokens, groups and links, the groups as text, and links as id pairs."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "n_links", "text", "pairs")
-
-    def __init__(self, n_a: int, n_b: int, n_groups: int, n_links: int, text: str, pairs: bytes):
-        self.n_a, self.n_b, self.n_groups, self.n_links, self.text, self.pairs = n_a, n_b, n_groups, n_links, text, pairs
+#: What an aligned segment has: numbers of tokens, groups and links, the groups as text, and the links' id pairs as 64-bit
+#: integers; of a segment with more than EXPAND links each different pair once, with how often it occurs, else None.
+Alignment = tuple[int, int, int, int, str, bytes, np.ndarray | None]
 
 
 def intervals(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,6 +85,7 @@ class Aligner:
         for i, x in self.bytes_a.items():
             self.size_a[i] = len(x)
         self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
+        self.names = list(map(str, range(max(len(self.size_a), len(self.size_b)))))
         self.known: dict[str, Alignment | None] = {}
         self.again: set[str] = set()  # remembered segments that later blocks have used
 
@@ -92,78 +94,115 @@ class Aligner:
         texts_a = [" " + t for t in texts]
         ids_a = [e.ids for e in self.a.encode_batch_fast(texts_a, add_special_tokens=False)]
         ids_b = self.b.encode(texts, num_threads=1)
-        get_a, get_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
-        good = [i for i, t in enumerate(texts_a) if (x := t.encode("utf-8", "surrogatepass")) == b"".join(map(get_a, ids_a[i])) and x == b"".join(map(get_b, ids_b[i]))]
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts_a]
+        good, (n_a, flat_a, ends_a), (n_b, flat_b, ends_b) = self._same(raw, ids_a, ids_b)
         out: list[Alignment | None] = [None] * len(texts)
         if not good:
             return out
-        n_a, n_b = (np.array([len(x[i]) for i in good]) for x in (ids_a, ids_b))
-        flat_a, flat_b = (np.concatenate([np.array(x[i], np.int64) for i in good]) for x in (ids_a, ids_b))
-        a, b, group = intervals(np.cumsum(self.size_a[flat_a]), np.cumsum(self.size_b[flat_b]))
+        a, b, group = intervals(ends_a, ends_b)
         # the tokens of a group: an interval that starts one gives it
-        first_a, first_b = np.diff(a, prepend=-1) > 0, np.diff(b, prepend=-1) > 0
-        group_a, group_b = group[first_a], group[first_b]
+        group_a, group_b = group[np.diff(a, prepend=-1) > 0], group[np.diff(b, prepend=-1) > 0]
         groups = int(group[-1]) + 1
         in_a, in_b = np.bincount(group_a, minlength=groups), np.bincount(group_b, minlength=groups)
         start_a, start_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
-        text_of = np.searchsorted(np.cumsum(n_a), start_a, side="right")  # of each group
-        names_a, names_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        single = (in_a == 1) & (in_b == 1)
-        names = [f"{names_a[s]}|{names_b[t]}" if one else f"{','.join(names_a[s:s + n])}|{','.join(names_b[t:t + m])}" for s, n, t, m, one in zip(start_a.tolist(), in_a.tolist(), start_b.tolist(), in_b.tolist(), single.tolist())]
+        bounds = np.searchsorted(start_a, np.r_[0, np.cumsum(n_a)]).tolist()  # of each text's groups
+        names_a, names_b = list(map(self.names.__getitem__, flat_a.tolist())), list(map(self.names.__getitem__, flat_b.tolist()))
+        rows = zip(start_a.tolist(), (start_a + in_a).tolist(), start_b.tolist(), (start_b + in_b).tolist())
+        names = [names_a[s] + "|" + names_b[u] if t == s + 1 and v == u + 1 else ",".join(names_a[s:t]) + "|" + ",".join(names_b[u:v]) for s, t, u, v in rows]
         links = in_a * in_b
-        bounds = np.searchsorted(text_of, np.arange(len(good) + 1))
-        sums = np.concatenate([[0], np.cumsum(links)])
-        for k, i in enumerate(good):
-            lo, hi = int(bounds[k]), int(bounds[k + 1])
-            n = int(sums[hi] - sums[lo])
-            pairs = self._pairs(flat_a, flat_b, start_a[lo:hi], in_a[lo:hi], start_b[lo:hi], in_b[lo:hi], links[lo:hi])
-            out[i] = Alignment(int(n_a[k]), int(n_b[k]), hi - lo, n, ";".join(names[lo:hi]), pairs)
+        ends = np.r_[0, np.cumsum(links)][bounds]
+        n_a, n_b, at, lo = n_a.tolist(), n_b.tolist(), ends.tolist(), 0
+        while lo < len(good):  # texts whose links are expanded together
+            hi = max(lo + 1, int(np.searchsorted(ends, at[lo] + EXPAND, side="right")) - 1)
+            g, h, first = bounds[lo], bounds[hi], at[lo]
+            parts = flat_a, flat_b, start_a[g:h], in_a[g:h], start_b[g:h], in_b[g:h], links[g:h]
+            pairs, times = _summed_products(*parts) if at[hi] - first > EXPAND else (_products(*parts), None)
+            codes = pairs.tobytes()
+            for k in range(lo, hi):
+                s, t, x, y = bounds[k], bounds[k + 1], at[k], at[k + 1]
+                mine = codes if times is not None else codes[8 * (x - first) : 8 * (y - first)]
+                out[good[k]] = n_a[k], n_b[k], t - s, y - x, names[s] if t == s + 1 else ";".join(names[s:t]), mine, times
+            lo = hi
         return out
 
-    def _pairs(self, flat_a, flat_b, start_a, in_a, start_b, in_b, links) -> bytes:
-        """Different id pairs of some groups' products and how often each occurs, as 64-bit integers in turn."""
-        if len(links) == 1 and links[0] == 1:
-            return np.array([flat_a[start_a[0]] * SHIFT + flat_b[start_b[0]], 1]).tobytes()
-        pairs, times, at, ends = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, np.cumsum(links)
-        while at < len(links):
-            if links[at] > EXPAND:  # one huge group: products of its different ids
-                one_a, m_a = np.unique(flat_a[start_a[at] : start_a[at] + in_a[at]], return_counts=True)
-                one_b, m_b = np.unique(flat_b[start_b[at] : start_b[at] + in_b[at]], return_counts=True)
-                step = max(1, EXPAND // len(one_b))
-                for s in range(0, len(one_a), step):
-                    more = (one_a[s : s + step, None] * SHIFT + one_b).ravel(), (m_a[s : s + step, None] * m_b).ravel()
-                    pairs, times = _summed(np.concatenate([pairs, more[0]]), np.concatenate([times, more[1]]))
-                at += 1
-                continue
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + EXPAND, side="right")))
-            n, mine = links[at:to], np.repeat(np.arange(at, to), links[at:to])
-            inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            code = flat_a[start_a[mine] + inside // in_b[mine]] * SHIFT + flat_b[start_b[mine] + inside % in_b[mine]]
-            pairs, times = _summed(np.concatenate([pairs, code]), np.concatenate([times, np.ones(len(code), np.int64)]))
-            at = to
-        return np.concatenate([pairs, times]).tobytes()
-
-    def batch(self, texts: list[str]) -> list[list[Alignment]]:
-        """The alignments of each text's segments; none of texts that are empty or can't be aligned."""
+    def _same(self, raw: list[bytes], ids_a: list[list[int]], ids_b: list[list[int]]) -> tuple:
+        """The texts that both tokenizers' bytes give back, and of each tokenizer for those the numbers of tokens, all ids and
+        where they end. All texts are looked at together first."""
+        good = list(range(len(raw)))
+        while True:
+            found, whole, sizes = [], b"".join(raw), np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+            for ids, of, size in ((ids_a, self.bytes_a, self.size_a), (ids_b, self.bytes_b, self.size_b)):
+                n = np.fromiter(map(len, ids), np.int64, len(ids))
+                flat = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
+                ends = np.cumsum(size[flat])
+                if np.array_equal(np.r_[0, ends][np.cumsum(n)], sizes) and b"".join(map(of.__getitem__, chain.from_iterable(ids))) == whole:
+                    found.append((n, flat, ends))
+            if len(found) == 2:
+                return good, *found
+            get_a, get_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
+            good = [i for i, t in enumerate(raw) if t == b"".join(map(get_a, ids_a[i])) and t == b"".join(map(get_b, ids_b[i]))]
+            raw, ids_a, ids_b = ([x[i] for i in good] for x in (raw, ids_a, ids_b))
+
+    def batch(self, texts: list[str]) -> tuple[list[Alignment], np.ndarray, np.ndarray]:
+        """Alignments of different segments, which of them the texts are made of in order, and how many each text has: none
+        if it is empty or can't be aligned."""
         split = [[] if not t else CUT.split(t) if ODD.search(t) else t.split(" ") for t in texts]
-        seen = set().union(*split)
-        new = [s for s in seen if s not in self.known]
-        self.again |= seen.difference(new)
+        n = np.fromiter(map(len, split), np.int64, len(split))
+        number = {s: k for k, s in enumerate(dict.fromkeys(chain.from_iterable(split)))}
+        place = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum()))
+        new = [s for s in number if s not in self.known]
+        old = number.keys() - new
+        self.again |= old
         if len(self.known) + len(new) > REMEMBER:
             if len(self.again) > REMEMBER // 2:
-                self.again = seen.difference(new)
+                self.again = old
             self.known = {s: self.known[s] for s in self.again}
         for i, j in blocks(new, BLOCK // 4):
             self.known.update(zip(new[i:j], self.align(new[i:j])))
-        found = [list(map(self.known.__getitem__, ws)) for ws in split]
+        used = list(map(self.known.__getitem__, number))
         for s in new:
             if len(s) > LONGEST:  # what is long isn't remembered
                 del self.known[s]
-        # bytes that differ in segments could still be the same in the whole
-        odd = [i for i, x in enumerate(found) if None in x]
-        for i, whole in zip(odd, self.align([texts[i] for i in odd]) if odd else ()):
-            found[i] = [] if whole is None else [whole]
-        return found
+        odd = np.array([x is None for x in used], bool)
+        if odd.any():  # bytes that differ in segments could still be the same in the whole
+            parts = np.split(place, np.cumsum(n)[:-1])
+            again = [i for i, p in enumerate(parts) if odd[p].any()]
+            for i, whole in zip(again, self.align([texts[i] for i in again])):
+                parts[i] = np.array([] if whole is None else [len(used)], np.int64)
+                used += [] if whole is None else [whole]
+            n = np.array([len(p) for p in parts])
+            kept, place = np.unique(np.concatenate(parts), return_inverse=True)
+            used = [used[k] for k in kept]
+        return used, place, n
+
+
+def _products(flat_a, flat_b, start_a, in_a, start_b, in_b, links) -> np.ndarray:
+    """The id pairs of all links of some groups, group by group."""
+    total = int(links.sum())
+    mine = np.repeat(np.arange(len(links)), links)
+    inside = np.arange(total) - np.repeat(np.cumsum(links) - links, links)
+    of_b = in_b[mine]
+    return flat_a[start_a[mine] + inside // of_b] * SHIFT + flat_b[start_b[mine] + inside % of_b]
+
+
+def _summed_products(flat_a, flat_b, start_a, in_a, start_b, in_b, links) -> tuple[np.ndarray, np.ndarray]:
+    """The different id pairs of many links and how often each occurs, at most about EXPAND at a time."""
+    pairs, times, at, ends = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, np.cumsum(links)
+    while at < len(links):
+        if links[at] > EXPAND:  # one huge group: products of its different ids
+            one_a, m_a = np.unique(flat_a[start_a[at] : start_a[at] + in_a[at]], return_counts=True)
+            one_b, m_b = np.unique(flat_b[start_b[at] : start_b[at] + in_b[at]], return_counts=True)
+            step = max(1, EXPAND // len(one_b))
+            for s in range(0, len(one_a), step):
+                code, often = (one_a[s : s + step, None] * SHIFT + one_b).ravel(), (m_a[s : s + step, None] * m_b).ravel()
+                pairs, times = _summed(np.concatenate([pairs, code]), np.concatenate([times, often]))
+            at += 1
+            continue
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + EXPAND, side="right")))
+        code = _products(flat_a, flat_b, *(x[at:to] for x in (start_a, in_a, start_b, in_b, links)))
+        pairs, times = _summed(np.concatenate([pairs, code]), np.concatenate([times, np.ones(len(code), np.int64)]))
+        at = to
+    return pairs, times
 
 
 def _summed(values: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,26 +220,27 @@ def _ragged(values: np.ndarray, sizes: np.ndarray, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, kind))
 
 
-def block_columns(found: list[list[Alignment]]) -> list[pa.Array]:
-    """For the texts of a block: n_a, n_b, n_groups, n_links, groups, at and times (places of a text's different pairs among
-    the block's, and how often it has them), and on the first text pairs and held: the block's pairs and their texts."""
-    texts = len(found)
-    number = {id(x): x for xs in found for x in xs}
-    used = list(number.values())
-    number = {key: k for k, key in enumerate(number)}
-    place = np.array([number[id(x)] for xs in found for x in xs], np.int64)
-    of = np.repeat(np.arange(texts), [len(xs) for xs in found])
-    tell = lambda name: np.bincount(of, weights=np.array([getattr(x, name) for x in used], float)[place], minlength=texts).astype(np.int64) if len(place) else np.zeros(texts, np.int64)
-    sums = [pa.array(tell(n), pa.int64()) for n in ("n_a", "n_b", "n_groups", "n_links")]
-    groups = pa.array([";".join([x.text for x in xs]) for xs in found], pa.string())
+def block_columns(used: list[Alignment], place: np.ndarray, n: np.ndarray) -> list[pa.Array]:
+    """For the texts of a block, as batch() gives them: n_a, n_b, n_groups, n_links, groups, at and times (places of a text's
+    different pairs among the block's, and how often it has them), and on the first text pairs and held: the block's pairs
+    and their texts."""
+    texts, ends = len(n), np.r_[0, np.cumsum(n)]
+    of = np.repeat(np.arange(texts), n)
+
+    *numbers, names, links, often = zip(*used) if used else [()] * 7
+    sums = [pa.array(np.diff(np.r_[0, np.cumsum(np.array(x, np.int64)[place])][ends]), pa.int64()) for x in numbers]
+    order, cuts = place.tolist(), ends.tolist()
+    groups = pa.array([";".join(map(names.__getitem__, order[s:e])) for s, e in zip(cuts, cuts[1:])], pa.string())
     if not len(place):
         none = _ragged(np.zeros(0, np.int64), np.zeros(texts, np.int64), pa.int32())
         return [*sums, groups, none, none, *(pa.array([[] if i == 0 else None for i in range(texts)], pa.list_(k)) for k in (pa.int64(), pa.int32()))]
-    raw = [np.frombuffer(x.pairs, np.int64) for x in used]
-    n = np.array([len(r) // 2 for r in raw])
-    codes, times = np.concatenate([r[: len(r) // 2] for r in raw]), np.concatenate([r[len(r) // 2 :] for r in raw])
-    pairs, codes = np.unique(codes, return_inverse=True)
+    n = np.fromiter(map(len, links), np.int64, len(used)) // 8
     starts = np.cumsum(n) - n
+    pairs, codes = np.unique(np.frombuffer(b"".join(links), np.int64), return_inverse=True)
+    times = np.ones(len(codes), np.int64)
+    for s, x in zip(starts, often):
+        if x is not None:
+            times[s : s + len(x)] = x
     # a text's different segments with their numbers, then the pairs of each
     key, often = np.unique(of * len(used) + place, return_counts=True)
     text, seg = key // len(used), key % len(used)
@@ -220,10 +260,6 @@ def _first(values: np.ndarray, texts: int, kind) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(values, kind), mask=pa.array(np.arange(texts) > 0))
 
 
-NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
-INTS, LONGS = T.ArrayType(T.IntegerType()), T.ArrayType(T.LongType())
-
-
 def align(docs: DataFrame, path_a: str, path_b: str, keep_groups: bool = True) -> DataFrame:
     """docs' columns other than text with n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 and, if asked for,
     groups: `a1,a2|b1;a3|b2,b3`, the decimal ids of A and B of each group in order.
@@ -249,7 +285,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, keep_groups: bool = True) -
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             for i, j in blocks(texts, BLOCK):
-                *numbers, groups, at, times, pairs, held = block_columns(c.batch(texts[i:j]))
+                *numbers, groups, at, times, pairs, held = block_columns(*c.batch(texts[i:j]))
                 sha = pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups.to_pylist()], pa.string())
                 if not keep_groups:
                     groups = pa.nulls(j - i, pa.string())

@@ -99,9 +99,13 @@ def occurrences(docs: DataFrame, items: DataFrame, store: Stored, window: int =
     return held.where(F.col("held") == F.col("n") - F.col("k") + 1).select(KEY, F.col("start").alias("at"), "n", "wid"), owners
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 10, block: int = 500_000, spans: bool = False) -> DataFrame:
-    """docs' columns with n_words, n_hit (words inside any occurrence of a window), items (ids with occurring windows,
-    sorted as strings) and, if asked for, spans (array of [start, length) in words, merged).
+def contamination(docs: DataFrame, items: DataFrame, window: int = 10, block: int = 500_000, spans: bool = False, items_too: bool = False) -> DataFrame:
+    """docs' columns with n_words, n_hit (words inside any occurrence of a window), n_items (ids with occurring windows),
+    items_sha256 (of those ids, sorted as strings and joined by commas) and, if asked for, items (the ids) and spans (array
+    of [start, length) in words, merged).
+
+    The number and digest of a set of windows' items are made once and joined to the texts that have the set; the ids
+    themselves only go along if asked for.
 
     Null and empty texts have no words and no hits; items without words, or an empty benchmark, hit nothing; repeated
     rows each get their result; columns of docs with these names are replaced. Texts are known by a 128-bit hash, so a
@@ -115,7 +119,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, block: in
     found = store.put("places", found.groupBy(KEY).agg(F.sort_array(F.collect_set(F.struct("at", "n"))).alias("at"), F.sort_array(F.collect_set("wid")).alias("wids")))
     # the ids of a set of windows are gathered once, however many texts have that set
     ids = found.select("wids").distinct().select("wids", F.explode("wids").alias("wid")).join(owners, "wid").groupBy("wids").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    found = found.join(ids, "wids", "left").drop("wids")
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    sets = store.put("sets", ids.select("wids", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), *(["items"] if items_too else [])))
+    found = found.join(sets, "wids", "left").drop("wids")
     zero = F.lit(0).cast("long")
     merged = F.aggregate(
         "at",
@@ -123,12 +129,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, block: in
         lambda a, x: F.struct((a["hit"] + F.greatest(zero, x["at"] + x["n"] - F.greatest(a["end"], x["at"].cast("long")))).alias("hit"), F.greatest(a["end"], (x["at"] + x["n"]).cast("long")).alias("end")),
         lambda a: a["hit"],
     )
-    found = store.put("found", found.select(KEY, merged.alias("n_hit"), "items", *(["at"] if spans else [])))
-    extra = ["n_words", "n_hit", "items", "contaminated", *(["spans"] if spans else [])]
+    found = store.put("found", found.select(KEY, merged.alias("n_hit"), "n_items", "items_sha256", *(["items"] if items_too else []), *(["at"] if spans else [])))
+    extra = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", *(["items"] if items_too else []), *(["spans"] if spans else [])]
     own = [c for c in docs.columns if c not in extra]
     left = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), text_key(text).alias(KEY), F.size(words(text)).cast("long").alias("n_words"))
     out = left.join(found, KEY, "left").withColumn("n_hit", F.coalesce("n_hit", zero))
-    out = out.select(*(F.col(f"row.`{c}`") for c in own), "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"), (F.col("n_hit") > 0).alias("contaminated"), *(["at"] if spans else []))
+    out = out.select(*(F.col(f"row.`{c}`") for c in own), "n_words", "n_hit", F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), *([F.coalesce("items", F.array().cast("array<string>")).alias("items")] if items_too else []), *(["at"] if spans else []))
     return out.withColumnRenamed("at", "spans") if spans else out
 
 

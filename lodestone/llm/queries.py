@@ -27,8 +27,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = decontam.contamination(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"))
-    ids = F.sha2(F.array_join("items", ",").cast("binary"), 256)
-    return done.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), "contaminated")
+    return done.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,8 +135,9 @@ ORACLES: dict[str, str] = {
         dia AS (SELECT DISTINCT r, t, diagonal FROM hit),
         step AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, t ORDER BY diagonal) > {license.DRIFT} THEN 1 ELSE 0 END AS new FROM dia),
         run AS (SELECT r, t, diagonal, sum(new) OVER (PARTITION BY r, t ORDER BY diagonal) AS run FROM step),
-        span AS (SELECT r, label, count(DISTINCT off) / CAST(grams AS DOUBLE) AS coverage FROM hit JOIN run USING (r, t, diagonal) GROUP BY r, t, label, grams, run
-                 HAVING count(DISTINCT off) >= {license.SHARE}e0 * grams AND max(i) + {license.K} - min(i) <= 2 * (grams + {license.K})),
+        sized AS (SELECT *, max(i) OVER (PARTITION BY r, t, run) + {license.K} - min(i) OVER (PARTITION BY r, t, run) > 2 * (grams + {license.K}) AS overlong FROM hit JOIN run USING (r, t, diagonal)),
+        span AS (SELECT r, label, count(DISTINCT off) / CAST(grams AS DOUBLE) AS coverage FROM sized GROUP BY r, t, label, grams, run, CASE WHEN overlong THEN diagonal END
+                 HAVING count(DISTINCT off) >= {license.SHARE}e0 * grams),
         spanned AS (SELECT r, list(DISTINCT label) AS names, max(coverage) AS best FROM span GROUP BY r)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
                array_to_string(list_sort(coalesce(based.names, [])), ',') AS base_labels,

@@ -21,7 +21,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import Stored, trimmed
@@ -176,7 +176,8 @@ def fit(measured: DataFrame, labels: DataFrame, stratum: str = "lang", risk: flo
     good = F.col("is_good")
     sums = [F.array(*(F.sum((kind & x).cast("long")) for x in tests)).alias(f"{name}_{rule}") for rule, tests in above.items() for name, kind in (("good", good), ("bad", ~good))]
     counts = rows.groupBy("stratum").agg(F.sum(good.cast("long")).alias("good"), *sums)
-    strata = counts.select("*", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))).alias("strata"))  # tallies only: a row a stratum
+    counts = Stored(measured.sparkSession).put("tallies", counts)
+    strata = counts.crossJoin(F.broadcast(counts.agg(F.count(F.lit(1)).alias("strata"))))  # one number beside each tally
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -83,13 +83,18 @@ def test_small_blocks_and_memory(spark, monkeypatch):
         monkeypatch.setattr(alignment, name, value)
     a, want = alignment.Aligner(A, B), brute(texts)
     for i in range(0, len(texts), 9):
-        for t, found, w in zip(texts[i : i + 9], a.batch([t or "" for t in texts[i : i + 9]]), want[i : i + 9]):
-            assert (sum(x.n_a for x in found), sum(x.n_b for x in found), sum(x.n_links for x in found), ";".join(x.text for x in found)) == (w[0], w[1], w[3], w[7]), repr(t)
+        used, place, n = a.batch([t or "" for t in texts[i : i + 9]])
+        ends = np.cumsum(n)
+        for t, s, e, w in zip(texts[i : i + 9], ends - n, ends, want[i : i + 9]):
+            found = [used[k] for k in place[s:e]]
+            assert (sum(x[0] for x in found), sum(x[1] for x in found), sum(x[3] for x in found), ";".join(x[4] for x in found)) == (w[0], w[1], w[3], w[7]), repr(t)
             links = Counter()
             for x in found:
-                raw = np.frombuffer(x.pairs, np.int64)
-                links.update(dict(zip(raw[: len(raw) // 2].tolist(), raw[len(raw) // 2 :].tolist())))
-            assert sum(links.values()) == w[3]
+                pairs = np.frombuffer(x[5], np.int64).tolist()
+                for p, k in zip(pairs, [1] * len(pairs) if x[6] is None else x[6].tolist()):
+                    links[p] += k
+            groups = [[[int(i) for i in side.split(",")] for side in g.split("|")] for g in w[7].split(";")] if w[7] else []
+            assert links == Counter(i * alignment.SHIFT + j for g in groups for i in g[0] for j in g[1])
 
 
 def test_intervals():

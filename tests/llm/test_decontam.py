@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -38,7 +39,7 @@ def test_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, key string, n_hit int, w int").repartition(3)
     it = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, at int")
     for block in (50_000, 7):
-        got = sorted((x.doc_id is None, x.doc_id, x.n_words, x.n_hit, x["items"]) for x in decontam.contamination(df, it, block=block).collect())
+        got = sorted((x.doc_id is None, x.doc_id, x.n_words, x.n_hit, x["items"]) for x in decontam.contamination(df, it, block=block, items_too=True).collect())
         assert got == sorted((i is None, i, *brute(t, items)) for i, t in docs)
     kept = decontam.keep_clean(df, it)
     assert kept.columns == df.columns
@@ -60,7 +61,9 @@ def test_window_of_many_items_and_long_texts(spark):
     it = spark.createDataFrame(items, "item_id long, text string")
     every = sorted(str(i) for i in range(10_000))
     for block in (500_000, 100):
-        got = {x.doc_id: x for x in decontam.contamination(df, it, block=block, spans=True).collect()}
+        got = {x.doc_id: x for x in decontam.contamination(df, it, block=block, spans=True, items_too=True).collect()}
         assert got[1]["items"] == got[2]["items"] == got[3]["items"] == every and got[2].n_words == 200_010
         assert [got[i].n_hit for i in range(1, 6)] == [10, 10, 12, 0, 0] and got[2].spans[0].at == 200_000
         assert {got[i]["_text_key"] for i in got} == {"k"} and got[5]["items"] == []
+        for x in got.values():
+            assert x.n_items == len(x["items"]) and x.items_sha256 == hashlib.sha256(",".join(x["items"]).encode()).hexdigest()

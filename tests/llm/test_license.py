@@ -87,3 +87,27 @@ def test_bodies_edited_and_repeated(spark):
             assert got[name].score == 1 if got[name].n_base else got[name].score == max([0, *(x[3] for x in want)])
     assert all(label in got[str(i)].labels and label in got[f"{i} edited"].labels for i, (label, _) in enumerate(license.BODIES))
     assert "mit" in got["long"].labels and "wtfpl" in got["many"].labels and "chain" in got["chain"].labels and got["many"]._w == 2
+
+
+def test_sql_on_runs_that_are_too_long(spark, tmp_path):
+    """The registered query against its SQL on repeated and edited bodies, whose runs of diagonals are taken apart."""
+    import duckdb
+
+    from lodestone.llm.queries import ORACLES, QUERIES
+
+    r, docs = random.Random(4), []
+    for label, body in license.BODIES:
+        w = body.split()
+        for _ in range(len(w) // 50):
+            at = r.randrange(len(w))
+            w[at : at + 1] = r.choice([[], ["inserted", w[at]], ["changed"]])
+        docs += [" ".join(w), " ".join([body] * 3), " ".join([body] * 12), "lead " + body + " all rights reserved " + " ".join(w)]
+    docs += [None, "", docs[0], docs[0]]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    cur = con.execute(ORACLES["op5_license_scan"])
+    names = [c[0] for c in cur.description]
+    want = sorted(map(repr, cur.fetchall()))
+    assert sorted(map(repr, (tuple(x[n] for n in names) for x in QUERIES["op5_license_scan"](spark, str(tmp_path)).collect()))) == want
+    assert sum("1.0" in x for x in want) > len(license.BODIES)
