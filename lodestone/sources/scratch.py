@@ -51,13 +51,14 @@ class Stored:
         """A path for files of any kind that end with the store."""
         return f"{self.top}/{name}-{uuid.uuid4().hex[:8]}"
 
-    def put(self, name: str, df: DataFrame, rows: int | None = None) -> DataFrame:
-        """rows: at most so many rows come, so that many small partitions become fewer files of up to FILE_ROWS."""
+    def put(self, name: str, df: DataFrame, rows: int | None = None, compact: bool = False) -> DataFrame:
+        """rows: at most so many rows come, so that many small partitions become fewer files of up to FILE_ROWS. compact:
+        smaller files for somewhat more work, where texts are stored."""
         if rows is not None:
             df = df.coalesce(rows // FILE_ROWS + 1)
         self.drop(name)
         path = self.place(name)
-        df.write.parquet(path)
+        df.write.options(**({"compression": "zstd"} if compact else {})).parquet(path)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
