@@ -16,9 +16,11 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents without their source's boilerplate lines; n_chars follows the text."""
-    done = linededup.drop_boilerplate(docs).withColumn("_n", F.when(F.col("n_lines_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return done.select(*(F.col("_n").alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
+    """The same documents without their source's boilerplate lines; n_chars, if there is one, follows the text."""
+    names = [c for c in docs.columns if c != "text"]
+    done = linededup.drop_boilerplate(docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), "source", "text"))
+    n = lambda: F.when(F.col("n_lines_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars")).alias("n_chars")
+    return done.select(*(F.col("text") if c == "text" else n() if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
