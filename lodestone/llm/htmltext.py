@@ -522,7 +522,7 @@ def extract(pages: DataFrame, threshold: float = 0.25, least_pages: int = 5, sha
     with the page, a quote without one at its tag's next angle."""
     store = Stored(pages.sparkSession)
     rest = [c for c in pages.columns if c not in ("html", "text")]
-    parsed = store.put("read", read(pages, rest, declared))
+    parsed = store.put("read", read(pages, rest, declared), compact=True)
     if tree:
         large = parsed.select("_host", "page").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= pool) & (F.col("_host") != ""))
         large = store.put("large", large.select("_host", F.lit(True).alias("_large")))

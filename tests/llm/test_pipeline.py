@@ -57,8 +57,8 @@ def test_odd_tables(spark, tmp_path):
     text = lambda n: " ".join("".join(r.choice("abcdefinorst") for _ in range(r.randrange(2, 8))) for _ in range(n)) + "."
     rows = [(i, text(40), r.choice(["en", None]), r.choice(["s", None]), 3) for i in range(60)]
     rows += [(100, None, None, None, None), (101, "", "en", "s", 0), (None, text(30), None, None, None), (None, None, None, None, None), (102, text(60_000), "en", "s", 1), (5, *rows[5][1:]), (5, *rows[5][1:]), (103, rows[6][1], "en", "s", 3)]
-    more = "row string, _text string, _id long, fp long, _host string, w int, at int, score string, n_words int, _text_key string, kept int"
-    df = spark.createDataFrame([(*x, "r", "t", 1, 2, "h", 3, 4, "s", 5, "k", 6) for x in rows], f"doc_id long, text string, lang string, source string, n_chars long, {more}")
+    more = "row string, _text string, _id long, fp long, _host string, w int, at int, score string, n_words int, _text_key string, kept int, _n string, n_lines_dropped string"
+    df = spark.createDataFrame([(*x, "r", "t", 1, 2, "h", 3, 4, "s", 5, "k", 6, "n", "l") for x in rows], f"doc_id long, text string, lang string, source string, n_chars long, {more}")
     df.write.parquet(f"{tmp_path}/a/documents.parquet")
     labels = [(i, int(i % 4 > 0)) for i in range(60)] + [(None, 1), (7, None)]
     spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/a/labels.parquet")
@@ -67,7 +67,9 @@ def test_odd_tables(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         after = stage(spark, docs, f"{tmp_path}/a")
         assert after.columns == docs.columns and after.dtypes == docs.dtypes, name
-        assert all((x.row, x._text, x._id, x.fp, x._host, x.w, x.at, x.score, x.n_words, x._text_key, x.kept) == ("r", "t", 1, 2, "h", 3, 4, "s", 5, "k", 6) for x in after.collect()), name
+        assert all((x.row, x._text, x._id, x.fp, x._host, x.w, x.at, x.score, x.n_words, x._text_key, x.kept, x._n, x.n_lines_dropped) == ("r", "t", 1, 2, "h", 3, 4, "s", 5, "k", 6, "n", "l") for x in after.collect()), name
+    bare = corpus_pipeline.without_boilerplate(spark, docs.drop("n_chars"), "")
+    assert bare.columns == docs.drop("n_chars").columns and bare.count() == len(rows)
     near = {x.doc_id for x in corpus_pipeline.one_of_each(spark, docs, "").collect()}
     assert 103 not in near and {0, 5, 6, 100, 102} <= near and 101 not in near  # null and empty texts are one class
     clean = corpus_pipeline.without_benchmarks(spark, docs, f"{tmp_path}/a").collect()
