@@ -7,6 +7,7 @@ and that bound can't hold a nearer one, so a second pass visits the remaining ce
 rings around the pivot, the blocks that reach far enough. Under metrics, the distance of x and y is half of that under M_x
 and half of that under M_y: the first is at least (|x - p|_Mx - sqrt(largest eigenvalue of M_x) * radius)^2, the second the
 cell's least eigenvalue times the squared plain distance. A source whose metric has a negative eigenvalue meets all cells.
+Where only targets have metrics (a hub's own), the distance is at least the cell's least eigenvalue times the plain one.
 
 Sources meet cells by an equality join, as blocks of rows; hot cells are salted by how many targets they have. Equal points
 are searched once, and of equal targets only the k with the smallest ids can be among anyone's nearest.
@@ -46,8 +47,10 @@ class Cells:
     def lower(self, x: np.ndarray, m: np.ndarray | None, plain: np.ndarray) -> np.ndarray:
         """Below or at the least distance of each row of x to the rows of each cell."""
         near = np.maximum(0, plain * LESS - self.radius * MORE)
-        if m is None:
+        if not self.metric:
             return near * near * LESS
+        if m is None:  # only targets have metrics
+            return np.where(self.least >= 0, np.maximum(self.least, 0) * near * near * LESS, -np.inf)
         values = np.linalg.eigvalsh(m)
         own = np.zeros(plain.shape)
         for i in range(x.shape[1]):
@@ -106,22 +109,23 @@ def _blocks(rows: DataFrame, order: Sequence[str], width: int) -> DataFrame:
     return rows.mapInArrow(run, "cell int, ids array<bigint>, v array<double>, reach double, bounds array<double>")
 
 
-def nearest_in_cells(sources: DataFrame, targets: DataFrame, k: int, axes: Sequence[str], metric: str | None = None, pivots: int | None = None, compared=None) -> DataFrame:
+def nearest_in_cells(sources: DataFrame, targets: DataFrame, k: int, axes: Sequence[str], metric: str | None = None, pivots: int | None = None, compared=None, of_targets: bool = False) -> DataFrame:
     """(source, target, weight): the k nearest rows of targets (row_id) of each row of sources (row_id), ties by target; the
-    same rows, bit by bit, as nearest() gives.
+    same rows, bit by bit, as nearest() gives. of_targets: only targets have the metric, and it alone counts.
 
     pivots: cells to make, twice the square root of the different points by default and at most PIVOTS; compared: a Spark
     accumulator of the pairs whose distance was computed. Points with a null or non-finite coordinate have no distance and
     are left out of both sides; repeated ids are rows of their own; an empty side gives an empty table."""
     spark, d = targets.sparkSession, len(axes)
     width = d + (d * d if metric else 0)
+    width_s = d if of_targets else width
     store = Stored(spark)
     values = [F.col(a).cast("double") for a in axes] + ([F.col(metric)[i].cast("double") for i in range(d * d)] if metric else [])
-    plain = lambda df: df.select(F.col("row_id").cast("long").alias("id"), F.array(*values).alias("v")).where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
-    mine = store.put("sources", plain(sources))
+    plain = lambda df, n: df.select(F.col("row_id").cast("long").alias("id"), F.array(*values[:n]).alias("v")).where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
+    mine = store.put("sources", plain(sources, width_s))
     one = store.put("one", mine.groupBy("v").agg(F.min("id").alias("id")))  # sources with equal points are searched as one
     smallest = Window.partitionBy("v").orderBy("id")
-    theirs = store.put("targets", plain(targets).withColumn("_r", F.row_number().over(smallest)).where(F.col("_r") <= k).drop("_r"))
+    theirs = store.put("targets", plain(targets, width).withColumn("_r", F.row_number().over(smallest)).where(F.col("_r") <= k).drop("_r"))
 
     count = theirs.count()
     wanted = max(1, min(PIVOTS, pivots or round(2 * count**0.5)))
@@ -161,7 +165,7 @@ def nearest_in_cells(sources: DataFrame, targets: DataFrame, k: int, axes: Seque
         for whole in batches:
             for s in range(0, whole.num_rows, BLOCK):
                 b = whole.slice(s, BLOCK)
-                dist = c.distances(_values(b, "v", width)[:, :d])
+                dist = c.distances(_values(b, "v", width_s)[:, :d])
                 order = np.argsort(np.where(c.count > 0, dist, np.inf), axis=1, kind="stable")
                 before = np.cumsum(c.count[order], axis=1) - c.count[order]
                 rows, cols = np.nonzero((before < k) & (c.count[order] > 0))
@@ -174,7 +178,7 @@ def nearest_in_cells(sources: DataFrame, targets: DataFrame, k: int, axes: Seque
         for whole in batches:
             for s in range(0, whole.num_rows, BLOCK):
                 b = whole.slice(s, BLOCK)
-                v, bound = _values(b, "v", width), b.column("bound").to_numpy(zero_copy_only=False)
+                v, bound = _values(b, "v", width_s), b.column("bound").to_numpy(zero_copy_only=False)
                 dist = c.distances(v[:, :d])
                 order = np.argsort(np.where(c.count > 0, dist, np.inf), axis=1, kind="stable")
                 met = np.zeros(dist.shape, bool)
@@ -201,7 +205,7 @@ def nearest_in_cells(sources: DataFrame, targets: DataFrame, k: int, axes: Seque
                     if best is not None:
                         yield done()
                     ids, best = a.copy(), None
-                    x, bound = get("v").reshape(-1, width).copy(), get("bounds").copy()
+                    x, bound = get("v").reshape(-1, width_s).copy(), get("bounds").copy()
                 cell, reach = b.column("cell")[i].as_py(), b.column("reach")[i].as_py()
                 # of the cell, this block has rows up to `reach` from the pivot only
                 part = Cells(c.pivots[cell : cell + 1], c.metric)
@@ -221,7 +225,7 @@ def nearest_in_cells(sources: DataFrame, targets: DataFrame, k: int, axes: Seque
             yield done()
 
     def searched(asked: DataFrame) -> DataFrame:
-        left = _blocks(asked, ["cell", "id"], width).drop("reach").join(F.broadcast(salts), "cell").withColumn("salt", F.pmod(F.xxhash64(F.col("ids")[0]), "salts").cast("int")).drop("salts")
+        left = _blocks(asked, ["cell", "id"], width_s).drop("reach").join(F.broadcast(salts), "cell").withColumn("salt", F.pmod(F.xxhash64(F.col("ids")[0]), "salts").cast("int")).drop("salts")
         right = blocks.join(F.broadcast(salts), "cell").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
         right = right.select("cell", "salt", F.col("ids").alias("t_ids"), F.col("v").alias("t_v"), "reach")
         pairs = left.repartition(parts, "cell", "salt").join(right.repartition(parts, "cell", "salt"), ["cell", "salt"])

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import distance as D
+from lodestone.operators.cells import nearest_in_cells
 from lodestone.operators.precompute import metrics
 
-#: Hubs that one task holds: their parameters and metrics, a few hundred bytes each.
+#: Hubs up to which a task holds them all: their parameters and metrics, a few hundred bytes each.
 MOST_HUBS = 100_000
 
 
@@ -25,11 +26,14 @@ def hub_metrics(points: DataFrame, hubs: DataFrame, chain, axes: Sequence[str],
 def allocation(points: DataFrame, hub_table: DataFrame, axes: Sequence[str]) -> DataFrame:
     """(row_id, hub) of the nearest hub, the first on ties. hub_table: (hub, row_id, m).
 
-    Hubs are a configured sample of the points (at most MOST_HUBS, checked); they travel with the task, and only two
-    numbers a point come back."""
-    rows = hub_table.join(points, "row_id").select("hub", "m", *axes).orderBy("hub").limit(MOST_HUBS + 1).collect()
-    if len(rows) > MOST_HUBS:
-        raise ValueError(f"more than {MOST_HUBS} hubs")
+    Hubs are a configured sample of the points. Up to MOST_HUBS they travel with the tasks, and only two numbers a point come
+    back; beyond, they are put into metric cells, and points meet the cells that bounds leave open: the same rows, with
+    nothing gathered but the cells' pivots."""
+    mine = hub_table.join(points, "row_id").select("hub", "m", *axes)
+    if mine.count() > MOST_HUBS:
+        near = nearest_in_cells(points, mine.withColumnRenamed("hub", "row_id"), 1, axes, "m", of_targets=True)
+        return near.select(F.col("source").alias("row_id"), F.col("target").cast("int").alias("hub"))
+    rows = mine.orderBy("hub").collect()
     shared = points.sparkSession.sparkContext.broadcast(([r.hub for r in rows], np.array([list(r)[2:] for r in rows], float), np.array([r.m for r in rows], float)))
 
     def run(batches):

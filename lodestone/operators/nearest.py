@@ -28,13 +28,13 @@ def _packed(points: DataFrame, ids: str, axes: Sequence[str], metric: str | None
 
 def compare(x: np.ndarray, ids: np.ndarray, y: np.ndarray, take: int, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of x, ids and distances of the `take` nearest of y, by row, distance and id. ids are sorted; x and y have d
-    coordinates and then, if anything, a metric."""
-    found, metric = [], x.shape[1] > d
+    coordinates and then, if anything, a metric: distances are under the mean of both, or that of y if only y has one."""
+    found = []
     c, mc = list(y[:, :d].T), list(y[:, d:].T)
     for at in range(0, len(x), ROWS):
         s = x[at : at + ROWS]
         r, mr = [v[:, None] for v in s[:, :d].T], [v[:, None] for v in s[:, d:].T]
-        q = D.symmetric_pnp(c, r, mc, mr) if metric else D.ploss(c, r)
+        q = D.symmetric_pnp(c, r, mc, mr) if mr else D.pnp(r, c, mc) if mc else D.ploss(c, r)
         n = min(take, len(y))
         rows, cols = np.nonzero(q <= np.partition(q, n - 1, axis=1)[:, n - 1 : n])
         found.append((rows + at, ids[cols], q[rows, cols]))

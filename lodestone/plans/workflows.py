@@ -14,14 +14,14 @@ METHODS = ("Bruteforce", "PNP", "P-loss")
 
 
 def precompute_store(spark: SparkSession, folder: str, chain, bounds: dict = grid.BOUNDS, subdiv: int = 10, most: int = 10_000, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Write the grid's CSV and the features of its first `most` rows; give both, read back."""
+    """Write the grid's CSV and the features of its first `most` rows, the latter range by range, so that a stopped run can
+    go on; give both, read back."""
     axes = tuple(bounds)
     points = grid.grid(spark, bounds, subdiv)
     grid.write_csv(points, f"{folder}/points.csv")
     points = grid.read_csv(spark, f"{folder}/points.csv", axes)
     cores = partitions or 4 * spark.sparkContext.defaultParallelism
-    store.write(precompute.features(grid.first_rows(points, most), chain, axes, cores), f"{folder}/features")
-    return points, store.read(spark, f"{folder}/features")
+    return points, precompute.resumable(grid.first_rows(points, most), lambda p: precompute.features(p, chain, axes, cores), f"{folder}/features")
 
 
 def compare_methods(points: DataFrame, features: DataFrame, chain, ref_id: int, k: int, axes: Sequence[str] = AXES) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
@@ -41,7 +41,7 @@ def build_graph(points: DataFrame, folder: str, chain, n_hubs: int = 2000, k: in
     store.write(graph.nodes(points, axes), f"{folder}/nodes", "id")
     store.write(graph.knn_edges(placed, k, axes), f"{folder}/edges", "source")
     nodes, edges = store.read(spark, f"{folder}/nodes"), store.read(spark, f"{folder}/edges")
-    export.write_graphml(nodes, edges, f"{folder}/graphml")
+    export.write_graphml_file(nodes, edges, f"{folder}/graph.graphml")
     return nodes, edges
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 import wave
 
 import numpy as np
@@ -48,6 +49,38 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     graphml_lines(nodes, edges).repartitionByRange("part", "a", "b").sortWithinPartitions("part", "a", "b").select("line").write.mode("overwrite").text(path)
 
 
+def write_graphml_file(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """One GraphML document at path. Its parts are written in parallel, then put together in order by the file system: by
+    reference where it can (HDFS), else as a stream of bytes that holds one buffer; the document takes its name as a whole."""
+    spark = nodes.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop
+    where, top = lambda p: hadoop.fs.Path(p), f"{path}._parts-{uuid.uuid4().hex}"
+    write_graphml(nodes, edges, top)
+    files = where(path).getFileSystem(conf)
+    parts = sorted((f.getPath() for f in files.listStatus(where(top)) if f.getPath().getName().startswith("part-") and f.getLen()), key=lambda p: p.getName())
+    whole = where(f"{top}/whole")
+    out = files.create(whole)
+    try:
+        if files.getScheme() != "hdfs":
+            for p in parts:
+                source = files.open(p)
+                try:
+                    hadoop.io.IOUtils.copyBytes(source, out, conf, False)
+                finally:
+                    source.close()
+    finally:
+        out.close()
+    if files.getScheme() == "hdfs":
+        array = spark.sparkContext._gateway.new_array(hadoop.fs.Path, len(parts))
+        for i, p in enumerate(parts):
+            array[i] = p
+        files.concat(whole, array)
+    files.delete(where(path), True)
+    files.rename(whole, where(path))
+    files.delete(where(top), True)
+
+
 def layout_nodes(layout: DataFrame, nodes: DataFrame) -> DataFrame:
     """(vertex, x, y, features as text), joined by id."""
     return layout.join(nodes.select(F.col("id").alias("vertex"), feature_string(F.col("features")).alias("features")), "vertex")

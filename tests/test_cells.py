@@ -56,3 +56,29 @@ def test_copies_ties_and_two_tables(spark):
     odd = t.union(spark.createDataFrame([(9000, None, 1.0), (9001, float("nan"), 1.0), (9002, float("inf"), 1.0)], t.schema))
     assert rows(nearest_in_cells(odd, odd, 3, "ab")) == rows(nearest(t, t, 3, "ab"))
     assert nearest_in_cells(t.limit(0), t, 3, "ab").count() == nearest_in_cells(t, t.limit(0), 3, "ab").count() == 0
+
+
+@pytest.mark.parametrize("coefficients", [3, 5])
+def test_allocation_in_cells(spark, monkeypatch, coefficients):
+    """Beyond the number that tasks hold, hubs are met through cells: the same rows."""
+    p = grid.grid(spark, subdiv=5)
+    table = hubs.hub_metrics(p, grid.hub_ids(spark, 625, 90), Quadratic(coefficients), AXES).persist()
+    want = rows(hubs.allocation(p, table, AXES))
+    monkeypatch.setattr(hubs, "MOST_HUBS", 10)
+    assert rows(hubs.allocation(p, table, AXES)) == want
+
+
+def test_more_hubs_than_a_task_holds(spark):
+    n = hubs.MOST_HUBS + 1
+    at = lambda name, a: (F.pmod(F.xxhash64(F.lit(name), a), F.lit(1_000_003)) / 1000.0)
+    p = spark.range(n).select(F.col("id").alias("row_id"), at("x", "id").alias("x"), at("y", "id").alias("y"))
+    table = p.select(F.col("row_id").cast("int").alias("hub"), "row_id", F.array(1 + at("m", "row_id") / 1000, F.lit(0.25), F.lit(0.25), F.lit(1.5)).alias("m"))
+    some = p.where("row_id % 400 = 7")
+    moved = some.select((F.col("row_id") + n).alias("row_id"), (F.col("x") + 0.3).alias("x"), F.col("y"))
+    got = dict(rows(hubs.allocation(p.union(moved), table, "xy").where(F.col("row_id") >= n)))
+    h = np.array([(r.x, r.y, *r.m) for r in p.join(table, "row_id").orderBy("row_id").collect()])
+    for r in moved.collect():
+        dx, dy = h[:, 0] - r.x, h[:, 1] - r.y
+        q = h[:, 2] * dx * dx + h[:, 3] * dx * dy + h[:, 4] * dy * dx + h[:, 5] * dy * dy
+        assert got[r.row_id] == q.argmin()
+    assert len(got) == some.count()
