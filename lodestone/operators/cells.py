@@ -109,21 +109,25 @@ def _blocks(rows: DataFrame, order: Sequence[str], width: int) -> DataFrame:
     return rows.mapInArrow(run, "cell int, ids array<bigint>, v array<double>, reach double, bounds array<double>")
 
 
-def nearest_in_cells(sources: DataFrame, targets: DataFrame, k: int, axes: Sequence[str], metric: str | None = None, pivots: int | None = None, compared=None, of_targets: bool = False) -> DataFrame:
+def nearest_in_cells(sources: DataFrame, targets: DataFrame, k: int, axes: Sequence[str], metric: str | None = None, pivots: int | None = None, compared=None, of_targets: bool = False, bounds: DataFrame | None = None) -> DataFrame:
     """(source, target, weight): the k nearest rows of targets (row_id) of each row of sources (row_id), ties by target; the
     same rows, bit by bit, as nearest() gives. of_targets: only targets have the metric, and it alone counts.
+    bounds: (row_id, bound) of sources that ask only for targets at or below a bound, up to k; others ask for nothing.
 
     pivots: cells to make, twice the square root of the different points by default and at most PIVOTS; compared: a Spark
     accumulator of the pairs whose distance was computed. Points with a null or non-finite coordinate have no distance and
     are left out of both sides; repeated ids are rows of their own; an empty side gives an empty table."""
     spark, d = targets.sparkSession, len(axes)
     width = d + (d * d if metric else 0)
-    width_s = d if of_targets else width
+    width_s, unbounded = d if of_targets else width, bounds is None
     store = Stored(spark)
     values = [F.col(a).cast("double") for a in axes] + ([F.col(metric)[i].cast("double") for i in range(d * d)] if metric else [])
     plain = lambda df, n: df.select(F.col("row_id").cast("long").alias("id"), F.array(*values[:n]).alias("v")).where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
     mine = store.put("sources", plain(sources, width_s))
-    one = store.put("one", mine.groupBy("v").agg(F.min("id").alias("id")))  # sources with equal points are searched as one
+    if bounds is not None:
+        mine = store.put("bounded", mine.join(bounds.select(F.col("row_id").cast("long").alias("id"), F.col("bound").cast("double").alias("bound")), "id"))
+    # sources with equal points are searched as one
+    one = store.put("one", mine.groupBy("v").agg(F.min("id").alias("id"), *([F.max("bound").alias("bound")] if bounds is not None else [])))
     smallest = Window.partitionBy("v").orderBy("id")
     theirs = store.put("targets", plain(targets, width).withColumn("_r", F.row_number().over(smallest)).where(F.col("_r") <= k).drop("_r"))
 
@@ -182,7 +186,8 @@ def nearest_in_cells(sources: DataFrame, targets: DataFrame, k: int, axes: Seque
                 dist = c.distances(v[:, :d])
                 order = np.argsort(np.where(c.count > 0, dist, np.inf), axis=1, kind="stable")
                 met = np.zeros(dist.shape, bool)
-                np.put_along_axis(met, order, (np.cumsum(c.count[order], axis=1) - c.count[order]) < k, axis=1)
+                if unbounded:
+                    np.put_along_axis(met, order, (np.cumsum(c.count[order], axis=1) - c.count[order]) < k, axis=1)
                 rows, cell = np.nonzero((c.lower(v[:, :d], _metrics(v, d), dist) <= bound[:, None]) & ~met & (c.count > 0))
                 yield _asked(b, rows, cell, dist[rows, cell], bound[rows])
 
@@ -235,11 +240,17 @@ def nearest_in_cells(sources: DataFrame, targets: DataFrame, k: int, axes: Seque
         order = Window.partitionBy("source").orderBy("weight", "target")
         return found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
 
-    near = store.put("near", searched(one.mapInArrow(around, row)))
-    bounds = near.groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("w"))
-    bounded = one.join(bounds, "id").select("id", "v", F.when(F.col("n") >= k, F.col("w")).otherwise(F.lit(float("inf"))).alias("bound"))
-    far = store.put("far", searched(bounded.mapInArrow(beyond, row)))
-    found = store.put("found", top(near.unionByName(far)))
+    if bounds is None:
+        near = store.put("near", searched(one.mapInArrow(around, row)))
+        reached = near.groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("w"))
+        bounded = one.join(reached, "id").select("id", "v", F.when(F.col("n") >= k, F.col("w")).otherwise(F.lit(float("inf"))).alias("bound"))
+        found = top(near.unionByName(store.put("far", searched(bounded.mapInArrow(beyond, row)))))
+    else:
+        found = searched(one.select("id", "v", "bound").mapInArrow(beyond, row))
+    found = store.put("found", found)
     store.drop("near", "far", "placed", "blocks", "targets")
+    if bounds is not None:  # equal points may have asked for less
+        own = mine.select("id", "v", "bound").join(one.select(F.col("id").alias("source"), "v"), "v").select("id", "source", "bound")
+        return found.join(own, "source").where("weight <= bound").select(F.col("id").alias("source"), "target", "weight")
     same = mine.join(one.withColumnRenamed("id", "source"), "v").select("id", "source")
     return found.join(same, "source").select(F.col("id").alias("source"), "target", "weight")

@@ -82,3 +82,22 @@ def test_more_hubs_than_a_task_holds(spark):
         q = h[:, 2] * dx * dx + h[:, 3] * dx * dy + h[:, 4] * dy * dx + h[:, 5] * dy * dy
         assert got[r.row_id] == q.argmin()
     assert len(got) == some.count()
+
+
+@pytest.mark.parametrize("metric", [None, "m"])
+def test_graph_upkeep(spark, metric):
+    """A base brought up to date with batches equals the whole rebuilt, with copies and ties among old and new points."""
+    r = np.random.default_rng(8)
+    x = np.r_[r.normal(0, 5, (400, 2)), r.integers(0, 4, (200, 2)), np.ones((90, 2))]
+    g = r.normal(size=(len(x), 2, 2))
+    data = [(i, float(a), float(b), [float(v) for v in (m @ m.T).ravel()] if i < 600 else [1.0, 0.0, 0.0, 1.0]) for i, ((a, b), m) in enumerate(zip(x, g))]
+    p = spark.createDataFrame([data[i] for i in r.permutation(len(data))], "row_id long, x double, y double, m array<double>").repartition(4)
+    base = p.where("row_id % 7 > 1")
+    near = graph.nearest_pairs(base, 4, "xy", metric)
+    for part in (1, 0):
+        batch = p.where(f"row_id % 7 = {part}")
+        near = graph.updated_pairs(base, near, batch, 4, "xy", metric).persist()
+        base = base.union(batch)
+    assert rows(near) == rows(graph.nearest_pairs(p, 4, "xy", metric))
+    few = p.where("row_id < 3")  # fewer points than neighbours
+    assert rows(graph.updated_pairs(few, graph.nearest_pairs(few, 4, "xy", metric), p.where("row_id >= 3"), 4, "xy", metric)) == rows(near)
