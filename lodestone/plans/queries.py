@@ -119,6 +119,14 @@ def s_lookup_last(spark, sf):
     return store.lookup(kept, orders, "price").select("row_id", "price")
 
 
+def s_keyed_groups(spark, sf):
+    """Line items stored in buckets by order: those of urgent orders, counted by order, without a shuffle of the store."""
+    items = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("row_id"), F.col("l_extendedprice").alias("price"))
+    urgent = spark.read.parquet(f"{sf}/orders.parquet").where(F.col("o_orderpriority").startswith("1")).select(F.col("o_orderkey").alias("row_id"))
+    kept = store.write_keyed(items, Stored(spark).place("items"), 16)
+    return store.hub_rows(kept, urgent).groupBy("row_id").agg(F.count(F.lit(1)).alias("n"), F.max("price").alias("price"))
+
+
 def s_lookup_ordered(spark, sf):
     return store.lookup(_store(spark, sf), HUB_REQUEST).select("pos", "row_id", F.size("s").alias("n"), F.col("s")[0].cast("double").alias("s0"), F.col("s")[63].cast("double").alias("s63"))
 
@@ -370,7 +378,7 @@ def _tasks(spark) -> int:
 QUERIES = {
     f.__name__: f
     for f in (
-        knn_bruteforce, theta_grid, theta_grid_f32, theta_grid_first, theta_grid_five_axes, csv_positions, hub_ids, s_lookup_last, s_lookup_ordered, s_lookup_batched, s_filtered_scan, s_hub_semijoin,
+        knn_bruteforce, theta_grid, theta_grid_f32, theta_grid_first, theta_grid_five_axes, csv_positions, hub_ids, s_lookup_last, s_keyed_groups, s_lookup_ordered, s_lookup_batched, s_filtered_scan, s_hub_semijoin,
         ploss_dist, pnp_dist, sym_pnp_dist, bruteforce_dist, knn_ploss, knn_pnp, knn_bruteforce_theta, knn_many_references, hub_allocation_whole, metric_tensor_whole,
         knn_graph_edges_whole, knn_graph_plain, knn_graph_upkeep, knn_graph_orders, knn_graph_blocks, knn_graph_undirected_whole, knn_graph_stats_whole, graph_isolated_whole, graph_selfloops, iou_curve, iou_curve_ploss, iou_self, method_trade_off,
         drum_coefs, drum_coefs_as_written, drum_modes_whole, drum_mode_block, drum_waveform, physics_to_percept, percept_to_physics, log1p_features_whole, feature_strings, graphml_lines,
@@ -518,6 +526,7 @@ ORACLES = {
     "csv_positions": f"SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, tau, p, d, alpha FROM {_P}",
     "hub_ids": f"SELECT * FROM {_hubs()}",
     "s_lookup_last": "SELECT l_orderkey AS row_id, arg_max(l_extendedprice, (l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)) AS price FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY l_orderkey",
+    "s_keyed_groups": "SELECT l_orderkey AS row_id, count(*) AS n, max(l_extendedprice) AS price FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '1%') GROUP BY l_orderkey",
     "s_lookup_ordered": f"SELECT CAST(pos AS BIGINT) AS pos, row_id, CAST(len(s) AS INTEGER) AS n, CAST(s[1] AS DOUBLE) AS s0, CAST(s[64] AS DOUBLE) AS s63 FROM (VALUES {_REQUEST}) AS q(pos, row_id) JOIN {_STORE} USING (row_id)",
     "s_lookup_batched": f"SELECT CAST(pos // 3 AS BIGINT) AS batch, CAST(pos AS BIGINT) AS pos, row_id, CAST(s[2] AS DOUBLE) AS s1 FROM (VALUES {_REQUEST}) AS q(pos, row_id) JOIN {_STORE} USING (row_id)",
     "s_filtered_scan": f"SELECT row_id, CAST(s[1] AS DOUBLE) AS s0 FROM {_STORE} WHERE row_id IN ({', '.join(map(str, HUB_REQUEST))})",

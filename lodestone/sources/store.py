@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
@@ -24,6 +25,34 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _keyed_name(path: str) -> str:
+    return f"keyed_{hashlib.md5(path.encode()).hexdigest()[:16]}"
+
+
+def write_keyed(df: DataFrame, path: str, buckets: int = 64, key: str = "row_id") -> DataFrame:
+    """Write df under path dealt into buckets by its key, sorted, with Bloom filters on it; gives the table.
+
+    A bucket is one file, so joins and groups by the key need no shuffle of the store, whatever its size, and a scan for a few
+    keys skips files by filter. What a later session must know of the buckets lies beside them."""
+    bloom = {f"parquet.bloom.filter.enabled#{key}": "true"}
+    spark = df.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS {_keyed_name(path)}")
+    writer = df.repartition(buckets, key).write.format("parquet").options(path=path, **bloom).bucketBy(buckets, key).sortBy(key)
+    writer.mode("overwrite").saveAsTable(_keyed_name(path))
+    spark.createDataFrame([(buckets, key)], "buckets int, key string").coalesce(1).write.mode("overwrite").json(f"{path}/_keyed")
+    return read_keyed(spark, path)
+
+
+def read_keyed(spark: SparkSession, path: str) -> DataFrame:
+    """The table that write_keyed wrote under path, known to this session as one in buckets."""
+    name = _keyed_name(path)
+    if not spark.catalog.tableExists(name):
+        of = spark.read.schema("buckets int, key string").json(f"{path}/_keyed").first()
+        columns = spark.read.parquet(path)._jdf.schema().toDDL()
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{of.key}`) SORTED BY (`{of.key}`) INTO {of.buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def from_wide(df: DataFrame, key: str = "row_id") -> DataFrame:
     """(row_id, s) from a table of one float column a coefficient, named 0, 1, ..."""
     names = sorted((c for c in df.columns if c != key), key=int)

@@ -84,6 +84,26 @@ def test_last_stored_row_wins(spark, tmp_path):
     assert store.storage_order(memory) is None and [r.s for r in store.lookup(memory, [3, 1]).collect()] == [[9.0], [8.0]]
 
 
+def test_keyed_store(spark, tmp_path):
+    """Joins and groups by the key leave the store where it is; another session finds the buckets again."""
+    df = spark.range(5000).select((F.col("id") % 700).alias("row_id"), F.col("id").alias("x"))
+    kept = store.write_keyed(df, f"{tmp_path}/k", 6)
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, df.collect()))
+    assert len([f for f in (tmp_path / "k").glob("*.parquet")]) == 6
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        spark.sql(f"DROP TABLE {store._keyed_name(f'{tmp_path}/k')}")
+        kept = store.read_keyed(spark, f"{tmp_path}/k")
+        wanted = spark.createDataFrame([(5,), (6,), (9999,)], "row_id long")
+        for out in (store.hub_rows(kept, wanted).groupBy("row_id").count(), kept.join(wanted, "row_id").select("row_id", F.lit(1).alias("count"))):
+            plan = out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+            assert plan.count("Exchange") == 1, plan  # of what is asked for
+        assert {(r.row_id, r["count"]) for r in store.hub_rows(kept, wanted).groupBy("row_id").count().collect()} == {(5, 8), (6, 8)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_store(spark, tmp_path):
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(100)] + [(7, [0.5, 2.0])], "row_id long, s array<float>")
     store.write(df, f"{tmp_path}/s")
