@@ -15,7 +15,7 @@ from lodestone.functions import distance as D
 from lodestone.functions import drum as M
 from lodestone.functions.features import JointScattering
 from lodestone.functions.metric import Chain, Quadratic
-from lodestone.operators import evaluate, graph, hubs, knn, layout, precompute
+from lodestone.operators import evaluate, graph, hubs, indexed, knn, layout, precompute
 from lodestone.schemas import AXES
 from lodestone.sources import export, grid, store
 from lodestone.sources.scratch import Stored
@@ -182,6 +182,20 @@ def knn_bruteforce_theta(spark, sf):
     return knn.knn(p, REF, K, "Bruteforce", store=_feature_columns(p))
 
 
+def _order_vectors(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    parts = (F.col("o_totalprice") / 1e3, F.datediff("o_orderdate", F.lit("1995-01-01")).cast("double"), F.col("o_custkey") / 10.0)
+    return o.select(F.col("o_orderkey").alias("row_id"), F.array(*parts).alias("s"))
+
+
+def knn_indexed(spark, sf):
+    """Neighbours of one order among all, by an index of pivot distances."""
+    s = _order_vectors(spark, sf)
+    path = Stored(spark).place("index")
+    indexed.write(s, path)
+    return indexed.knn(spark, path, REF, knn._reference(s, REF, ["s"])[0], K)
+
+
 def knn_many_references(spark, sf):
     return knn.knn_many(_points(spark, sf), _hub_ids(spark, sf, 25).select(F.col("row_id").alias("ref_id")), 10, AXES)
 
@@ -379,7 +393,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         knn_bruteforce, theta_grid, theta_grid_f32, theta_grid_first, theta_grid_five_axes, csv_positions, hub_ids, s_lookup_last, s_keyed_groups, s_lookup_ordered, s_lookup_batched, s_filtered_scan, s_hub_semijoin,
-        ploss_dist, pnp_dist, sym_pnp_dist, bruteforce_dist, knn_ploss, knn_pnp, knn_bruteforce_theta, knn_many_references, hub_allocation_whole, metric_tensor_whole,
+        ploss_dist, pnp_dist, sym_pnp_dist, bruteforce_dist, knn_ploss, knn_pnp, knn_bruteforce_theta, knn_indexed, knn_many_references, hub_allocation_whole, metric_tensor_whole,
         knn_graph_edges_whole, knn_graph_plain, knn_graph_upkeep, knn_graph_orders, knn_graph_blocks, knn_graph_undirected_whole, knn_graph_stats_whole, graph_isolated_whole, graph_selfloops, iou_curve, iou_curve_ploss, iou_self, method_trade_off,
         drum_coefs, drum_coefs_as_written, drum_modes_whole, drum_mode_block, drum_waveform, physics_to_percept, percept_to_physics, log1p_features_whole, feature_strings, graphml_lines,
         layout_edges_whole, layout_nodes_whole, knn_pnp_scattering, feature_precompute_full, metric_hub_full_chain, wav_frames_full,
@@ -539,6 +553,7 @@ ORACLES = {
     "knn_pnp": _KNN_PNP,
     "knn_bruteforce": _knn(_FOLD.format(c="c.s::DOUBLE[]", r="r.s::DOUBLE[]"), _STORE, K),
     "knn_bruteforce_theta": _KNN_BF,
+    "knn_indexed": _knn(_FOLD.format(c="c.s", r="r.s"), f"(SELECT row_id, [price, day, customer] AS s FROM {_ORDERS})", K),
     "knn_many_references": f"SELECT r.row_id AS ref_id, CAST(row_number() OVER (PARTITION BY r.row_id ORDER BY {_ploss('c', 'r')}, c.row_id) - 1 AS INTEGER) AS rank, c.row_id, {_ploss('c', 'r')} AS dist FROM {_P} c, (SELECT * FROM {_P} SEMI JOIN {_hubs(25)} USING (row_id)) r QUALIFY rank < 10",
     "hub_allocation_whole": f"WITH pt AS MATERIALIZED (SELECT * FROM {_P}), {_alloc(_hubs(), 'pt')} SELECT * FROM alloc",
     "metric_tensor_whole": _tensor(_P, _hubs()),
