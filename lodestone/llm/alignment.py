@@ -32,8 +32,9 @@ from pyspark.sql import types as T
 from lodestone.llm.bpe import blocks
 from lodestone.llm.common import Stored, trimmed
 
-#: Segments that a worker remembers and their longest; characters of a block; links that are expanded at once.
-REMEMBER, LONGEST, BLOCK, EXPAND = 250_000, 64, 2_000_000, 2_000_000
+#: Segments that a worker remembers and their longest; characters of a block; links that are expanded at once; characters of
+#: segments that are encoded together.
+REMEMBER, LONGEST, BLOCK, EXPAND, TOGETHER = 250_000, 64, 2_000_000, 2_000_000, 2_000
 #: An id pair is one number: A's id times SHIFT plus B's.
 SHIFT = 1 << 31
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -90,15 +91,40 @@ class Aligner:
         self.again: set[str] = set()  # remembered segments that later blocks have used
 
     def align(self, texts: list[str]) -> list[Alignment | None]:
-        """The alignment of each text; None where the bytes of A's or B's tokens differ from a space and the text."""
+        """The alignment of each text; None where the bytes of A's or B's tokens differ from a space and the text.
+
+        Texts without white space at their ends are put together first, since there tokens of both end between them."""
+        out: list[Alignment | None] = [None] * len(texts)
+        alone = [i for i, t in enumerate(texts) if not t or t[0].isspace() or t[-1].isspace()]
+        plain = [i for i, t in enumerate(texts) if t and not t[0].isspace() and not t[-1].isspace()]
+        parts = [plain[i:j] for i, j in blocks([texts[i] for i in plain], TOGETHER)]
+        joined = [" ".join(map(texts.__getitem__, part)) for part in parts]
+        kept, *both = self._encoded(joined)
+        alone += [i for k in set(range(len(parts))).difference(kept) for i in parts[k]]
+        if kept:
+            good = [i for k in kept for i in parts[k]]
+            sizes = np.cumsum(np.fromiter((len(texts[i].encode("utf-8", "surrogatepass")) + 1 for i in good), np.int64, len(good)))
+            at = [np.searchsorted(ends, sizes) for _, _, ends in both]
+            if all(np.array_equal(ends[x], sizes) for x, (_, _, ends) in zip(at, both)):
+                self._aligned(good, *((np.diff(x, prepend=-1), flat, ends) for x, (_, flat, ends) in zip(at, both)), out)
+            else:
+                alone += good
+        if alone:
+            kept, *both = self._encoded([texts[i] for i in alone])
+            if kept:
+                self._aligned([alone[k] for k in kept], *both, out)
+        return out
+
+    def _encoded(self, texts: list[str]) -> tuple:
+        """The texts that both tokenizers' bytes give back, and of A and B for those the numbers of tokens, all ids and where
+        they end."""
         texts_a = [" " + t for t in texts]
         ids_a = [e.ids for e in self.a.encode_batch_fast(texts_a, add_special_tokens=False)]
-        ids_b = self.b.encode(texts, num_threads=1)
-        raw = [t.encode("utf-8", "surrogatepass") for t in texts_a]
-        good, (n_a, flat_a, ends_a), (n_b, flat_b, ends_b) = self._same(raw, ids_a, ids_b)
-        out: list[Alignment | None] = [None] * len(texts)
-        if not good:
-            return out
+        return self._same([t.encode("utf-8", "surrogatepass") for t in texts_a], ids_a, self.b.encode(texts, num_threads=1))
+
+    def _aligned(self, good: list[int], of_a: tuple, of_b: tuple, out: list[Alignment | None]) -> None:
+        """Put the alignments of texts that are `good` into out."""
+        (n_a, flat_a, ends_a), (n_b, flat_b, ends_b) = of_a, of_b
         a, b, group = intervals(ends_a, ends_b)
         # the tokens of a group: an interval that starts one gives it
         group_a, group_b = group[np.diff(a, prepend=-1) > 0], group[np.diff(b, prepend=-1) > 0]
@@ -123,7 +149,6 @@ class Aligner:
                 mine = codes if times is not None else codes[8 * (x - first) : 8 * (y - first)]
                 out[good[k]] = n_a[k], n_b[k], t - s, y - x, names[s] if t == s + 1 else ";".join(names[s:t]), mine, times
             lo = hi
-        return out
 
     def _same(self, raw: list[bytes], ids_a: list[list[int]], ids_b: list[list[int]]) -> tuple:
         """The texts that both tokenizers' bytes give back, and of each tokenizer for those the numbers of tokens, all ids and

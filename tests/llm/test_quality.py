@@ -134,3 +134,11 @@ def test_long_text_in_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(x) == round(len(data) / 1024) and peak < 2 * len(data)
+
+
+def test_scores_do_not_depend_on_the_batch():
+    r = np.random.default_rng(3)
+    bags = [np.abs(r.normal(size=(int(r.integers(1, 40)), quality.WIDTH))).astype("f4") for _ in range(60)]
+    m = quality.train(bags, (np.arange(60) % 2).astype("f4"), steps=5)
+    together = m.score(bags)[0]
+    assert [m.score([b])[0][0] for b in bags] == together.tolist() == m.score(bags[::-1])[0][::-1].tolist()
