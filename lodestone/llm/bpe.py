@@ -1,10 +1,10 @@
 """BPE encoding and decoding of whole texts with a public tokenizer file.
 
 Long texts (of more than EACH leaves) aren't split at words: they are cut into leaves of `leaf` characters wherever that falls
-and encoded by tree concatenation. Leaves are encoded in parallel and neighbours joined level by level. At each join a window
-of tokens on both sides is encoded again, grown until it lies between white space, which never is inside a word of the
-tokenizer, and starts with the same tokens at the same places as the left side has there and ends with the same as the
-right side, or covers a side.
+and encoded by tree concatenation. Leaves are encoded by themselves and neighbours joined level by level, all joins of a level
+in parallel. At each join a window of what both sides have around it, between white space, which never is inside a word of the
+tokenizer, is encoded again and grown until it starts with the same tokens as the left side has there and ends with the same
+as the right side, or covers a side.
 
 Short texts are cut at ASCII white space, and words are encoded once and remembered in a bounded memory. A text with a word of
 more than `leaf` characters is cut there too, and such a word is encoded by a tree of its own, without white space to go by: its leaves are encoded independently, in parallel, and neighbours are joined level by level, all joins of
@@ -39,7 +39,6 @@ BLOCK = 2_000_000
 THREADS = 4
 #: Leaves from which on a text goes through the tree as a whole.
 EACH = 8
-SPACE = frozenset(" \t\n\r")
 
 
 class Codec:
@@ -137,47 +136,30 @@ class Codec:
                     out += self.tree(word) if len(word) > self.leaf else self._encode(word, True)
         return out
 
-    def _spans(self, text: str, parts: list[tuple[int, int]]) -> list[tuple[list[int], list[int], list[int]]]:
-        """Token ids, and where they start and end in the text, of parts of it; in parallel."""
-        with parallel():
-            found = self.whole.encode_batch([text[a:b] for a, b in parts], add_special_tokens=False)
-        out = []
-        for (a, _), e in zip(parts, found):
-            at = e.offsets
-            out.append((e.ids, [a + s for s, _ in at], [a + t for _, t in at]))
-        return out
-
-    def unsplit(self, text: str, agree: int = 2) -> list[int]:
-        """Token ids of one long text, none of whose words is longer than a leaf."""
-        cuts = list(range(0, len(text), self.leaf))
-        parts = list(zip(cuts, [*cuts[1:], len(text)]))
-        nodes = [(a, b, *x) for (a, b), x in zip(parts, self._spans(text, parts))]
+    def unsplit(self, leaves: list[list[str]]) -> tuple[bytes, str]:
+        """Ids and decoded text of one long text, given as the learned words of its leaves, which are cut anywhere."""
+        nodes = [[(w, self.ids[w], self.texts[w]) for w in ws] for ws in leaves]
         while len(nodes) > 1:
-            out: list[tuple] = [()] * (len(nodes) // 2)
-            todo, n = list(range(len(out))), 8
+            out: list[list] = [[]] * (len(nodes) // 2)
+            todo, n = list(range(len(out))), 1
             while todo:
                 windows = []
                 for t in todo:
-                    (a, _, x, xs, xe), (_, b, y, ys, ye) = nodes[2 * t], nodes[2 * t + 1]
-                    i, j = max(0, len(x) - n), min(len(y), n)
-                    # tokens of one character share its place, so there must be a gap, too
-                    while i > 0 and not (xe[i - 1] < xs[i] and text[xs[i] - 1] in SPACE):
-                        i -= 1
-                    while 0 < j < len(y) and not (ye[j - 1] < ys[j] and text[ye[j - 1]] in SPACE):
-                        j += 1
-                    windows.append((t, i, j, a if i == 0 else xs[i], b if j == len(y) else ye[j - 1]))
-                again = []
-                for (t, i, j, *_), (w, ws, we) in zip(windows, self._spans(text, [(s, e) for *_, s, e in windows])):
-                    (a, _, x, xs, xe), (_, b, y, ys, ye) = nodes[2 * t], nodes[2 * t + 1]
-                    left = i == 0 or (w[:agree], ws[:agree]) == (x[i : i + agree], xs[i : i + agree])
-                    right = j == len(y) or (w[-agree:], we[-agree:]) == (y[max(0, j - agree) : j], ye[max(0, j - agree) : j])
-                    if left and right:
-                        out[t] = a, b, x[:i] + w + y[j:], xs[:i] + ws + ys[j:], xe[:i] + we + ye[j:]
+                    x, y = nodes[2 * t], nodes[2 * t + 1]
+                    i, j = max(0, len(x) - 1 - n), min(len(y) - 1, n)
+                    windows.append((t, i, j, " ".join([*(e[0] for e in x[i:-1]), x[-1][0] + y[0][0], *(e[0] for e in y[1 : j + 1])])))
+                with parallel():
+                    found = self.whole.encode_batch_fast([w for *_, w in windows], add_special_tokens=False)
+                todo = []
+                for (t, i, j, text), e in zip(windows, found):
+                    x, y, ids = nodes[2 * t], nodes[2 * t + 1], pack(f"<{len(e.ids)}I", *e.ids)
+                    if (i == len(x) - 1 or ids.startswith(x[i][1])) and (j == 0 or ids.endswith(y[j][1])) or i == 0 and j == len(y) - 1:
+                        out[t] = [*x[:i], (text, ids, "".join(map(self.spaced.__getitem__, e.ids))), *y[j + 1 :]]
                     else:
-                        again.append(t)
-                todo, n = again, 2 * n
+                        todo.append(t)
+                n *= 2
             nodes = out + nodes[2 * len(out) :]
-        return nodes[0][2] if nodes else []
+        return b"".join(e[1] for e in nodes[0]), "".join(e[2] for e in nodes[0])[1:]
 
     def _learn(self, texts: list[list[str]]) -> None:
         seen = set().union(*texts)
@@ -200,11 +182,13 @@ class Codec:
 
     def batch(self, texts: list[str]) -> list[tuple[bytes, str, bool]]:
         """(ids as little-endian unsigned 32-bit integers, decoded text, whether it went through a tree) of each text."""
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        whole = {i for i, t in enumerate(texts) if len(t) > EACH * self.leaf and not self.is_long(split[i])}
+        split = [_words(t) for t in texts]
+        whole = {i: [_words(t[a : a + self.leaf]) for a in range(0, len(t), self.leaf)] for i, t in enumerate(texts) if len(t) > EACH * self.leaf and not self.is_long(split[i])}
         if whole:
+            self._learn([ws for leaves in whole.values() for ws in leaves])
+            trees = {i: (*self.unsplit(leaves), True) for i, leaves in whole.items()}
             rest = iter(self.batch([t for i, t in enumerate(texts) if i not in whole]))
-            return [self._whole(t) if i in whole else next(rest) for i, t in enumerate(texts)]
+            return [trees[i] if i in whole else next(rest) for i in range(len(texts))]
         self._learn(split)
         ids, decoded = self.ids.__getitem__, self.texts.__getitem__
         out = [(b"".join(map(ids, ws)), "".join(map(decoded, ws))[1:], self.is_long(ws)) for ws in split]
@@ -213,14 +197,14 @@ class Codec:
             self.again.discard(w)
         return out
 
-    def _whole(self, text: str) -> tuple[bytes, str, bool]:
-        ids = self.unsplit(text)
-        return pack(f"<{len(ids)}I", *ids), "".join(map(self.spaced.__getitem__, ids))[1:], True
-
     def is_long(self, words: list[str]) -> bool:
         return len(max(words, key=len)) > self.leaf
 
 
+def _words(text: str) -> list[str]:
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+
 @contextmanager
 def parallel() -> Iterator[None]:
     """Let the library use THREADS threads, for the parts of a word that alone keeps a task busy."""
