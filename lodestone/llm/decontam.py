@@ -132,9 +132,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, block: in
     found = store.put("found", found.select(KEY, merged.alias("n_hit"), "n_items", "items_sha256", *(["items"] if items_too else []), *(["at"] if spans else [])))
     extra = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", *(["items"] if items_too else []), *(["spans"] if spans else [])]
     own = [c for c in docs.columns if c not in extra]
-    left = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), text_key(text).alias(KEY), F.size(words(text)).cast("long").alias("n_words"))
+    # columns by number: their names clash with none here, and those that nobody reads aren't moved with the join
+    left = docs.select(*(F.col(f"`{c}`").alias(f"_own{i}") for i, c in enumerate(own)), text_key(text).alias(KEY), F.size(words(text)).cast("long").alias("n_words"))
     out = left.join(found, KEY, "left").withColumn("n_hit", F.coalesce("n_hit", zero))
-    out = out.select(*(F.col(f"row.`{c}`") for c in own), "n_words", "n_hit", F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), *([F.coalesce("items", F.array().cast("array<string>")).alias("items")] if items_too else []), *(["at"] if spans else []))
+    out = out.select(*(F.col(f"_own{i}").alias(c) for i, c in enumerate(own)), "n_words", "n_hit", F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), *([F.coalesce("items", F.array().cast("array<string>")).alias("items")] if items_too else []), *(["at"] if spans else []))
     return out.withColumnRenamed("at", "spans") if spans else out
 
 

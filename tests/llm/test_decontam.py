@@ -67,3 +67,22 @@ def test_window_of_many_items_and_long_texts(spark):
         assert {got[i]["_text_key"] for i in got} == {"k"} and got[5]["items"] == []
         for x in got.values():
             assert x.n_items == len(x["items"]) and x.items_sha256 == hashlib.sha256(",".join(x["items"]).encode()).hexdigest()
+
+
+def test_no_text_goes_through_a_join(spark):
+    """Where nobody reads the texts, joins move keys and counts only, however large the tables are."""
+    from lodestone.llm import queries
+
+    plan = queries.op3_benchmark_decontamination(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    todo, joins = [plan], 0
+    while todo:
+        node = todo.pop()
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Join":
+            joins += 1
+            for side in below:
+                types = [side.output().apply(i).dataType().simpleString() for i in range(side.output().size())]
+                names = [side.output().apply(i).name() for i in range(side.output().size())]
+                assert not any(t.startswith("struct") for t in types) and "text" not in names, (names, types)
+        todo += below
+    assert joins
