@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import trimmed
 
 #: Words to remember in each worker; then the memory starts anew.
-REMEMBER = 300_000
+REMEMBER = 150_000
 #: Characters of text that are worked on together.
-BLOCK = 2_000_000
+BLOCK = 500_000
+#: New words that the library encodes at once: its results take a thousand bytes a word.
+AT_ONCE = 4_096
 #: Threads for the parts of one long word or text.
 THREADS = 4
 #: Leaves from which on a text goes through the tree as a whole.
@@ -170,8 +172,9 @@ class Codec:
                 self.again = seen - new
             self.ids, self.texts = ({w: x[w] for w in self.again} for x in (self.ids, self.texts))
         short = [w for w in new if len(w) <= self.leaf]
-        for w, e in zip(short, self.whole.encode_batch_fast(short, add_special_tokens=False)):
-            self._keep(w, e.ids)
+        for a in range(0, len(short), AT_ONCE):
+            for w, e in zip(short[a : a + AT_ONCE], self.whole.encode_batch_fast(short[a : a + AT_ONCE], add_special_tokens=False)):
+                self._keep(w, e.ids)
         for w in new:
             if len(w) > self.leaf:
                 self._keep(w, self.long(w))

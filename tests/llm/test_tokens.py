@@ -115,3 +115,25 @@ def test_joins_run_in_parallel(monkeypatch):
     word = "".join(random.Random(2).choice("abcdefinorst") for _ in range(64 * 33))
     assert c.tree(word) == c._encode(word, True)
     assert seen[0] == 33 and seen[1] == 16 and sum(seen) < 33 + 4 * 33
+
+
+def test_memory_of_new_words_is_bounded():
+    """However many new words a block has, the library is given some at a time, and the results are the same."""
+    c, sizes = bpe.Codec(WORD), []
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def encode_batch_fast(self, texts, **how):
+            sizes.append(len(texts))
+            return self.inner.encode_batch_fast(texts, **how)
+
+    texts = [" ".join(f"word{i}x{j}" for j in range(50)) for i in range(200)]
+    want = [c.whole.encode(t, add_special_tokens=False).ids for t in texts]
+    c.whole = Counted(c.whole)
+    assert [bpe.unpack(ids) for ids, *_ in c.batch(texts)] == want
+    assert max(sizes) <= bpe.AT_ONCE < sum(sizes) == 10_000
