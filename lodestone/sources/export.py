@@ -116,5 +116,6 @@ def export_sounds(neighbours: dict[str, DataFrame], chain, axes, folder: str, li
 
 def frames(sounds: DataFrame, rate: int = 22050) -> DataFrame:
     """(row_id, frames, seconds, peak) of waveforms (row_id, y) as they would be written."""
-    q = F.transform("y", lambda v: F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v.cast("double"))) * 32767).cast("int"))
-    return sounds.select("row_id", F.size("y").alias("frames"), (F.size("y") / F.lit(float(rate))).alias("seconds"), F.array_max(F.transform(q, lambda v: F.abs(v))).alias("peak"))
+    # rounding and clipping keep the order of sizes, so only the extremes go through them (NaN is the greatest, as for array_max)
+    top = F.greatest(F.abs(F.array_max("y")), F.abs(F.array_min("y"))).cast("double")
+    return sounds.select("row_id", F.size("y").alias("frames"), (F.size("y") / F.lit(float(rate))).alias("seconds"), F.round(F.when(top > 1, F.lit(1.0)).otherwise(top) * 32767).cast("int").alias("peak"))
