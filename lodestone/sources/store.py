@@ -6,11 +6,13 @@ import hashlib
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The most ids that go into a pushed-down IN list; longer requests are joined.
 MOST_LITERALS = 1000
+#: More rows than a file has: a row's place is its file's number times this and its place in the file.
+FILE_SPAN = 1 << 40
 
 
 def write(df: DataFrame, path: str, order: str = "row_id") -> None:
@@ -92,6 +94,9 @@ def lookup(store: DataFrame, ids: DataFrame | Iterable[int], value: str = "s") -
     wanted = ids if isinstance(ids, DataFrame) else request(store.sparkSession, ids)
     at = storage_order(store)
     held = store.select("row_id", F.col(value).alias("_value"), (F.lit(0) if at is None else at).alias("_at"))
+    if at is not None:  # paths are long: rows carry their file's number in the order of paths, a row a file being sent to the tasks
+        files = held.select(F.col("_at.path").alias("_path")).distinct().select("_path", F.row_number().over(Window.orderBy("_path")).alias("_file"))
+        held = held.join(F.broadcast(files), F.col("_at.path") == F.col("_path")).select("row_id", "_value", (F.col("_file").cast("long") * FILE_SPAN + F.col("_at.row")).alias("_at"))
     last = F.max("_value") if at is None else F.max_by("_value", "_at")
     found = held.join(wanted.select("row_id").distinct(), "row_id", "left_semi").groupBy("row_id").agg(last.alias(value))
     return wanted.join(found, "row_id").select("pos", "row_id", value).orderBy("pos")
