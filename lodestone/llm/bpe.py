@@ -140,28 +140,44 @@ class Codec:
 
     def unsplit(self, leaves: list[list[str]]) -> tuple[bytes, str]:
         """Ids and decoded text of one long text, given as the learned words of its leaves, which are cut anywhere."""
-        nodes = [[(w, self.ids[w], self.texts[w]) for w in ws] for ws in leaves]
-        while len(nodes) > 1:
-            out: list[list] = [[]] * (len(nodes) // 2)
-            todo, n = list(range(len(out))), 1
+        words = [w for ws in leaves for w in ws]
+        ids, texts = list(map(self.ids.__getitem__, words)), list(map(self.texts.__getitem__, words))
+        ends = np.cumsum([len(ws) for ws in leaves]).tolist()
+        nodes = list(zip([0, *ends], ends))
+
+        def live(order: range, most: int) -> tuple[list[int], bool]:
+            """Up to `most` words that no join has put into another, and whether these are all."""
+            found: list[int] = []
+            for i in order:
+                if words[i] is not None:
+                    if len(found) == most:
+                        return found, False
+                    found.append(i)
+            return found, True
+
+        while len(nodes) > 1:  # a join changes the words around it only
+            todo, n = list(range(len(nodes) // 2)), 1
             while todo:
                 windows = []
                 for t in todo:
-                    x, y = nodes[2 * t], nodes[2 * t + 1]
-                    i, j = max(0, len(x) - 1 - n), min(len(y) - 1, n)
-                    windows.append((t, i, j, " ".join([*(e[0] for e in x[i:-1]), x[-1][0] + y[0][0], *(e[0] for e in y[1 : j + 1])])))
+                    (a, m), (_, b) = nodes[2 * t], nodes[2 * t + 1]
+                    (x, all_x), (y, all_y) = live(range(m - 1, a - 1, -1), n + 1), live(range(m, b), n + 1)
+                    x.reverse()
+                    windows.append((t, x, y, all_x and all_y, " ".join([*(words[i] for i in x[:-1]), words[x[-1]] + words[y[0]], *(words[i] for i in y[1:])])))
                 with parallel():
                     found = self.whole.encode_batch_fast([w for *_, w in windows], add_special_tokens=False)
                 todo = []
-                for (t, i, j, text), e in zip(windows, found):
-                    x, y, ids = nodes[2 * t], nodes[2 * t + 1], pack(f"<{len(e.ids)}I", *e.ids)
-                    if (i == len(x) - 1 or ids.startswith(x[i][1])) and (j == 0 or ids.endswith(y[j][1])) or i == 0 and j == len(y) - 1:
-                        out[t] = [*x[:i], (text, ids, "".join(map(self.spaced.__getitem__, e.ids))), *y[j + 1 :]]
+                for (t, x, y, whole, text), e in zip(windows, found):
+                    made = pack(f"<{len(e.ids)}I", *e.ids)
+                    if (len(x) == 1 or made.startswith(ids[x[0]])) and (len(y) == 1 or made.endswith(ids[y[-1]])) or whole:
+                        for i in (*x, *y):
+                            words[i], ids[i], texts[i] = None, b"", ""
+                        words[x[0]], ids[x[0]], texts[x[0]] = text, made, "".join(map(self.spaced.__getitem__, e.ids))
                     else:
                         todo.append(t)
                 n *= 2
-            nodes = out + nodes[2 * len(out) :]
-        return b"".join(e[1] for e in nodes[0]), "".join(e[2] for e in nodes[0])[1:]
+            nodes = [(nodes[i][0], nodes[min(i + 1, len(nodes) - 1)][1]) for i in range(0, len(nodes), 2)]
+        return b"".join(ids), "".join(texts)[1:]
 
     def _learn(self, texts: list[list[str]]) -> None:
         seen = set().union(*texts)
