@@ -516,3 +516,26 @@ def test_grid_layout_groups(spark):
     at = {r.vertex: (r.x, r.y) for r in layout.force_layout(p, e, iterations=40, exact=False).collect()}
     far = lambda a, b: math.dist(at[a], at[b])
     assert np.mean([far(i, i + 1) for i in range(0, 199)]) < 0.5 * np.mean([far(i, i + 200) for i in range(0, 200)])
+
+
+@pytest.mark.parametrize("kind", ["spread", "clusters", "line", "copies"])
+def test_tree_layout_forces(kind):
+    """Far squares meet as wholes and forces are still nearly exact, wherever vertices are."""
+    r = np.random.default_rng(6)
+    pos = {
+        "spread": r.normal(size=(4000, 2)) * 100,
+        "clusters": np.r_[r.normal(size=(2000, 2)) * 0.01, r.normal(size=(2000, 2)) * 100 + 300],
+        "line": np.c_[np.arange(4000.0), np.zeros(4000)],
+        "copies": np.r_[r.normal(size=(3900, 2)), np.ones((100, 2))],
+    }[kind]
+    weight = r.integers(1, 9, 4000).astype(float)
+    cells = layout.Cells(pos, weight)
+    exact = layout.repulsion(pos, weight, np.arange(4000), 20.0)
+    near = np.zeros((4000, 2))
+    for at in np.array_split(cells.order, 5):
+        near[at] = cells.repulsion(pos, weight, at, 20.0)
+    size = np.hypot(*exact.T)
+    assert (np.hypot(*(exact - near).T) / np.maximum(size, np.median(size))).max() < 0.003
+    far, close = cells._met(np.ones(len(cells.c), bool))
+    met = ((cells.end - cells.start)[close[0]] * (cells.end - cells.start)[close[1]]).sum()
+    assert met + far.shape[1] < 400 * 4000  # a few hundred pushes a vertex
